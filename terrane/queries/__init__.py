@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("p1", "p6", "p7")
+MODULES = ("p1", "p3", "p6", "p7")
 
 
 def registered() -> tuple[dict[str, Callable], dict[str, str]]:
