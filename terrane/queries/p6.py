@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.text import latitude, longitude
+from terrane.plans.spread import spread
 from terrane.sources import delimited as op
 from terrane.sources.tables import table
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.read_lines(table(spark, sf_dir, "raw_lines"), op.FEEDS)
+    return op.read_lines(spread(table(spark, sf_dir, "raw_lines"), "raw_id"), op.FEEDS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
