@@ -1,2 +1,22 @@
-QUERIES = {}
+"""Queries of problems 2, 5, 8, 9 and 10."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm import truncation
+from terrane.sources.tables import table
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation.by_source(docs, truncation.truncated(docs))
+
+
+QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {}
