@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import truncation
+from terrane.llm import frequency, together, truncation
 from terrane.sources.tables import table
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.concat("tag_key", F.lit("="), "tag_value")
+    return table(spark, sf_dir, "feature_tags").select(F.concat("feature_type", F.lit("/"), F.col("feature_value").cast("string")).alias("record"), item.alias("item"))
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs with their lift that are frequent enough, whether above chance or not."""
+    found = together.pairs(_items(spark, sf_dir), "record", "item", least=3, share=2000)
+    return found.withColumn("lift", F.round("lift", 6))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = together.pairs(_items(spark, sf_dir), "record", "item", least=3, share=2000)
+    wide = F.col("n_ab").cast("decimal(38,0)") * F.col("n_records") >= F.lit(10) * F.col("n_a").cast("decimal(18,0)") * F.col("n_b")
+    return found.where(wide).select("item_a", "item_b")
+
+
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "feature_tags")
+    record = F.concat("feature_type", F.lit("/"), F.col("feature_value").cast("string"))
+    having = tags.where("tag_key IS NOT NULL AND tag_value IS NOT NULL").select("feature_type", "feature_value").distinct().count()
+    counts = frequency.term_counts(tags, ["tag_key", "tag_value"], record, "tag_ord")
+    return frequency.marked(counts, having, least=3, common=20)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_terms(spark, sf_dir).where("mark <> 'keep'").select("tag_key", "tag_value")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
@@ -18,5 +47,23 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.by_source(docs, truncation.truncated(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources}
-SQL = {}
+_PAIRS = """
+WITH i AS (SELECT DISTINCT feature_type AS t, feature_value AS v, tag_key || '=' || tag_value AS item FROM feature_tags WHERE tag_key IS NOT NULL AND tag_value IS NOT NULL),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT t, v FROM i)),
+c AS (SELECT item, count(*) AS n FROM i GROUP BY item),
+p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM i x JOIN i y ON x.t = y.t AND x.v = y.v AND x.item < y.item GROUP BY ALL),
+r AS (SELECT item_a, item_b, a.n AS n_a, b.n AS n_b, n_ab, n.n AS n_records FROM p JOIN c a ON item_a = a.item JOIN c b ON item_b = b.item, n WHERE n_ab >= 3 AND 2000 * n_ab >= n.n)
+"""
+_TERMS = """
+WITH o AS (SELECT tag_key, tag_value, feature_type, feature_value, count(DISTINCT tag_ord) AS n FROM feature_tags WHERE tag_key IS NOT NULL AND tag_value IS NOT NULL GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT feature_type, feature_value FROM o)),
+t AS (SELECT tag_key, tag_value, CAST(sum(o.n) AS BIGINT) AS n_occurrences, count(*) AS n_records FROM o GROUP BY ALL),
+m AS (SELECT t.*, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 20 > n.n THEN 'common' ELSE 'keep' END AS mark FROM t, n)
+"""
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_terms": p5_terms, "p10_found": p10_found, "p10_sources": p10_sources}
+SQL = {
+    "p2_found": _PAIRS + "SELECT item_a, item_b FROM r WHERE n_ab * n_records >= 10 * n_a * n_b",
+    "p2_pairs": _PAIRS + "SELECT *, round(n_ab * CAST(n_records AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM r",
+    "p5_found": _TERMS + "SELECT tag_key, tag_value FROM m WHERE mark <> 'keep'",
+    "p5_terms": _TERMS + "SELECT * FROM m",
+}
