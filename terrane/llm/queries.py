@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import frequency, together, truncation
+from terrane.llm import bpe, frequency, mixing, together, truncation
+from terrane.plans.lineage import cut
 from terrane.sources.tables import table
 
 
@@ -38,6 +41,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_terms(spark, sf_dir).where("mark <> 'keep'").select("tag_key", "tag_value")
 
 
+#: Where the public vocabularies lie; only the driver reads them.
+TOKENIZERS = os.environ.get("TERRANE_TOKENIZERS", "/opt/tokenizers")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    used = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    ids = bpe.encode(used.select("doc_id", "text", "source").withColumn("doc", F.struct("doc_id", "source")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", id="doc")
+    blocks = cut(mixing.pack(ids.select("doc.doc_id", "doc.source", "ids"), "doc_id", "source", "ids"))
+    return mixing.mix(blocks, targets), targets
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, targets = _mix(spark, sf_dir)
+    return mixing.shares(mixed, targets)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
@@ -60,7 +88,7 @@ n AS (SELECT count(*) AS n FROM (SELECT DISTINCT feature_type, feature_value FRO
 t AS (SELECT tag_key, tag_value, CAST(sum(o.n) AS BIGINT) AS n_occurrences, count(*) AS n_records FROM o GROUP BY ALL),
 m AS (SELECT t.*, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 20 > n.n THEN 'common' ELSE 'keep' END AS mark FROM t, n)
 """
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_terms": p5_terms, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_terms": p5_terms, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
     "p2_found": _PAIRS + "SELECT item_a, item_b FROM r WHERE n_ab * n_records >= 10 * n_a * n_b",
     "p2_pairs": _PAIRS + "SELECT *, round(n_ab * CAST(n_records AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM r",
