@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("registry", "p1", "p3", "p4", "p6", "p7")
+MODULES = ("registry", "spatial", "p1", "p3", "p4", "p6", "p7")
 
 
 def registered() -> tuple[dict[str, Callable], dict[str, str]]:
