@@ -12,7 +12,8 @@ or between the two quotes of a doubled one.
 
 Defined results: a null line and an unknown feed fail, an empty line has one
 (empty) column. Line ends at the end of a line are dropped. Lines of any length
-take time in proportion to it. Repeated lines are separate rows.
+take time in proportion to it. Repeated lines are separate rows. Input columns
+named ``cells`` or ``reason`` are replaced by the result's.
 """
 
 from __future__ import annotations
@@ -65,6 +66,9 @@ def read_lines(lines: DataFrame, feeds: Mapping[str, Feed], feed: str = "feed",
     rejects itself; the checks decide the rest.
     """
     text = F.regexp_replace(F.col(line), r"[\r\n]+\z", "")
+    # The result's own names win over columns that happen to have them.
+    own = {"cells", "reason", "_text", "_parts", "_shape", *(f"_row{i}" for i in range(len(feeds)))}
+    lines = lines.drop(*[c for c in lines.columns if c.lower() in own])
     df = once(lines, _text=text, _parts=pieces(text))
     want = F.lit(None).cast("int")
     for name, f in feeds.items():
