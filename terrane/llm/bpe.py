@@ -194,5 +194,6 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", n
         for batch in it:
             yield pd.Series([np.array(encoder.encode(t), np.int32) for t in batch], dtype=object)
 
-    udf = F.pandas_udf(run, "array<int>")
+    # Not to be copied into filters: a predicate on the ids would encode every text twice.
+    udf = F.pandas_udf(run, "array<int>").asNondeterministic()
     return spread(docs.select(id, text), id).select(id, udf(text).alias(name))
