@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
+from terrane.plans.once import once
 from terrane.plans.skew import hot_keys, skew_join
 from terrane.plans.spread import spread
 
@@ -55,14 +56,16 @@ def final_trigrams(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``(id, a, b, x, fence)`` of each text with words, ``fence`` where a code fence stays open."""
     df = docs.select(id, F.col(text).alias("_t")).where("_t IS NOT NULL")
     fences = F.size(F.split("_t", "```", -1)) - 1
-    w = F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t")))
-    df = df.select(id, F.slice(w, -3, 3).alias("_w"), (fences % 2 == 1).alias("fence"), (F.size(w) > 2).alias("_any")).where("_any")
+    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t"))))
+    df = df.select(id, F.slice("w", -3, 3).alias("_w"), (fences % 2 == 1).alias("fence"), (F.size("w") > 2).alias("_any")).where("_any")
     return df.select(id, F.col("_w")[0].alias("a"), F.col("_w")[1].alias("b"), F.col("_w")[2].alias("x"), "fence")
 
 
 def trigram_counts(docs: DataFrame, text: str) -> DataFrame:
     """``(a, b, x, inner, final)``: how often a word follows two others inside texts and at ends. Counted before the shuffle, so no trigram is too frequent."""
-    df = docs.select(F.col(text).alias("_t")).where("_t IS NOT NULL").select(F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t"))).alias("w"))
+    df = docs.select(F.col(text).alias("_t")).where("_t IS NOT NULL")
+    # Split once a text: a filter on the words would otherwise split it again.
+    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t"))))
     df = df.where(F.size("w") > 2).select(F.inline(F.expr("transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS a, w[i - 1] AS b, w[i] AS x, i = size(w) - 1 AS last))")))
     return df.groupBy("a", "b", "x").agg(F.sum((~F.col("last")).cast("bigint")).alias("inner"), F.sum(F.col("last").cast("bigint")).alias("final"))
 
