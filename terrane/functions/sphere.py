@@ -106,7 +106,7 @@ def crosses(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> bool:
     cd = np.cross(c, d)
     s1, s2 = c @ ab, d @ ab
     s3, s4 = cd @ a, cd @ b
-    return bool(np.any((s1 * s2 <= 0) & (s3 * s4 <= 0) & (s1 * s4 <= 0) & (np.sum((a + b) * (c + d), axis=-1) > 0)))
+    return bool(np.any((s1 * s2 <= 0) & (s1 * s3 <= 0) & (s1 * s4 >= 0) & (np.sum((a + b) * (c + d), axis=-1) > 0)))
 
 
 def polygons_meet(p: list[np.ndarray], q: list[np.ndarray]) -> bool:

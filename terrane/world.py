@@ -208,7 +208,7 @@ def add_feature(spark: SparkSession, id: FeatureID, **row) -> Change:
 
 
 def add_point(spark: SparkSession, lat: float, lng: float, id: FeatureID, tags: Sequence[tuple[str, str]] = ()) -> Change:
-    return add_feature(spark, id, points=[(lat, lng)], tags=list(tags))
+    return add_feature(spark, id, points=[(float(lat), float(lng))], tags=list(tags))
 
 
 def add_relation(spark: SparkSession, id: FeatureID, tags: Sequence[tuple[str, str]], members: Sequence[tuple[FeatureID, str]]) -> Change:
