@@ -18,7 +18,7 @@ TYPE_ORDER = {t: i for i, t in enumerate(TYPES)}
 #: Namespaces.
 OSM_NODE, OSM_WAY, OSM_RELATION = "openstreetmap.org/node", "openstreetmap.org/way", "openstreetmap.org/relation"
 GB_UPRN, GB_CODEPOINT, UK_ONS = "ordnancesurvey.co.uk/open-uprn", "ordnancesurvey.co.uk/code-point", "statistics.gov.uk/datasets/regions"
-GTFS, WORLDS = "gtfs", "diagonal.works/world"
+GTFS, WORLDS = "gtfs", "worlds"
 #: Short forms of ids in text.
 ALIASES = {"n": ("point", OSM_NODE), "w": ("path", OSM_WAY), "a": ("area", OSM_WAY), "r": ("relation", OSM_RELATION), "gb/uprn": ("point", GB_UPRN), "gb/codepoint": ("point", GB_CODEPOINT), "uk/ons": ("area", UK_ONS)}
 

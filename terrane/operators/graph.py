@@ -26,7 +26,8 @@ from terrane.world import KEY, World
 #: Segments up to which the graph is broadcast to the searching tasks.
 BROADCAST_SEGMENTS = 2_000_000
 WALKING_SPEED = 1.25
-CONNECTION = ("diagonal", "connection")
+#: The tag of paths that join features to the network, and the key of a factor on a path's cost. Options ``connection`` (``key=value``) and ``weight`` name others.
+CONNECTION, WEIGHT = ("network", "connection"), "network:weight"
 #: Kinds of highway that no vehicle takes.
 NO_VEHICLES = ("footway", "steps", "corridor", "path", "pedestrian", "cycleway", "bridleway", "escape", "proposed", "construction")
 
@@ -60,25 +61,25 @@ def _is(key: str, value: str) -> Column:
     return F.coalesce(first_value(key) == value, F.lit(False))
 
 
-def _connection() -> Column:
-    return _is(*CONNECTION)
+def _connection(o: Mapping[str, str]) -> Column:
+    return _is(*(o["connection"].split("=", 1) if "connection" in o else CONNECTION))
 
 
-def _base() -> Column:
-    return F.col("metres") * F.coalesce(first_value("diagonal:weight").try_cast("double"), F.lit(1.0))
+def _base(o: Mapping[str, str]) -> Column:
+    return F.col("metres") * F.coalesce(first_value(o.get("weight", WEIGHT)).try_cast("double"), F.lit(1.0))
 
 
-def _highway() -> Column:
-    return first_value("#highway").isNotNull() | _connection()
+def _highway(o: Mapping[str, str]) -> Column:
+    return first_value("#highway").isNotNull() | _connection(o)
 
 
-def _vehicle(bus: bool) -> Column:
+def _vehicle(o: Mapping[str, str], bus: bool) -> Column:
     way = ~_is("oneway", "yes") | F.col("forward")
     road = first_value("#highway").isNotNull() & ~F.coalesce(first_value("#highway").isin(*NO_VEHICLES), F.lit(False))
     if bus:
         way = way | _is("oneway:bus", "no")
         road = road & (~_is("access", "no") | _is("bus", "yes"))
-    return way & (_connection() | road)
+    return way & (_connection(o) | road)
 
 
 def weights(options: Mapping[str, str] | None = None) -> tuple[Column, Column]:
@@ -90,13 +91,13 @@ def weights(options: Mapping[str, str] | None = None) -> tuple[Column, Column]:
     mode = o.get("mode", "walk")
     speed = float(o.get("walk:speed", WALKING_SPEED))
     if mode == "simple":
-        return F.lit(True), _base()
+        return F.lit(True), _base(o)
     if mode == "highway":
-        usable, cost = _highway(), _base()
+        usable, cost = _highway(o), _base(o)
     elif mode in ("walk", "transit"):
-        usable, cost = _highway(), _base() * speed
+        usable, cost = _highway(o), _base(o) * speed
     elif mode in ("bus", "car"):
-        usable, cost = _vehicle(mode == "bus"), _base()
+        usable, cost = _vehicle(o, mode == "bus"), _base(o)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "transit":

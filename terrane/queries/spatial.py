@@ -361,7 +361,7 @@ def connect(s, d):
     direct = _segments(w).where((F.col("first_node") == a) & (F.col("last_node") == b)).count()
     ends = w.features.where("ns = 'tables/part' AND value IN (0, 21)").orderBy("value").select(F.struct("type", "ns", "value").alias("id"), F.col("points")[0].alias("p")).collect()
     if not direct:
-        row = {"points": [tuple(e.p) for e in ends], "refs": [tuple(e.id) for e in ends], "tags": [("diagonal", "connection")]}
+        row = {"points": [tuple(e.p) for e in ends], "refs": [tuple(e.id) for e in ends], "tags": [G.CONNECTION]}
         w = w.with_change(W.add_feature(s, ids.FeatureID("path", "tables/connection", 1), **row))
     return w.features.where("type = 'path'").agg(F.count_if(F.col("ns") == "tables/connection").alias("connected"), F.count("*").alias("paths"))
 

@@ -36,7 +36,7 @@ def mini(spark):
     at = {i: (0.0, i * STEP) for i in range(5)} | {10: (STEP, 2 * STEP), 11: (2 * STEP, 2 * STEP)}
     rows = [_pt(i, *at[i], *([("name", "plain")] if i == 3 else [])) for i in at]
     path = lambda v, pts, *tags: {"type": "path", "ns": "mini/way", "value": v, "tags": list(tags), "points": [at[p] for p in pts], "refs": [P(p) for p in pts]}
-    rows += [path(1, [0, 1, 2, 3, 4], ("#highway", "residential")), path(2, [2, 10, 11], ("#highway", "footway"), ("diagonal:weight", "2")), path(3, [4, 11], ("#highway", "primary"), ("oneway", "yes"))]
+    rows += [path(1, [0, 1, 2, 3, 4], ("#highway", "residential")), path(2, [2, 10, 11], ("#highway", "footway"), ("network:weight", "2")), path(3, [4, 11], ("#highway", "primary"), ("oneway", "yes"))]
     sq = lambda a, b: [(a, a), (a, b), (b, b), (b, a)]
     rows.append({"type": "area", "ns": "mini/way", "value": 9, "tags": [("#building", "yes"), ("#building", "no"), ("@wikidata", "Q1")], "polygons": [[sq(0.0, 0.004), sq(0.001, 0.002)]], "refs": [("path", "mini/way", 2)]})
     rows.append({"type": "relation", "ns": "mini/rel", "value": ids.signed((1 << 63) + 5), "tags": [("#route", "bus")], "members": [(P(0), "stop")]})
