@@ -140,8 +140,8 @@ class Collection:
         Values are counted first, so the running total is over distinct values.
         """
         counts = cut(self.df.groupBy("value").agg(F.count("*").alias("n")))
-        total = counts.agg(F.sum("n")).first()[0] or 1
-        below = running_total(counts, [F.col("value")], "n", "below").select("value", (F.col("below") / total).alias("p"))
+        total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(1)), F.count("*")).first()
+        below = running_total(counts, [F.col("value")], "n", "below", distinct).select("value", (F.col("below") / total).alias("p"))
         keep = [c for c in ("ord", "key") if c in self.types]
         return self._with(self.df.join(below, "value", "left").select(*keep, F.col("p").alias("value")))
 

@@ -49,9 +49,10 @@ def segments(world: World) -> DataFrame:
     steps = steps.withColumn("far", F.sum("leg").over(per.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.max("i").over(per))
     nodes = steps.where((F.col("i") == 0) | (F.col("i") == F.col("end")) | (F.col("paths") > 1) | F.coalesce("tagged", F.lit(False)))
     nxt = lambda c: F.lead(c).over(per.orderBy("i"))
-    there = nodes.select("path", "tags", F.col("i").alias("first"), nxt("i").alias("last"), F.col("node").alias("first_node"), nxt("node").alias("last_node"), F.lit(True).alias("forward"), (nxt("far") - F.col("far")).alias("metres")).where("last IS NOT NULL")
-    back = there.select("path", "tags", F.col("last").alias("first"), F.col("first").alias("last"), F.col("last_node").alias("first_node"), F.col("first_node").alias("last_node"), F.lit(False).alias("forward"), "metres")
-    return there.unionByName(back)
+    there = nodes.select("path", "tags", F.col("i").alias("a"), nxt("i").alias("b"), F.col("node").alias("from"), nxt("node").alias("to"), (nxt("far") - F.col("far")).alias("metres")).where("b IS NOT NULL")
+    way = lambda a, b, u, v, ahead: F.struct(F.col(a).alias("first"), F.col(b).alias("last"), F.col(u).alias("first_node"), F.col(v).alias("last_node"), F.lit(ahead).alias("forward"))
+    # Both directions from one row: the windows run once.
+    return there.select("path", "tags", F.inline(F.array(way("a", "b", "from", "to", True), way("b", "a", "to", "from", False))), "metres")
 
 
 # Weights: (usable, cost) of a segment ----------------------------------------

@@ -45,7 +45,7 @@ def uniform_buckets(c: Collection) -> DataFrame:
     if n <= BUCKETS:
         rows = [(i, r[0], None, str(r[0]) if kind != "double" else f"{r[0]:.3g}", True) for i, r in enumerate(distinct.orderBy("value").limit(BUCKETS).collect())]
     else:
-        ranked = running_total(distinct.withColumn("one", F.lit(1)), [F.col("value")], "one", "rank")
+        ranked = running_total(distinct.withColumn("one", F.lit(1)), [F.col("value")], "one", "rank", n)
         low = [r[0] for r in ranked.where(F.col("rank").isin(_starts(n))).orderBy("value").select("value").collect()]
         rows = [(i, v, low[i + 1] if i + 1 < len(low) else None, _label(v, low[i + 1] if i + 1 < len(low) else None, kind), False) for i, v in enumerate(low)]
     return c.df.sparkSession.createDataFrame(rows, f"bucket int, low {kind}, high {kind}, label string, single boolean")
@@ -76,6 +76,16 @@ def histogram(c: Collection) -> DataFrame:
     return assign(c).groupBy("bucket", "label").agg(F.count("*").alias("n"))
 
 
+def histogram_change(c: Collection, id: ids.FeatureID, expression: str = "", swatch: bool = False):
+    """A change that adds a histogram as a collection of keys to buckets, and the expression that made it."""
+    from terrane import world as W
+
+    tags = [("#histogram", "swatch" if swatch else "bars")]
+    items = Collection(assign(c).select("key", F.col("bucket").alias("value")))
+    text = W.add_expression(c.df.sparkSession, ids.FeatureID("expression", id.ns, id.value), [], expression)
+    return W.merge_changes(None, W.add_collection(id, tags, items), text)
+
+
 def origin_destination(c: Collection) -> Collection:
     """Of origin to destination ids: each origin with its number of valid destinations."""
     return c.count_valid_keys()

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.plans.lineage import cut
 from terrane.plans.once import once
 from terrane.plans.skew import hot_keys, salted
 
@@ -162,14 +163,14 @@ def cover_ring(ring: list[tuple[int, int]], most: int = MOST_CELLS, deepest: int
         k = SPAN - level
         x0, y0 = (x << k) - half, (y << k) - half
         x1, y1 = x0 + (1 << k), y0 + (1 << k)
-        cut = [e for e in own if _crosses(x0, y0, x1, y1, *e[0], *e[1])]
-        if not cut:
+        met = [e for e in own if _crosses(x0, y0, x1, y1, *e[0], *e[1])]
+        if not met:
             if inside(x0, y0, ring):
                 out.append((level, x, y, True))
         elif level >= deepest or len(out) + len(todo) - at >= most:
             out.append((level, x, y, False))
         else:
-            todo += [(level + 1, 2 * x + i, 2 * y + j, cut) for i in (0, 1) for j in (0, 1)]
+            todo += [(level + 1, 2 * x + i, 2 * y + j, met) for i in (0, 1) for j in (0, 1)]
     return out
 
 
@@ -198,7 +199,7 @@ def contains(ring: Column, lng: Column, lat: Column) -> Column:
 
 def within(points: DataFrame, regions: DataFrame, keep: list[str]) -> DataFrame:
     """Points ``(lat_e7, lng_e7, *keep)`` with each ``region`` that contains them, of ``regions`` ``(region, ring)``."""
-    cells = regions.select("region", "ring").where("region IS NOT NULL AND ring IS NOT NULL").mapInPandas(_cover, "region bigint, level int, x bigint, y bigint, interior boolean")
+    cells = cut(regions.select("region", "ring").where("region IS NOT NULL AND ring IS NOT NULL").mapInPandas(_cover, "region bigint, level int, x bigint, y bigint, interior boolean"))
     levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # no more than DEEPEST
     placed = points.where("lat_e7 IS NOT NULL AND lng_e7 IS NOT NULL").select(*keep, "lat_e7", "lng_e7", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("level"))
     at = lambda c: F.expr(f"shiftright(cast({c} as bigint) + {1 << (SPAN - 1)}L, {SPAN} - level)")

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from terrane.plans.lineage import cut
 
 
-def running_total(df: DataFrame, order: list[Column], n: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``n`` over all rows before each in ``order``.
+#: So few rows are summed in one task.
+SMALL = 500_000
+
+
+def running_total(df: DataFrame, order: list[Column], n: str, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``n`` over all rows before each in ``order``. ``rows`` is their number, where it is known.
 
     Rows are range-partitioned; each partition's sum (one row a partition) is
     broadcast as the base of its running total. Rows equal in ``order`` fall in
     one partition, so ``order`` should be unique.
     """
+    if rows is not None and rows <= SMALL:
+        return df.withColumn(name, F.coalesce(F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     by = [F.col(f"_o{i}") for i in range(len(order))]
     parts = cut(keyed.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
