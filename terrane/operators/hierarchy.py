@@ -13,12 +13,18 @@ fragment.
   quotient, so it never has more links than its graph. A cycle within a fragment
   shows at once, one across fragments once the quotient is labelled.
 * ``paths`` follows each node's first parent (the smallest id by bytes) and gives
-  path, depth and root.
+  path, depth and root. Where first parents lead into a cycle, the node nearest to
+  it with a parent that has a path takes the first such parent instead.
+* ``below`` looks at all links and gives every descendant of every node, in rounds
+  that double the distance. A pair beyond it is joined at a node that is just so
+  far from the ancestor, so rounds are few and a pair is made once for each such
+  node, not once for each node between.
 
 Defined results: links with a null end are ignored, repeated links count once. A
-node on or below a cycle of first parents has no root, depth or path. A parent
-that is no child itself is a root with depth 0. A node that is its own parent is
-a cycle. No links give no rows.
+node that no parent leads to a root has no root, depth or path. A parent that is
+no child itself is a root with depth 0. A node that is its own parent is a cycle.
+A node on a cycle is its own descendant, at the length of its shortest cycle. No
+links give no rows.
 
 A child with very many parents is split into virtual nodes that share them; a
 parent with very many children is met by a broadcast when paths are expanded.
@@ -297,10 +303,9 @@ def _climb(up: DataFrame, fragment: int, level: int = 0) -> DataFrame:
         return chains.select("node", F.when(~F.col("loop"), F.concat("seg", F.array("exit"))).alias("path"), "loop")
     chains = cut(chains)
     entries = homed.where("home <> phome").select(F.col("parent").alias("node")).distinct()
-    quotient = cut(chains.where("NOT loop").join(entries, "node", "left_semi").select(F.col("node").alias("child"), F.col("exit").alias("parent"), "seg"))
-    # Entries on a local cycle have no way on; they end the chains that lead to them.
-    stuck = chains.where("loop").join(entries, "node", "left_semi").select("node", F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("loop"))
-    above = cut(_climb(quotient, fragment, level + 1).unionByName(stuck)).select(F.col("node").alias("exit"), F.col("path").alias("_path"), F.col("loop").alias("_loop"))
+    # An entry on a local cycle leads to itself, so that all that lead to it are on or below a cycle as well.
+    quotient = cut(chains.join(entries, "node", "left_semi").select(F.col("node").alias("child"), F.coalesce("exit", "node").alias("parent"), "seg"))
+    above = cut(_climb(quotient, fragment, level + 1)).select(F.col("node").alias("exit"), F.col("path").alias("_path"), F.col("loop").alias("_loop"))
     hot = hot_keys(chains.where("exit IS NOT NULL").groupBy("exit").agg(F.count("*").alias("n")), ["exit"])
     met = skew_join(chains, above, ["exit"], hot, "left")
     loop = F.col("loop") | F.coalesce("_loop", F.lit(False))
@@ -309,17 +314,39 @@ def _climb(up: DataFrame, fragment: int, level: int = 0) -> DataFrame:
 
 
 def paths(edges: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
-    """``(node, parent, root, depth, path)`` of every node of ``links``, path from the root down to the node."""
+    """``(node, parent, root, depth, path)`` of every node of ``links``, path from the root down to the node; ``parent`` is the one on the path, else the first."""
     edges = cut(edges)
     up = cut(edges.groupBy("child").agg(F.min("parent").alias("parent")))
-    roots = edges.select(F.col("parent").alias("node")).distinct().join(up.select(F.col("child").alias("node")), "node", "left_anti")
-    solved = _climb(up.withColumn("seg", F.array("child")), fragment).select("node", F.reverse("path").alias("path"))
+    roots = cut(edges.select(F.col("parent").alias("node")).distinct().join(up.select(F.col("child").alias("node")), "node", "left_anti"))
+    while True:
+        solved = cut(_climb(up.withColumn("seg", F.array("child")), fragment).select("node", F.reverse("path").alias("path")))
+        lost = solved.where("path IS NULL").select(F.col("node").alias("child"))
+        whole = solved.where("path IS NOT NULL").select(F.col("node").alias("parent")).unionByName(roots.select(F.col("node").alias("parent")))
+        # Each round gives a path to all that first parents lead to one of these.
+        other = cut(edges.join(lost, "child", "left_semi").join(whole, "parent", "left_semi").groupBy("child").agg(F.min("parent").alias("_other")))
+        if other.isEmpty():
+            break
+        up = cut(up.join(other, "child", "left").select("child", F.coalesce("_other", "parent").alias("parent")))
     solved = solved.join(up.select(F.col("child").alias("node"), "parent"), "node")
     every = solved.unionByName(roots.select("node", F.array("node").alias("path"), F.lit(None).cast("string").alias("parent")))
     return every.select("node", "parent", F.element_at("path", 1).alias("root"), (F.size("path") - 1).cast("int").alias("depth"), "path").withColumn("depth", F.when(F.col("path").isNotNull(), F.col("depth")))
 
 
 def descendants(solved: DataFrame) -> DataFrame:
-    """``(node, descendant, distance)`` from the result of ``paths``: each node below another on its path."""
+    """``(node, descendant, distance)`` from the result of ``paths``: each node below another on its path. Other parents' descendants are in ``below``."""
     above = solved.where("path IS NOT NULL").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "node"))
     return above.select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def below(edges: DataFrame) -> DataFrame:
+    """``(node, descendant, distance)`` over all ``links``: every pair of a node and one below it, with the fewest links between them."""
+    part = cut(edges.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
+    known, reach = part, 1
+    while True:
+        # Pairs of up to ``reach`` links are known; those of up to twice as many pass a node at just that distance.
+        far = part.where(F.col("distance") == reach).select(F.col("node").alias("top"), F.col("descendant").alias("node"))
+        if far.isEmpty():
+            return known
+        met = known.join(far, "node").groupBy(F.col("top").alias("node"), "descendant").agg((F.min("distance") + reach).cast("int").alias("distance"))
+        part = cut(met.join(known.select("node", "descendant"), ["node", "descendant"], "left_anti"))
+        known, reach = known.unionByName(part), 2 * reach

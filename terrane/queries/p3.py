@@ -34,7 +34,7 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(op.descendants(op.paths(_links(spark, sf_dir))), "descendant")
+    return _split(op.below(_links(spark, sf_dir)), "descendant")
 
 
 _EDGES = """

@@ -87,6 +87,34 @@ def test_descendants(spark, rows):
     assert got == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
 
 
+@pytest.mark.parametrize("n, size", [(60, 60), (90, 40)])
+def test_below_and_paths_over_all_parents(spark, n, size):
+    rnd = random.Random(n)
+    edges = {(str(rnd.randrange(size)), str(rnd.randrange(size))) for _ in range(n)} | {(f"c{i + 1}", f"c{i}") for i in range(20)} | {("c0", "0"), ("c9", "c3")}
+    under = {}
+    for c, p in edges:
+        under.setdefault(p, []).append(c)
+    want = {}
+    for top in under:
+        now, d = {top}, 0
+        while now:
+            d, now = d + 1, {c for x in now for c in under.get(x, []) if (top, c) not in want}
+            want |= {(top, c): d for c in now}
+    links = _links(spark, sorted(edges))
+    got = hierarchy.below(links).collect()
+    assert len(got) == len(want) and {(r.node, r.descendant): r.distance for r in got} == want
+    solved = {r.node: r for r in hierarchy.paths(links, 20).collect()}
+    roots = set(under) - {c for c, _ in edges}
+    for v, r in solved.items():
+        rooted = v in roots or any((x, v) in want for x in roots)
+        assert (r.path is not None) == rooted and (not rooted or r.path[0] in roots and r.path[-1] == v and all(e in edges for e in zip(r.path[1:], r.path)))
+
+
+def test_path_leaves_a_cycle_of_first_parents(spark, rows):
+    solved = hierarchy.paths(_links(spark, [("a", "b"), ("b", "a"), ("b", "r"), ("c", "a")]), 2)
+    assert rows(solved.select("node", "parent", "root", "depth")) == [("a", "b", "r", 2), ("b", "r", "r", 1), ("c", "a", "r", 3), ("r", None, "r", 0)]
+
+
 @pytest.mark.parametrize("n, most", [(320, 10_000), (700, 3)])
 def test_cycles_against_strong_parts(spark, n, most):
     rnd = random.Random(n)
