@@ -18,8 +18,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs with their lift that are frequent enough, whether above chance or not."""
-    found = together.pairs(_items(spark, sf_dir), "record", "item", least=3, share=2000)
+    """All pairs that occur, with the number of features and the lift, however rare."""
+    found = together.pairs(_items(spark, sf_dir), "record", "item", least=1, share=None)
     return found.withColumn("lift", F.round("lift", 6))
 
 

@@ -1,7 +1,9 @@
 """Items that appear together: pair counts and lift by heavy-light decomposition.
 
 Items too rare for any pair that is asked for are dropped first; that is exact,
-and it bounds the number of items by ``incidences / least support``. Records are
+and with a share it bounds the number of items by ``incidences / least support``.
+Without one every pair that occurs is counted; items are then numbered by ranges
+and there are blocks enough that each holds about ``HASHED`` pairs. Records are
 dealt in blocks, and within a block
 
 * pairs of frequent (heavy) items are counted by popcounts over a bit matrix,
@@ -11,7 +13,8 @@ dealt in blocks, and within a block
 
 Only sums per pair leave a block. A record with very many items never yields its
 pairs one by one: its items are distinct and frequent, so its block's hash holds
-no more pairs than there are pairs of such items.
+no more pairs than there are pairs of such items. Without a share those are all
+its pairs, which are rows of the result as well.
 
 Defined results: an item counts once in a record. Null items and records are left
 out. Ties are all kept. No records give no pairs.
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
+from terrane.plans.ranks import running_total
 
 #: An item in at least one of so many records is heavy: a word of its bit row then has a bit set on average.
 HEAVY = 64
@@ -97,19 +101,25 @@ def _block(record: np.ndarray, item: np.ndarray, heavy: int, items: int) -> pd.D
     return pd.DataFrame({k: np.concatenate(v) if v else np.array([], np.int64) for k, v in out.items()}).astype("int64")
 
 
-def pairs(incidences: DataFrame, record: str, item: str, least: int, share: int, heavy_share: int = HEAVY) -> DataFrame:
-    """``(item_a, item_b, n_a, n_b, n_ab, n_records, lift)`` of all pairs with ``n_ab >= least`` and ``share * n_ab >= N``, ``item_a < item_b``."""
+def pairs(incidences: DataFrame, record: str, item: str, least: int, share: int | None, heavy_share: int = HEAVY) -> DataFrame:
+    """``(item_a, item_b, n_a, n_b, n_ab, n_records, lift)`` of all pairs with ``n_ab >= least`` and, if there is a ``share``, ``share * n_ab >= N``; ``item_a < item_b``."""
     spark = incidences.sparkSession
     once = cut(incidences.select(F.col(record).alias("record"), F.col(item).alias("item")).na.drop().distinct())
     total = once.select("record").distinct().count()
-    support = max(least, -(-total // share), 1)
+    support = max(least, -(-total // share) if share else 1, 1)
     frequent = once.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    # No more items than incidences / support, so numbering them in one task is bounded by share * (items to a record).
-    numbered = cut(frequent.withColumn("code", F.expr("row_number() OVER (ORDER BY n DESC, item) - 1").cast("bigint")))
+    if share:
+        # No more items than incidences / support, so numbering them in one task is bounded by share * (items to a record).
+        numbered = cut(frequent.withColumn("code", F.expr("row_number() OVER (ORDER BY n DESC, item) - 1").cast("bigint")))
+    else:
+        numbered = cut(running_total(cut(frequent).withColumn("_one", F.lit(1).cast("bigint")), [-F.col("n"), F.col("item")], "_one", "code").select("item", "n", F.col("code").cast("bigint").alias("code")))
     items, incident, heavy = numbered.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") * heavy_share >= total)).first()
     codes = numbered.select("item", "code")
     coded = once.join(F.broadcast(codes) if items <= BROADCAST_ITEMS else codes, "item").select("record", "code")
     blocks = max(1, -(-incident // BLOCK), min(spark.sparkContext.defaultParallelism, -(-incident // 20_000)))
+    if not share:
+        each = once.groupBy("record").agg(F.count("*").alias("k"))
+        blocks = max(blocks, -(-int(each.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]) // HASHED))
     width = max(1, items)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +127,7 @@ def pairs(incidences: DataFrame, record: str, item: str, least: int, share: int,
 
     keyed = coded.select(F.xxhash64("record").alias("h"), "record", "code").withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     parts = keyed.select("block", "record", "code").groupBy("block").applyInPandas(count, "a bigint, b bigint, n bigint")
-    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where((F.col("n_ab") >= least) & (F.col("n_ab") * share >= total))
+    sums = parts.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where((F.col("n_ab") >= least) & (F.col("n_ab") * share >= total if share else F.lit(True)))
     name = lambda x: numbered.select(F.col("code").alias(x), F.col("item").alias(f"i_{x}"), F.col("n").alias(f"m_{x}"))
     met = sums.join(name("a"), "a").join(name("b"), "b")
     first = F.col("i_a") < F.col("i_b")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.llm import bpe, frequency, mixing, together, truncation
-from terrane.llm.queries import TOKENIZERS
+from terrane.llm.queries import TOKENIZERS, p2_pairs
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -48,6 +48,20 @@ def test_pairs_empty_and_single(spark):
     assert _pairs(spark, [("r", "a", 1, 1), ("r", "b", 1, 1)], least=1, share=10) == {("a", "b"): (1, 1, 1, 1.0)}
 
 
+def test_pairs_without_a_floor(spark, monkeypatch):
+    monkeypatch.setattr(together, "HASHED", 50)
+    rnd = random.Random(3)
+    data = [(f"r{rnd.randrange(300)}", f"i{min(rnd.randrange(90), rnd.randrange(90))}", 1, 1) for _ in range(900)] + [("only", "x", 1, 1), ("only", "y", 1, 1)]
+    got = _pairs(spark, data, least=1, share=None)
+    assert got == _brute(data, 1, 10**9) and got[("x", "y")][:3] == (1, 1, 1)
+
+
+def test_query_of_pairs_has_rare_ones(spark, tmp_path):
+    tags = [("point", i, 0, "k", "v") for i in range(4001)] + [("point", 0, 1, "a", "b"), ("point", 1, 1, "a", "b")]
+    spark.createDataFrame(tags, "feature_type string, feature_value bigint, tag_ord int, tag_key string, tag_value string").write.parquet(f"{tmp_path}/feature_tags.parquet")
+    assert [(r.item_a, r.item_b, r.n_a, r.n_b, r.n_ab, r.lift) for r in p2_pairs(spark, str(tmp_path)).collect()] == [("a=b", "k=v", 2, 4001, 2, 1.0)]
+
+
 # Frequencies
 
 
