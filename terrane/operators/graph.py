@@ -263,8 +263,9 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
 
     Components are labelled by rounds of joins, in which each node takes the least
     label around it and then that label's own label, so labels travel twice as far
-    each round. A component's extent from a path's start is bounded through its
-    bounding box.
+    each round. A start is kept if one of its component's four extreme nodes is far
+    enough, and left out if no corner of the bounding box is; between the two all
+    nodes of the component are measured.
     """
     e = cut(segs.select("first_node", "last_node").distinct())
     label = cut(e.select(F.col("first_node").alias("node"), F.col("first_node").alias("label")).distinct())
@@ -280,7 +281,15 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
     placed = label.join(at, "node")
     far = placed.groupBy("label").agg(*[f(F.struct(F.col(f"at.{c}"), "at")).getField("at").alias(n) for n, f, c in (("s", F.min, "lat"), ("n", F.max, "lat"), ("w", F.min, "lng"), ("e", F.max, "lng"))])
     starts_ = segs.where("first = 0").select("path", F.col("first_node").alias("node")).distinct().join(placed, "node").join(far, "label")
-    return starts_.where(F.greatest(*[geo.distance(F.col("at"), F.col(x)) for x in ("s", "n", "w", "e")]) > threshold).select("path").distinct()
+    most = lambda ends: F.greatest(*[geo.distance(F.col("at"), x) for x in ends])
+    corners = [geo.ll(F.col(y)["lat"], F.col(x)["lng"]) for y in ("s", "n") for x in ("w", "e")]
+    # The farthest place of a box is a corner only while no part of it is a quarter of the globe aside.
+    bound = (F.col("e.lng") - F.col("w.lng") <= 90.0) & (most(corners) <= threshold)
+    starts_ = cut(starts_.select("path", "node", "label", "at", (most([F.col(x) for x in ("s", "n", "w", "e")]) > threshold).alias("far"), bound.alias("near")))
+    open_ = starts_.where("NOT far AND NOT near")
+    every = placed.select("label", F.col("at").alias("other"))
+    reached = open_.select("node", "label", "at").distinct().join(every, "label").where(geo.distance(F.col("at"), F.col("other")) > threshold).select("node").distinct()
+    return starts_.where("far").select("path").unionByName(open_.join(reached, "node", "left_semi").select("path")).distinct()
 
 
 def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:

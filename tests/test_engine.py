@@ -209,6 +209,22 @@ def test_network_and_nearest(mini, spark):
     assert (r.id, r.path) == ("a", "1") and r.metres == pytest.approx(math.radians(0.0001) * S.R, rel=1e-3)
 
 
+def test_network_measures_nodes_between_the_extremes(spark):
+    t = math.degrees(500.0 / S.R)
+
+    def kept(diagonal, lng):
+        at = {0: (0.0, lng), 1: (0.9 * t, lng), 2: (0.0, lng + 0.9 * t), 3: (diagonal * t, lng + diagonal * t)}
+        at = {i: (a, (b + 180.0) % 360.0 - 180.0) for i, (a, b) in at.items()}
+        rows = [_pt(i, *p) for i, p in at.items()]
+        rows += [{"type": "path", "ns": "w", "value": i, "tags": [("#highway", "residential")], "points": [at[0], at[i]], "refs": [P(0), P(i)]} for i in (1, 2, 3)]
+        w = W.World(W.feature_rows(spark, rows))
+        return {r.path.split("/")[-1] for r in G.network(w, G.segments(w), 500.0).collect()}
+
+    assert kept(0.85, 0.0) == {"1", "2", "3"}
+    assert kept(0.6, 0.0) == set()
+    assert kept(0.85, 180.0 - 0.5 * t) == {"1", "2", "3"}
+
+
 # Geometry
 
 
