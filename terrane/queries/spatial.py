@@ -339,18 +339,25 @@ def paths_to_reach(s, d):
     return G.paths_to_reach(G.routes(r, G.reachable(w, r, _brand(w))))
 
 
+#: Metres within which features are connected, and beyond which paths must lead to count as the street network.
+CONNECT = 500.0
+
+
+def _connections(s, d, points):
+    w = _net(s, d)
+    kept = G.network(w, _segments(w), CONNECT)
+    paths = w.features.where("type = 'path'").select(F.concat_ws("/", "type", "ns", F.col("value").cast("string")).alias("path"), "points").join(kept, "path", "left_semi")
+    return G.connect_nearest(points, paths, CONNECT).select("id", "path", F.round("metres", 2).alias("metres"))
+
+
 @q()
 def connect_to_network_all(s, d):
-    paths = D.streets(s, d).where(F.size("points") > 1).select(F.concat_ws("/", "ns", F.col("value").cast("string")).alias("path"), "points")
-    return G.connect_nearest(_points(s, d).select(F.col("value").alias("id"), "at"), paths, 100.0).select("id", "path", F.round("metres", 2).alias("metres"))
+    return _connections(s, d, _points(s, d).select(F.col("value").alias("id"), "at")).withColumn("path", F.expr("substring(path, instr(path, '/') + 1)"))
 
 
 @q()
 def connect_to_network(s, d):
-    w = _net(s, d)
-    kept = G.network(w, _segments(w), 500.0)
-    paths = w.features.where("type = 'path'").select(F.concat_ws("/", "type", "ns", F.col("value").cast("string")).alias("path"), "points").join(kept, "path", "left_semi")
-    return G.connect_nearest(D.suppliers(s, d).select(F.col("value").alias("id"), F.col("points")[0].alias("at")), paths, 100.0).select("id", "path", F.round("metres", 2).alias("metres"))
+    return _connections(s, d, D.suppliers(s, d).select(F.col("value").alias("id"), F.col("points")[0].alias("at")))
 
 
 @q("SELECT count(*) FILTER (p_partkey = 21) AS connected, (SELECT count(DISTINCT p_partkey // 20) + count(DISTINCT p_partkey % 20) + 1 FROM part) AS paths FROM part")

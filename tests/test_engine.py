@@ -13,6 +13,7 @@ from terrane.functions import cells, geo, geojson as J, numbers as N, sphere as
 from terrane.ids import FeatureID
 from terrane.operators import areas as A, graph as G, histogram as H, render
 from terrane.operators.collections import Collection
+from terrane.queries import spatial
 from terrane.sources import ingest, transit
 from terrane.streaming.deltas import fold_stream
 
@@ -225,6 +226,20 @@ def test_network_measures_nodes_between_the_extremes(spark):
     assert kept(0.85, 180.0 - 0.5 * t) == {"1", "2", "3"}
 
 
+def test_features_connect_within_500_metres_to_the_network_only(spark, rows, monkeypatch):
+    t = math.degrees(500.0 / S.R)
+    at = {0: (0.0, 0.0), 1: (0.0, 2 * t), 2: (0.6 * t, t), 3: (0.6 * t, 1.1 * t)}
+    path = lambda v, a, b: {"type": "path", "ns": "w", "value": v, "tags": [("#highway", "residential")], "points": [at[a], at[b]], "refs": [P(a), P(b)]}
+    w = W.World(W.feature_rows(spark, [*[_pt(i, *p) for i, p in at.items()], path(1, 0, 1), path(2, 2, 3)]))
+    customers = spark.createDataFrame([("point", "c", 7, (0.5 * t, t), [(0.5 * t, t)])], f"type string, ns string, value bigint, at {geo.POINT}, points {geo.PATH}")
+    monkeypatch.setattr(spatial, "_net", lambda s, d: w)
+    monkeypatch.setattr(spatial.D, "customers", lambda s, d: customers)
+    monkeypatch.setattr(spatial.D, "suppliers", lambda s, d: customers)
+    # The isolated path is nearer, but no network.
+    assert rows(spatial.connect_to_network_all(spark, "")) == [(7, "w/1", pytest.approx(250.0, abs=0.1))]
+    assert rows(spatial.connect_to_network(spark, "")) == [(7, "path/w/1", pytest.approx(250.0, abs=0.1))]
+
+
 # Geometry
 
 
