@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geo, sphere as S
+from terrane.operators.proximity import Grid, cell_of, cover_box
 from terrane.plans.lineage import cut
 
 
@@ -56,7 +57,7 @@ def _view(center: tuple[float, float], radius: float, loops: list[list[tuple[flo
     """The corners of what is seen from a centre within ``radius`` metres past loops of ``(lat, lng)``, on a plane around it."""
     lat0, lng0 = center
     k = math.radians(1) * S.R
-    plane = lambda p: ((p[1] - lng0) * math.cos(math.radians(lat0)) * k, (p[0] - lat0) * k)
+    plane = lambda p: (((p[1] - lng0 + 180.0) % 360.0 - 180.0) * math.cos(math.radians(lat0)) * k, (p[0] - lat0) * k)
     a, b = [], []
     for loop in loops:
         pts = [plane(p) for p in loop]
@@ -78,20 +79,17 @@ def _view(center: tuple[float, float], radius: float, loops: list[list[tuple[flo
             u = (ax * d[:, 1] - ay * d[:, 0]) / den
         hit = (np.abs(den) > 1e-12) & (s > 0) & (u >= 0) & (u <= 1)
         far = np.where(hit & (s < far), s, far)
-    return [(lat0 + f * y / k, lng0 + f * x / k / math.cos(math.radians(lat0))) for f, (x, y) in zip(far, d)]
+    return [(lat0 + f * y / k, (lng0 + f * x / k / math.cos(math.radians(lat0)) + 180.0) % 360.0 - 180.0) for f, (x, y) in zip(far, d)]
 
 
 def sightlines(origins: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
     """``(id, polygons)`` seen from ``origins`` ``(id, at)`` past ``buildings`` ``(polygons)``: they are met by cells of the radius, then swept once an origin."""
-    step = radius / S.R * 57.29577951308232
-    cell = lambda c, k: F.floor(c / (step if k == "lat" else 2 * step)).cast("bigint")
-    o = origins.withColumn("y", F.explode(F.sequence(cell(F.col("at.lat"), "lat") - 1, cell(F.col("at.lat"), "lat") + 1))).withColumn("x", F.explode(F.sequence(cell(F.col("at.lng"), "lng") - 1, cell(F.col("at.lng"), "lng") + 1)))
+    grid = Grid(radius)
+    o = cell_of(origins, grid, "at")
     loops = buildings.select(F.monotonically_increasing_id().alias("b"), F.explode(F.flatten("polygons")).alias("loop"))
     loops = cut(loops)
-    low = lambda k: cell(F.array_min(F.transform("loop", lambda p: p[k])), k)
-    high = lambda k: cell(F.array_max(F.transform("loop", lambda p: p[k])), k)
-    spread = loops.withColumn("y", F.explode(F.sequence(low("lat"), high("lat")))).withColumn("x", F.explode(F.sequence(low("lng"), high("lng"))))
-    met = o.join(spread, ["x", "y"], "left").select("id", "at", "loop").distinct().groupBy("id", "at").agg(F.collect_list("loop").alias("loops"))
+    spread = cover_box(loops, grid, radius, F.col("loop"))
+    met = o.join(spread, ["row", "col"], "left").select("id", "at", "loop").distinct().groupBy("id", "at").agg(F.collect_list("loop").alias("loops"))
 
     def run(it):
         for pdf in it:

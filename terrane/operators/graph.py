@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geo
+from terrane.operators.proximity import Grid, aside, cell_of, cover_box
 from terrane.plans.lineage import cut
 from terrane.query import first_value
 from terrane.world import KEY, World
@@ -294,18 +295,16 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
 
 def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
     """``(id, path, at, metres)``: for each point ``(id, at)`` the nearest of ``paths`` (``path, points``) within ``threshold``, by cells of that size."""
-    step = threshold / geo.R * 57.29577951308232
-    cell = lambda p, k: F.floor(p[k] / (step if k == "lat" else step * 2)).cast("bigint")
+    grid = Grid(threshold)
     legs = paths.select("path", F.explode(F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("leg"))
-    span = lambda k: F.sequence(F.least(cell(F.col("leg.a"), k), cell(F.col("leg.b"), k)) - 1, F.greatest(cell(F.col("leg.a"), k), cell(F.col("leg.b"), k)) + 1)
-    legs = legs.select("path", "leg", F.explode(span("lat")).alias("y")).select("path", "leg", "y", F.explode(span("lng")).alias("x"))
-    here = points.withColumn("y", cell(F.col("at"), "lat")).withColumn("x", cell(F.col("at"), "lng"))
+    legs = cover_box(legs, grid, threshold, F.array("leg.a", "leg.b"))
+    here = cell_of(points, grid, "at")
     # The foot on a leg of a street's length: on a plane around the point.
     k = F.cos(F.radians(F.col("at.lat")))
-    ax, ay = (F.col("leg.a.lng") - F.col("at.lng")) * k, F.col("leg.a.lat") - F.col("at.lat")
-    bx, by = (F.col("leg.b.lng") - F.col("at.lng")) * k, F.col("leg.b.lat") - F.col("at.lat")
+    ax, ay = aside(F.col("leg.a.lng"), F.col("at.lng")) * k, F.col("leg.a.lat") - F.col("at.lat")
+    bx, by = ax + aside(F.col("leg.b.lng"), F.col("leg.a.lng")) * k, F.col("leg.b.lat") - F.col("at.lat")
     dx, dy = bx - ax, by - ay
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
-    foot = geo.ll(F.col("leg.a.lat") + t * (F.col("leg.b.lat") - F.col("leg.a.lat")), F.col("leg.a.lng") + t * (F.col("leg.b.lng") - F.col("leg.a.lng")))
-    met = here.join(legs, ["x", "y"]).withColumn("foot", foot).withColumn("metres", geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
+    foot = geo.ll(F.col("leg.a.lat") + t * (F.col("leg.b.lat") - F.col("leg.a.lat")), aside(F.col("leg.a.lng") + t * aside(F.col("leg.b.lng"), F.col("leg.a.lng")), F.lit(0.0)))
+    met = here.join(legs, ["row", "col"]).withColumn("foot", foot).withColumn("metres", geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
     return met.groupBy("id").agg(F.min(F.struct("metres", "path", "foot")).alias("m")).select("id", F.col("m.path").alias("path"), F.col("m.foot").alias("at"), F.col("m.metres").alias("metres"))

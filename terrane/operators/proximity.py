@@ -95,6 +95,34 @@ def cover_circle(df: DataFrame, grid: Grid, radius: float, rows: range) -> DataF
     return df.withColumn("interior", plain & (up * up + side * side < (reach * 0.999) ** 2)).withColumn("col", F.pmod("_c", "_n")).drop("_off", "_n", "_c")
 
 
+def aside(lng: Column, of: Column) -> Column:
+    """``lng`` less ``of``, the short way round."""
+    return F.pmod(lng - of + 180.0, F.lit(360.0)) - 180.0
+
+
+def cell_of(df: DataFrame, grid: Grid, at: str) -> DataFrame:
+    """``df`` with the cell ``row, col`` of the point in column ``at``."""
+    df = df.withColumn("row", grid.row(F.col(at)["lat"]))
+    return df.withColumn("col", grid.column(F.col(at)["lng"], grid.columns(F.col("row"))))
+
+
+def cover_box(df: DataFrame, grid: Grid, radius: float, points: Column) -> DataFrame:
+    """``df`` with ``row, col`` of every cell that has a place within ``radius`` of the box around ``points``, at any latitude and across 180 degrees."""
+    reach = math.degrees(radius / EARTH_RADIUS) * 1.001
+    lats = F.transform(points, lambda p: p["lat"])
+    lngs = F.transform(points, lambda p: points[0]["lng"] + aside(p["lng"], points[0]["lng"]))
+    df = once(df, _s=F.array_min(lats), _n=F.array_max(lats), _w=F.array_min(lngs), _e=F.array_max(lngs))
+    top = F.greatest(F.abs("_s"), F.abs("_n")) + reach
+    df = once(df, _wide=F.lit(reach) / F.cos(F.radians(F.least(top, F.lit(89.9)))), _pole=top >= 89.9)
+    df = df.withColumn("row", F.explode(F.sequence(grid.row(F.greatest(F.col("_s") - reach, F.lit(-90.0))), grid.row(F.least(F.col("_n") + reach, F.lit(90.0))))))
+    df = once(df, _k=grid.columns(F.col("row")))
+    place = lambda lng: F.floor((lng + 180.0) / 360.0 * F.col("_k")).cast("int")
+    first, last = place(F.col("_w") - F.col("_wide")), place(F.col("_e") + F.col("_wide"))
+    every = F.col("_pole") | (last - first + 1 >= F.col("_k"))
+    df = df.select("*", F.explode(F.when(every, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.sequence(first, last))).alias("_c"))
+    return df.withColumn("col", F.pmod("_c", "_k")).drop("_s", "_n", "_w", "_e", "_wide", "_pole", "_k", "_c")
+
+
 def near(locations: DataFrame, radius: float) -> DataFrame:
     """``(loc_a, loc_b)``, ``loc_a < loc_b``: locations ``(loc, lat, lng)`` in degrees less than ``radius`` metres apart."""
     one = locations.where("loc IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL").groupBy("loc").agg(F.min(F.struct("lat", "lng")).alias("at")).select("loc", "at.lat", "at.lng")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane import ids
 from terrane.functions import geo
+from terrane.operators.proximity import Grid, cell_of, cover_box
 from terrane.world import KEY
 
 #: Keys that get a mark when map data is read.
@@ -75,11 +76,9 @@ def join_tags(features: DataFrame, rows: DataFrame, id: str = "id") -> DataFrame
 
 def elevation(points: DataFrame, heights: DataFrame, radius: float = 25.0) -> DataFrame:
     """``(id, ele)``: the mean of spot heights ``(at, ele)`` within ``radius`` metres of points ``(id, at)``, weighted by one over the distance."""
-    step = radius / geo.R * 57.29577951308232
-    row = lambda c: F.floor(F.col(c) / step).cast("bigint")
-    col = lambda c: F.floor(F.col(c) / (3 * step)).cast("bigint")
-    a = points.withColumn("y", F.explode(F.sequence(row("at.lat") - 1, row("at.lat") + 1))).withColumn("x", F.explode(F.sequence(col("at.lng") - 1, col("at.lng") + 1)))
-    b = heights.select(F.col("at").alias("spot"), "ele", row("at.lat").alias("y"), col("at.lng").alias("x"))
+    grid = Grid(radius)
+    a = cell_of(points, grid, "at")
+    b = cover_box(heights.select(F.col("at").alias("spot"), "ele"), grid, radius, F.array("spot"))
     d = geo.distance(F.col("at"), F.col("spot"))
-    met = a.join(b, ["x", "y"]).withColumn("d", d).where(F.col("d") <= radius).withColumn("w", 1 / F.greatest(F.col("d"), F.lit(1e-6)))
+    met = a.join(b, ["row", "col"]).withColumn("d", d).where(F.col("d") <= radius).withColumn("w", 1 / F.greatest(F.col("d"), F.lit(1e-6)))
     return met.groupBy("id").agg((F.sum(F.col("w") * F.col("ele")) / F.sum("w")).alias("ele"))

@@ -310,6 +310,23 @@ def test_sightline_and_snap(spark):
     assert all(p.lat in (pytest.approx(0.00025), ) or p.lat in (0.0002, 0.0003) for p in got[0][0])
 
 
+@pytest.mark.parametrize("lat, lng", [(80.0, 10.0), (-75.0, 179.9999), (0.0, -179.9999)])
+def test_windows_at_any_latitude_and_across_180(spark, lat, lng):
+    k = math.degrees(1 / S.R)
+    turn = lambda x: (x + 180.0) % 360.0 - 180.0
+    east = lambda m, up=0.0: (lat + up * k, turn(lng + m * k / math.cos(math.radians(lat))))
+    for m in (-99.0, -60.0, 60.0, 99.0):
+        at = spark.createDataFrame([("o", (lat, lng))], f"id string, at {geo.POINT}")
+        path = spark.createDataFrame([("p", [east(m, -5.0), east(m, 5.0)])], f"path string, points {geo.PATH}")
+        assert G.connect_nearest(at, path, 100.0).first().metres == pytest.approx(abs(m), abs=0.1)
+        spots = spark.createDataFrame([(east(m), 7.0)], f"at {geo.POINT}, ele double")
+        assert ingest.elevation(at, spots, 100.0).first().ele == pytest.approx(7.0)
+        wall = [[[east(m, -5.0), east(m, 5.0), east(m * 2, 5.0), east(m * 2, -5.0)]]]
+        ring = A.sightlines(at, spark.createDataFrame([(wall,)], f"polygons {geo.AREA}"), 100.0).first().polygons[0][0]
+        ahead = [turn(p.lng - lng) * math.cos(math.radians(lat)) / k for p in ring if abs(p.lat - lat) < k]
+        assert max(x * math.copysign(1, m) for x in ahead) == pytest.approx(abs(m), abs=0.1)
+
+
 def test_colouring(spark, rows):
     grid = [(f"{i}{j}", [[[(i, j), (i, j + 1), (i + 1, j + 1), (i + 1, j)]]]) for i in range(3) for j in range(3)]
     df = spark.createDataFrame([(n, [[[(float(a), float(b)) for a, b in x] for x in p] for p in poly]) for n, poly in grid], f"id string, polygons {geo.AREA}")
