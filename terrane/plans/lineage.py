@@ -13,15 +13,35 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
+    """This application's folder under the session's ``spark.checkpoint.dir``.
+
+    Only a local master, whose threads share one disk, may do without the setting
+    (a temporary folder then); on a cluster each executor would write its own.
+    The folder is deleted when the driver ends: tables in it serve plans that are
+    evaluated later, so nothing in it is known to be done with before.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="terrane-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return "file://" + _own[app]
+        at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if at:
+            _own[app] = f"{at.rstrip('/')}/terrane-{app}"
+            path = sc._jvm.org.apache.hadoop.fs.Path(_own[app])
+            fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        elif sc.master == "local" or sc.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="terrane-")
+            atexit.register(shutil.rmtree, folder, True)
+            _own[app] = "file://" + folder
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own[app]
+
+
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that is not taken."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,6 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
     running; the columnar files are smaller than a serialized checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrane/{uuid.uuid4().hex}"
+    path = fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Below this many rows a key is never worth splitting.
 HOT_LEAST = 20_000
+#: Rows of a few narrow columns up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", share: int = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame | None:
@@ -44,6 +46,17 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataF
     return cold.unionByName(warm)
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per key, cut; ``n`` is about how many rows of ``left`` have the key), null where there is none.
+
+    Up to ``most`` rows of ``right`` are broadcast; more are joined by shuffle, the hottest of them by broadcast.
+    """
+    rows = right.count()
+    if rows <= most:
+        return left.join(F.broadcast(right), list(keys), "left")
+    return skew_join(left, right.hint("merge"), keys, hot_keys(right, keys, n), "left")
+
+
 def salted(row_id: Sequence[Column], salts: Column) -> Column:
     """The salt in ``[0, salts)`` of a row."""
     return F.pmod(F.xxhash64(*row_id), salts.cast("bigint")).cast("int")

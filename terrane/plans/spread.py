@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Bytes of input that make a partition on their own.
+PARTITION = 128 << 20
+
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """``df`` over at least two partitions a core.
 
-    Input that comes in enough partitions is left alone, so only tables of few
-    files are shuffled. ``key`` must be unique enough to balance.
+    Input large enough to be read in as many is left alone (the estimate is of the
+    plan, nothing is run), so only small tables are shuffled. ``key`` must be
+    unique enough to balance.
     """
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *key)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= want * PARTITION else df.repartition(want, *key)

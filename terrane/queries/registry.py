@@ -11,6 +11,7 @@ from terrane import ids, query as Q, world as W
 from terrane.functions import geo, numbers as N
 from terrane.operators import collections as C, histogram as H
 from terrane.operators.collections import Collection
+from terrane.plans.lineage import fresh
 from terrane.sources import derived as D
 from terrane.sources.tables import table
 
@@ -556,19 +557,11 @@ def add_world_with_change(s, d):
     return w.find(Q.Keyed("#supplier"), order=False).agg(F.count("*").alias("n"))
 
 
-def _shared(s) -> str:
-    import uuid
-
-    from terrane.plans.lineage import shared_dir
-
-    return f"{shared_dir(s)}/terrane/{uuid.uuid4().hex}"
-
-
 @q(_sql_ids("point", "customer", "c_custkey", "customer WHERE c_nationkey = 5"))
 def changes_to_file(s, d):
     w = D.world(s, d, "customer")
     change = W.add_tags(w.find(Q.Tagged("#nation", "5"), order=False).select("type", "ns", "value", F.lit("#picked").alias("k"), F.lit("yes").alias("v")))
-    path = W.changes_to_file(change, _shared(s))
+    path = W.changes_to_file(change, fresh(s))
     return _ids(w.with_change(W.changes_from_file(s, path)).find(Q.Keyed("#picked"), order=False))
 
 
@@ -590,7 +583,7 @@ def materialise_map(s, d):
 
 @q("SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS back")
 def export_world(s, d):
-    path = _shared(s)
+    path = fresh(s)
     n = W.export_world(D.world(s, d, "area"), path)
     return W.read_world(s, path).features.agg(F.lit(n).cast("bigint").alias("n"), F.count("*").alias("back"))
 

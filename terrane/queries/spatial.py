@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,7 +12,7 @@ from terrane.functions import cells, geo, geojson as J, tiles as T
 from terrane.operators import areas as A, graph as G, render as Rn
 from terrane.operators.collections import Collection
 from terrane.operators.histogram import assign
-from terrane.plans.lineage import cut, shared_dir
+from terrane.plans.lineage import cut, fresh
 from terrane.sources import derived as D, ingest
 from terrane.sources.tables import table
 
@@ -404,7 +403,7 @@ def to_geojson_collection(s, d):
 
 
 def _file(s, d) -> str:
-    path = f"{shared_dir(s)}/terrane/{uuid.uuid4().hex}"
+    path = fresh(s)
     _collection_doc(s, d).coalesce(1).write.text(path)
     return path
 

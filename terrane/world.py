@@ -275,16 +275,23 @@ def export_world(world: World, path: str) -> int:
     return world.spark.read.parquet(f"{path}/features").count()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_world(spark: SparkSession, path: str) -> World:
+    """What ``export_world`` wrote. A world without collections has no items; anything else that can't be read is an error."""
     features = spark.read.schema(FEATURE).parquet(f"{path}/features")
-    try:
-        return World(features, spark.read.schema(ITEM).parquet(f"{path}/items"))
-    except Exception:  # noqa: BLE001  a world without collections has no items
-        return World(features)
+    items = f"{path}/items"
+    return World(features, spark.read.schema(ITEM).parquet(items) if exists(spark, items) else None)
 
 
 def changes_to_file(change: Change, path: str) -> str:
-    """Writes a change as JSON lines, a folder to a part."""
+    """Writes a change as JSON lines, a folder to a part; a change without parts is an error."""
+    if change.added is None and change.ops is None and change.items is None:
+        raise ValueError("an empty change")
     for name, df in (("added", change.added), ("ops", change.ops), ("items", change.items)):
         if df is not None:
             df.write.mode("overwrite").json(f"{path}/{name}")
@@ -292,12 +299,14 @@ def changes_to_file(change: Change, path: str) -> str:
 
 
 def changes_from_file(spark: SparkSession, path: str) -> Change:
+    """What ``changes_to_file`` wrote; a part that wasn't written is none, a line that is no change is an error."""
+
     def read(name: str, schema: str):
-        try:
-            return spark.read.schema(schema).json(f"{path}/{name}")
-        except Exception:  # noqa: BLE001  a part that wasn't written
-            return None
+        at = f"{path}/{name}"
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(at) if exists(spark, at) else None
 
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     return Change(read("added", FEATURE), read("ops", TAG_OP), read("items", ITEM))
 
 

@@ -141,8 +141,9 @@ def _metres(a, b):
     return 2 * 6371010 * math.asin(min(1, h**0.5))
 
 
+@pytest.mark.parametrize("limits", [{}, {"dense": 2, "tile": 5}, {"dense": 2}])
 @pytest.mark.parametrize("at", [(0.0, 0.0), (51.5, -0.1), (-63.2, 180.0), (89.999, 20.0), (-90.0, 0.0)])
-def test_near_against_all_pairs(spark, rows, at):
+def test_near_against_all_pairs(spark, rows, at, limits):
     rnd = random.Random(int(at[0]))
     scale = math.cos(math.radians(min(abs(at[0]), 89.9)))
     pts = []
@@ -153,31 +154,55 @@ def test_near_against_all_pairs(spark, rows, at):
     pts += [("q1", at[0], at[1]), ("q2", at[0], at[1])]
     df = spark.createDataFrame(pts + pts[:5] + [(None, 1.0, 1.0), ("z", None, 1.0)], "loc string, lat double, lng double")
     want = sorted((a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and _metres(a[1:], b[1:]) < 25)
-    assert rows(proximity.near(df.withColumn("row", F.lit(1)), 25.0)) == want and want
+    assert rows(proximity.near(df.withColumn("row", F.lit(1)), 25.0, **limits)) == want and want
 
 
-def test_near_splits_hot_cells(spark, rows, monkeypatch):
-    monkeypatch.setattr(proximity, "SALT_ROWS", 10)
-    pts = [(f"a{i}", 10.0, 10.0) for i in range(40)] + [("b", 20.0, 20.0)]
-    got = rows(proximity.near(spark.createDataFrame(pts, "loc string, lat double, lng double"), 25.0))
-    assert len(got) == 40 * 39 // 2
+def test_near_splits_hot_cells(spark, rows):
+    pts = [(f"a{i}", 10.0, 10.0) for i in range(90)] + [("b", 20.0, 20.0)]
+    got = rows(proximity.near(spark.createDataFrame(pts, "loc string, lat double, lng double"), 25.0, tile=10))
+    assert len(got) == len(set(got)) == 90 * 89 // 2
+
+
+def test_near_with_shuffled_marks(spark, rows, monkeypatch):
+    from terrane.plans import skew
+
+    monkeypatch.setattr(proximity, "lookup", lambda *a: skew.lookup(*a, most=0))
+    pts = [(f"a{i}", 10.0 + i // 30 * 1.2e-4, 10.0) for i in range(90)]
+    got = rows(proximity.near(spark.createDataFrame(pts, "loc string, lat double, lng double"), 25.0, dense=4, tile=10))
+    assert len(got) == len(set(got)) == 90 * 89 // 2 - 900
 
 
 def test_near_empty(spark):
     assert proximity.near(spark.createDataFrame([], "loc string, lat double, lng double"), 25.0).count() == 0
 
 
-def test_within_against_exact(spark, rows):
+@pytest.mark.parametrize("most", [(4, 2, 100_000), (256, 64, 100_000), (256, 64, 0)])
+def test_within_against_exact(spark, rows, monkeypatch, most):
+    cover = proximity.cover_ring
+    monkeypatch.setattr(proximity, "cover_ring", lambda ring: cover(ring, most[0], 20, most[1]))
+    monkeypatch.setattr(proximity, "BROADCAST_CELLS", most[2])
     rnd = random.Random(3)
     ring = [(0, 0), (4_000_000, 500_000), (5_000_000, 4_000_000), (2_000_000, 2_000_000), (-1_000_000, 5_000_000)]  # lng, lat
     pts = [(i, rnd.randint(-2_000_000, 6_000_000), rnd.randint(-2_000_000, 6_000_000)) for i in range(400)] + [(900 + i, y, x) for i, (x, y) in enumerate(ring)]
     regions = spark.createDataFrame([(7, [(y, x) for x, y in ring]), (8, [(1, 1), (2, 2)]), (None, None)], "region bigint, ring array<struct<lat_e7:int,lng_e7:int>>")
     got = rows(proximity.within(spark.createDataFrame([*pts, (999, None, 1)], "id bigint, lat_e7 int, lng_e7 int"), regions, ["id"]))
     assert got == sorted(((i, 7) for i, y, x in pts if proximity.inside(x, y, ring)), key=repr)
-    cells = proximity.cover_ring(ring)
+    cells = cover(ring)
     assert any(c[3] for c in cells) and any(not c[3] for c in cells)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_a_cells_edges_decide_every_place_in_it(seed):
+    """On a grid so coarse that corners, borders and points fall together."""
+    rnd = random.Random(seed)
+    ring = [(rnd.randint(-9, 9) * 4, rnd.randint(-9, 9) * 4) for _ in range(rnd.randint(3, 9))]
+    for level, x, y, interior, corner, edges in proximity.cover_ring(ring, most=6, deepest=30):
+        side = 1 << (proximity.SPAN - level)
+        x0, y0 = x * side - (1 << 31), y * side - (1 << 31)
+        for px, py in [(px, py) for px in range(max(x0, -40), min(x0 + side, 41)) for py in range(max(y0, -40), min(y0 + side, 41))]:
+            assert proximity.inside(px, py, ring) == proximity._turned(corner, edges, x0, y0, px, py)
+
+
 def test_within_empty(spark):
     pts = spark.createDataFrame([], "id bigint, lat_e7 int, lng_e7 int")
     regions = spark.createDataFrame([], "region bigint, ring array<struct<lat_e7:int,lng_e7:int>>")
@@ -251,3 +276,13 @@ def test_wide_resolves_first_not_null(spark):
 def test_wide_clashing_names(spark):
     df = spark.createDataFrame([("e", "E", "1", 0)], "e string, k string, v string, o int")
     assert wide.widen(wide.attribute_maps(df, ["e"], "k", "v", "o", ["E"]), ["e"], {"E": "int"}).first()["value_E"] == 1
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from terrane.plans import lineage
+
+    sc = SimpleNamespace(applicationId="app-cluster", master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
