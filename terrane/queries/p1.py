@@ -9,15 +9,21 @@ from terrane.operators import orphans as op
 from terrane.sources.tables import table
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliveries(spark: SparkSession, sf_dir: str, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """``(references, records)`` of the tables, or of the rows of each that ``keep`` keeps."""
     c = F.col
-    points = op.references(table(spark, sf_dir, "path_points"), "path_points", c("path_value"), c("point_ord"), op.feature_key(F.lit("point"), F.lit("demo/node"), c("point_value")))
-    members = op.references(table(spark, sf_dir, "relation_members"), "relation_members", c("relation_value"), c("member_ord"), op.feature_key(c("member_type"), c("member_ns"), c("member_value")))
+    t = lambda name: keep(table(spark, sf_dir, name))
+    points = op.references(t("path_points"), "path_points", c("path_value"), c("point_ord"), op.feature_key(F.lit("point"), F.lit("demo/node"), c("point_value")))
+    members = op.references(t("relation_members"), "relation_members", c("relation_value"), c("member_ord"), op.feature_key(c("member_type"), c("member_ns"), c("member_value")))
     # A colon can't occur in a feature type, so routes and features share one key space.
-    trips = op.references(table(spark, sf_dir, "trips"), "trips", c("trip_id"), F.lit(0), F.when(c("route_id") != "", F.concat(F.lit("route:"), c("route_id"))))
-    features = op.existence_deltas(table(spark, sf_dir, "features"), op.feature_key(c("feature_type"), c("feature_ns"), c("feature_value")))
-    routes = op.existence_deltas(table(spark, sf_dir, "routes"), F.concat(F.lit("route:"), c("route_id")))
-    return op.orphans(points.unionByName(members).unionByName(trips), features.unionByName(routes))
+    trips = op.references(t("trips"), "trips", c("trip_id"), F.lit(0), F.when(c("route_id") != "", F.concat(F.lit("route:"), c("route_id"))))
+    features = op.records(t("features"), op.feature_key(c("feature_type"), c("feature_ns"), c("feature_value")))
+    routes = op.records(t("routes"), F.concat(F.lit("route:"), c("route_id")))
+    return points.unionByName(members).unionByName(trips), features.unionByName(routes)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.orphans(*op.advance(*deliveries(spark, sf_dir)))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

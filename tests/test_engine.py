@@ -1,5 +1,6 @@
 """The engine on a hand-built world and known values."""
 
+import datetime as dt
 import json
 import math
 import random
@@ -15,7 +16,7 @@ from terrane.operators import areas as A, graph as G, histogram as H, render
 from terrane.operators.collections import Collection
 from terrane.queries import spatial
 from terrane.sources import ingest, transit
-from terrane.streaming.deltas import fold_stream
+from terrane.streaming import deltas
 
 NS = "mini/node"
 
@@ -487,14 +488,26 @@ def test_language(mini, rows):
         ev("nothing 1")
 
 
-def test_stream_folds_like_a_batch(spark, tmp_path):
-    schema = "key string, refs bigint, exists bigint, first_ref timestamp, first_seen timestamp"
-    src = str(tmp_path / "in")
-    query = None
-    for rows_ in ([("a", 1, 0, None, None)], [("a", 0, 1, None, None), ("b", 1, 0, None, None)]):
-        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(src)
-        query = fold_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), str(tmp_path / "out"), str(tmp_path / "cp"))
+def test_stream_keeps_what_a_batch_gives(spark, tmp_path, rows):
+    from terrane.operators.orphans import first_deliveries, advance, orphan_keys
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ref, rec = lambda o, k, d, g=None: ("t", o, 0, k, d, g), lambda k, d, g=None: (None, None, None, k, d, g)
+    day = lambda n: dt.datetime(2024, 1, n)
+    batches = [[ref("a", "x", day(1)), rec("x", day(2)), ref("b", "y", day(1))], [ref("a", "x", day(3)), rec("x", day(2)), rec("y", day(9)), (None, None, None, None, None, None)], [rec("x", day(4), True), ref("c", "y", day(4))], [ref("a", "x", day(5), True)]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, deltas.DELIVERY).coalesce(1).write.mode("append").parquet(src)
+        query = deltas.follow(spark.readStream.schema(deltas.DELIVERY).option("maxFilesPerTrigger", 1).parquet(src), out, str(tmp_path / "cp"), buckets=3)
         query.processAllAvailable()
         query.stop()
-    last = spark.read.parquet(str(tmp_path / "out" / "batch=1"))
-    assert {(r.key, r.refs, r.exists) for r in last.collect()} == {("a", 1, 1), ("b", 1, 0)}
+    kept = deltas.Kept(spark, out)
+    refs, state = kept.current()
+    every = spark.createDataFrame([r for b in batches for r in b], deltas.DELIVERY).where("key IS NOT NULL").withColumn("gone", F.coalesce("gone", F.lit(False)).cast("bigint"))
+    want = advance(first_deliveries(every.where("ref_table IS NOT NULL")), first_deliveries(every.where("ref_table IS NULL"), ["key"]))
+    assert rows(refs) == rows(want[0].select(*refs.columns)) and rows(state) == rows(want[1])
+    assert [r.key for r in orphan_keys(state).collect()] == [] and {r.key: r.exists for r in state.collect()} == {"x": 0, "y": 1}
+    # A batch that runs again changes nothing.
+    before = rows(state)
+    again = deltas.Kept(spark, out, 3)
+    again.step(spark.createDataFrame(batches[3], deltas.DELIVERY), 3)
+    assert rows(again.current()[1]) == before
