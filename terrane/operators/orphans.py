@@ -118,7 +118,6 @@ def orphans(refs: DataFrame, state: DataFrame) -> DataFrame:
         met = refs.join(F.broadcast(found), "key")
     else:
         # Hot are the keys with most references, suspect or not: it is those rows that would move.
-        refs = cut(refs)
         met = skew_join(refs, found.hint("merge"), ["key"], hot_keys(state, ["key"], "refs"))
     reason = F.when(F.col("exists") > 0, F.when(F.col("first_seen") > F.col("at"), "late")).when(F.col("deleted") > 0, "deleted").otherwise("missing")
     return met.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*REF, "at", "reason")

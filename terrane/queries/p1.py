@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators import orphans as op
+from terrane.plans.lineage import cut
 from terrane.sources.tables import table
 
 
@@ -23,7 +24,9 @@ def deliveries(spark: SparkSession, sf_dir: str, keep=lambda df: df) -> tuple[Da
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.orphans(*op.advance(*deliveries(spark, sf_dir)))
+    refs, recs = deliveries(spark, sf_dir)
+    # Used for the state and again for the references of suspect keys.
+    return op.orphans(*op.advance(cut(refs), recs))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
