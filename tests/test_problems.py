@@ -272,6 +272,16 @@ def test_good_rows_have_their_cells(spark):
     assert (r.stop_name, r.stop_code, r.stop_desc, r.zone_id) == ('a,b\n"c"', " x ", "", "")
 
 
+def test_lines_that_only_the_reader_rejects(spark, monkeypatch):
+    feed = {"two": delimited.Feed(("a", "b"))}
+    df = spark.createDataFrame([(1, "two", "x,y"), (2, "two", "x,"), (3, "two", '"' + "," * 30_000 + '",y'), (4, "two", "," * 30_000), (5, "two", "x,y,z")], "raw_id bigint, feed string, line string")
+    got = {r.raw_id: (r.reason, r.cells) for r in delimited.read_lines(df, feed).collect()}
+    assert got == {1: (None, {"a": "x", "b": "y"}), 2: (None, {"a": "x", "b": ""}), 3: ("reader", None), 4: ("columns", None), 5: ("columns", None)}
+    # A reader that wants another separator rejects every line.
+    monkeypatch.setattr(delimited, "READER", delimited.READER | {"sep": ";"})
+    assert {r.reason for r in delimited.read_lines(df.where("raw_id < 3"), feed).collect()} == {"reader"}
+
+
 def test_lines_empty(spark):
     assert delimited.read_lines(spark.createDataFrame([], "raw_id bigint, feed string, line string"), delimited.FEEDS).count() == 0
 
