@@ -5,7 +5,10 @@ parent links of its own nodes. Chains are contracted within each fragment to the
 nodes where they leave it (exits); what is left is a smaller graph of the nodes
 that other fragments point at (entries). That quotient is solved the same way,
 hashed anew, until it fits in one task, and its solution is expanded fragment by
-fragment.
+fragment. Where chains are so long that few of their links are within a fragment,
+a level contracts across fragments instead: each node that leads to one other and
+drew heads while that one drew tails gives way to it. That is a quarter of a chain,
+so there are ``O(log n)`` levels however long the chains are.
 
 * ``cyclic_nodes`` looks at all links: a node may have several parents. Within a
   fragment strongly connected parts are found, dead ends dropped, and every node
@@ -33,19 +36,20 @@ parent with very many children is met by a broadcast when paths are expanded.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
-from terrane.plans.skew import hot_keys, skew_join
+from terrane.plans.skew import hot_keys, meet
 
 #: Links to a fragment; a quotient of no more links is solved in one task.
 FRAGMENT = 100_000
 #: Parents of one child beyond which it is split.
 MOST_PARENTS = 10_000
-MOST_LEVELS = 200
-#: A quotient of at least this share of its graph's links counts as a dense core.
+#: A quotient of at least this share of its graph's links is next contracted across fragments.
 SHRINK = 0.8
+#: After which a graph of at least this share, seen from both ends, is a core without chains.
+CORE = 0.95
 
 
 def links(df: DataFrame, child, parent) -> DataFrame:
@@ -172,12 +176,11 @@ def _alive(edges: DataFrame) -> DataFrame:
     return some.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
 
 
-def _spread(edges: DataFrame, fragment: int, level: int) -> DataFrame:
-    """As ``_label``, in rounds over all links: each node takes the greatest label that leads to it; those that lead back to their label's node are strong."""
+def _spread(edges: DataFrame) -> DataFrame:
+    """As ``_label``, in as many rounds as a core has links across: each node takes the greatest label that leads to it; those that lead back to their label's node are strong."""
     found = []
-    for _ in range(MOST_LEVELS):
-        if edges.isEmpty():
-            break
+    # Each round settles at least the part of the greatest label.
+    while not edges.isEmpty():
         label = cut(edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct().withColumn("label", F.col("node")))
         while True:
             came = edges.join(label, edges.child == label.node).groupBy("parent").agg(F.max("label").alias("came"))
@@ -199,34 +202,60 @@ def _spread(edges: DataFrame, fragment: int, level: int) -> DataFrame:
         found.append(cut(back.join(size, "label", "left_semi").select("node", "label")))
         gone = back.select("node").distinct()
         edges = cut(_alive(edges.join(gone, edges.child == gone.node, "left_anti").join(gone, edges.parent == gone.node, "left_anti")))
-    else:
-        raise RuntimeError("labels do not settle")
     empty = edges.select(F.col("child").alias("node"), F.col("parent").alias("label")).limit(0)
     for f in found:
         empty = empty.unionByName(f)
     return empty
 
 
-def _label(edges: DataFrame, fragment: int, level: int = 0) -> DataFrame:
+def _heads(level: int, node: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("coin"), F.lit(level), node), F.lit(2)) == 1
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    """Links the other way round: they have the same strong parts."""
+    return edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+
+
+def _merge(edges: DataFrame, fragment: int, level: int, stuck: int) -> DataFrame:
+    """``_label`` by one contraction across fragments. ``stuck``: how many of these did not shrink the graph before."""
+    n = edges.count()
+    one = edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to")).where("n = 1")
+    gone = cut(one.where(_heads(level, F.col("child")) & ~_heads(level, F.col("to"))).select(F.col("child").alias("parent"), "to"))
+    rest = cut(edges.join(gone.select(F.col("parent").alias("child")), "child", "left_anti"))
+    met = cut(meet(rest, gone, ["parent"], "left"))
+    short = cut(met.select("child", F.coalesce("to", "parent").alias("parent")).distinct())
+    # What leads back to itself now is on a cycle with what gave way.
+    loops = short.where("child = parent").select(F.col("child").alias("node"))
+    quotient = cut(_alive(short.where("child <> parent")))
+    m = quotient.count()
+    labels = cut(_label(_turned(quotient), fragment, level + 1, stuck + 1 if m >= CORE * n else 0, True))
+    own = loops.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    labels = cut(labels.unionByName(own))
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))
+    # One that gave way is on a cycle if what it leads to is on one with something that leads to it.
+    back = meet(meet(met.where("to IS NOT NULL"), name("child"), ["child"]), name("to"), ["to"]).where("_child = _to")
+    return labels.unionByName(back.select(F.col("parent").alias("node"), F.col("_to").alias("label")).distinct())
+
+
+def _label(edges: DataFrame, fragment: int, level: int = 0, stuck: int = 0, across: bool = False) -> DataFrame:
     """``(node, label)`` of the nodes on cycles of distinct links without loops; nodes of one strong part share a label."""
-    if level > MOST_LEVELS:
-        raise RuntimeError("the quotient does not shrink")
     n = edges.count()
     local = "node string, label string"
     if level and n <= fragment:
         whole = edges.withColumn("label", F.lit(None).cast("string")).withColumn("home", F.lit(0))
         return whole.groupBy("home").applyInPandas(lambda pdf: _expand(pdf), local)
+    # A core without chains, seen from either end, has short ways: spreading labels along its links needs few rounds.
+    if across:
+        return _spread(edges) if stuck > 1 else _merge(edges, fragment, level, stuck)
     homed = cut(_homes(edges, max(2, -(-n // fragment)), level))
     out = homed.where("home <> phome")
     none = F.lit(None).cast("string")
     entries = out.select(F.col("parent").alias("child"), none.alias("parent"), F.col("phome").alias("home")).distinct()
     quotient = homed.select("child", "parent", "home").unionByName(entries).groupBy("home").applyInPandas(_contract, "child string, parent string")
     quotient = cut(quotient.distinct())
-    alive = _alive(quotient)
-    rest = cut(alive)
-    # A dense core has no chains to contract but short ways, which spreading labels along its links needs few rounds for.
-    solve = _label if rest.count() < SHRINK * n else _spread
-    labels = cut(solve(rest, fragment, level + 1))
+    rest = cut(_alive(quotient))
+    labels = cut(_label(rest, fragment, level + 1, 0, rest.count() >= SHRINK * n))
     given = labels.select(F.col("node").alias("child"), none.alias("parent"), F.pmod(F.xxhash64(F.lit(level), F.col("node")), F.lit(max(2, -(-n // fragment)))).cast("int").alias("home"), "label")
     exits = out.select("home", F.col("parent").alias("node")).distinct().join(labels, "node").select(F.col("node").alias("child"), none.alias("parent"), "home", "label")
     rows = homed.select("child", "parent", "home", none.alias("label")).unionByName(given).unionByName(exits)
@@ -258,10 +287,11 @@ def cyclic_nodes(edges: DataFrame, fragment: int = FRAGMENT, most_parents: int =
 
 
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each node's way to the first node that is not at home here: that node (``exit``, null at a root or cycle) and the nodes before it."""
+    """Each node's way to the first node that is not at home here: that node (``exit``, null at a cycle) and the nodes before it, or their number."""
     up = dict(zip(pdf["child"], pdf["parent"]))
     step = dict(zip(pdf["child"], pdf["seg"]))
-    done: dict[str, tuple[str | None, tuple | None, bool]] = {}
+    numbers = len(pdf) > 0 and not hasattr(pdf["seg"].iloc[0], "__len__")
+    done: dict[str, tuple] = {}
     for v in up:
         trail, x, on = [], v, set()
         while x in up and x not in done and x not in on:
@@ -276,60 +306,79 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
             leave, tail, loop = x, None, False
         for y in reversed(trail):
             # Chains are linked lists until they are written, so shared ends are kept once.
-            tail = None if loop else (y, tail)
+            tail = None if loop else ((tail or 0) + step[y] if numbers else (y, tail))
             done[y] = (leave, tail, loop)
     rows = []
     for v, (leave, tail, loop) in done.items():
-        seg = []
-        while tail:
+        seg = [] if not numbers else tail or 0
+        while not numbers and tail:
             seg.extend(step[tail[0]])
             tail = tail[1]
         rows.append((v, leave, seg, loop))
     return pd.DataFrame(rows, columns=["node", "exit", "seg", "loop"])
 
 
-def _climb(up: DataFrame, fragment: int, level: int = 0) -> DataFrame:
-    """``(node, path, loop)`` of links with one parent each; path leads from the node up to its root, null where ``loop``.
+def _onward(chains: DataFrame, above: DataFrame, full: bool) -> DataFrame:
+    """``chains`` ``(node, exit, seg, loop)`` led on by what their exits' solution is: ``(node, seg, root, loop)``. An exit without a solution is a root."""
+    above = above.select(F.col("node").alias("exit"), F.col("seg").alias("_seg"), F.col("root").alias("_root"), F.col("loop").alias("_loop"))
+    met = meet(chains, above, ["exit"], "left")
+    loop = F.col("loop") | F.coalesce("_loop", F.lit(False))
+    seg = F.when(F.col("_root").isNull(), F.col("seg")).otherwise(F.concat("seg", "_seg") if full else F.col("seg") + F.col("_seg"))
+    return met.select("node", F.when(~loop, seg).alias("seg"), F.when(~loop, F.coalesce("_root", "exit")).alias("root"), loop.alias("loop"))
+
+
+def _climb(up: DataFrame, fragment: int, full: bool, level: int = 0, across: bool = False) -> DataFrame:
+    """``(node, seg, root, loop)`` of links ``(child, parent, seg)`` with one parent each; ``seg`` is what lies from the node up to before its root, null with the root where ``loop``.
 
-    ``seg`` of a link is the contracted chain it stands for, from the child to before the parent.
+    ``seg`` of a link is the contracted chain it stands for, from the child to before
+    the parent: the nodes if ``full``, else their number.
     """
-    if level > MOST_LEVELS:
-        raise RuntimeError("the quotient does not shrink")
     n = up.count()
     small = level and n <= fragment
+    if across and not small:
+        gone = up.where(_heads(level, F.col("child")) & ~_heads(level, F.col("parent")))
+        gone = cut(gone.select(F.col("child").alias("parent"), F.col("parent").alias("to"), F.col("seg").alias("_seg")))
+        rest = cut(up.join(gone.select(F.col("parent").alias("child")), "child", "left_anti"))
+        seg = F.when(F.col("to").isNull(), F.col("seg")).otherwise(F.concat("seg", "_seg") if full else F.col("seg") + F.col("_seg"))
+        short = cut(meet(rest, gone, ["parent"], "left").select("child", F.coalesce("to", "parent").alias("parent"), seg.alias("seg")))
+        above = cut(_climb(short, fragment, full, level + 1, True))
+        return above.unionByName(_onward(gone.select(F.col("parent").alias("node"), F.col("to").alias("exit"), F.col("_seg").alias("seg"), F.lit(False).alias("loop")), above, full))
     homed = _homes(up, 1 if small else max(2, -(-n // fragment)), level)
-    chains = homed.select("child", "parent", "seg", "home").groupBy("home").applyInPandas(_follow, "node string, exit string, seg array<string>, loop boolean")
+    kind = "array<string>" if full else "bigint"
+    chains = homed.select("child", "parent", "seg", "home").groupBy("home").applyInPandas(_follow, f"node string, exit string, seg {kind}, loop boolean")
     if small:
-        return chains.select("node", F.when(~F.col("loop"), F.concat("seg", F.array("exit"))).alias("path"), "loop")
+        live = lambda c: F.when(~F.col("loop"), F.col(c))
+        return chains.select("node", live("seg").alias("seg"), live("exit").alias("root"), "loop")
     chains = cut(chains)
     entries = homed.where("home <> phome").select(F.col("parent").alias("node")).distinct()
     # An entry on a local cycle leads to itself, so that all that lead to it are on or below a cycle as well.
     quotient = cut(chains.join(entries, "node", "left_semi").select(F.col("node").alias("child"), F.coalesce("exit", "node").alias("parent"), "seg"))
-    above = cut(_climb(quotient, fragment, level + 1)).select(F.col("node").alias("exit"), F.col("path").alias("_path"), F.col("loop").alias("_loop"))
-    hot = hot_keys(chains.where("exit IS NOT NULL").groupBy("exit").agg(F.count("*").alias("n")), ["exit"])
-    met = skew_join(chains, above, ["exit"], hot, "left")
-    loop = F.col("loop") | F.coalesce("_loop", F.lit(False))
-    # An exit without a solution is a node without a parent: a root.
-    return met.select("node", F.when(~loop, F.concat("seg", F.coalesce("_path", F.array("exit")))).alias("path"), loop.alias("loop"))
+    return _onward(chains, cut(_climb(quotient, fragment, full, level + 1, quotient.count() >= SHRINK * n)), full)
+
 
+def paths(edges: DataFrame, fragment: int = FRAGMENT, full: bool = True) -> DataFrame:
+    """``(node, parent, root, depth, path)`` of every node of ``links``, path from the root down to the node; ``parent`` is the one on the path, else the first.
 
-def paths(edges: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
-    """``(node, parent, root, depth, path)`` of every node of ``links``, path from the root down to the node; ``parent`` is the one on the path, else the first."""
+    Paths take as many nodes as depths add up to; without ``full`` they are left out
+    and depth and root cost no more than the links.
+    """
     edges = cut(edges)
     up = cut(edges.groupBy("child").agg(F.min("parent").alias("parent")))
     roots = cut(edges.select(F.col("parent").alias("node")).distinct().join(up.select(F.col("child").alias("node")), "node", "left_anti"))
     while True:
-        solved = cut(_climb(up.withColumn("seg", F.array("child")), fragment).select("node", F.reverse("path").alias("path")))
-        lost = solved.where("path IS NULL").select(F.col("node").alias("child"))
-        whole = solved.where("path IS NOT NULL").select(F.col("node").alias("parent")).unionByName(roots.select(F.col("node").alias("parent")))
+        solved = cut(_climb(up.withColumn("seg", F.array("child") if full else F.lit(1).cast("bigint")), fragment, full).select("node", "seg", "root"))
+        lost = solved.where("root IS NULL").select(F.col("node").alias("child"))
+        whole = solved.where("root IS NOT NULL").select(F.col("node").alias("parent")).unionByName(roots.select(F.col("node").alias("parent")))
         # Each round gives a path to all that first parents lead to one of these.
         other = cut(edges.join(lost, "child", "left_semi").join(whole, "parent", "left_semi").groupBy("child").agg(F.min("parent").alias("_other")))
         if other.isEmpty():
             break
         up = cut(up.join(other, "child", "left").select("child", F.coalesce("_other", "parent").alias("parent")))
     solved = solved.join(up.select(F.col("child").alias("node"), "parent"), "node")
-    every = solved.unionByName(roots.select("node", F.array("node").alias("path"), F.lit(None).cast("string").alias("parent")))
-    return every.select("node", "parent", F.element_at("path", 1).alias("root"), (F.size("path") - 1).cast("int").alias("depth"), "path").withColumn("depth", F.when(F.col("path").isNotNull(), F.col("depth")))
+    depth = F.size("seg") if full else F.col("seg")
+    below = solved.select("node", "parent", "root", F.when(F.col("root").isNotNull(), depth.cast("int")).alias("depth"), *([F.when(F.col("root").isNotNull(), F.reverse(F.concat("seg", F.array("root")))).alias("path")] if full else []))
+    top = roots.select("node", F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.array("node").alias("path")] if full else []))
+    return below.unionByName(top)
 
 
 def descendants(solved: DataFrame) -> DataFrame:

@@ -57,6 +57,14 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, most:
     return skew_join(left, right.hint("merge"), keys, hot_keys(right, keys, n), "left")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """Equi-join of ``left`` with ``right`` (one row per key; both cut): up to ``most`` rows of ``right`` are broadcast, more are met by ``skew_join``."""
+    most = BROADCAST_ROWS if most is None else most
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), list(keys), how)
+    return skew_join(left, right.hint("merge"), keys, hot_keys(left.groupBy(*keys).agg(F.count("*").alias("n")), keys), how)
+
+
 def salted(row_id: Sequence[Column], salts: Column) -> Column:
     """The salt in ``[0, salts)`` of a row."""
     return F.pmod(F.xxhash64(*row_id), salts.cast("bigint")).cast("int")

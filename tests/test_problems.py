@@ -157,6 +157,31 @@ def test_cycles_against_strong_parts(spark, n, most):
     assert {r.node for r in hierarchy.cyclic_nodes(_links(spark, [(str(a), str(b)) for a, b in edges]), 100, most).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["cycle", "chain", "both"])
+def test_long_chains_contract_across_fragments(spark, kind, monkeypatch):
+    """Links in no order of ids, a fragment holds almost none of a chain's neighbours."""
+    n = 150
+    name = random.Random(7).sample(range(1000), n)
+    edges = [(str(a), str(b)) for a, b in zip(name, name[1:])]
+    edges += [(str(name[-1]), str(name[0]))] if kind == "cycle" else [] if kind == "chain" else [(str(name[-1]), str(name[60])), (str(name[10]), "end")]
+    levels = []
+    merge = hierarchy._merge
+    monkeypatch.setattr(hierarchy, "_merge", lambda e, f, level, stuck: levels.append(level) or merge(e, f, level, stuck))
+    monkeypatch.setattr(hierarchy, "_spread", None)
+    cyclic = {r.node for r in hierarchy.cyclic_nodes(_links(spark, edges), 12).collect()}
+    assert cyclic == {str(x) for x in {"cycle": name, "chain": [], "both": name[60:]}[kind]} and levels and len(levels) < 15
+    if kind != "both":
+        for full in (True, False):
+            got = {r.node: (r.root, r.depth) for r in hierarchy.paths(_links(spark, edges), 12, full).collect()}
+            assert got == {str(x): (str(name[-1]), n - 1 - i) if kind == "chain" else (None, None) for i, x in enumerate(name)}
+
+
+def test_a_core_without_chains(spark):
+    """Every node has two ways in and two on."""
+    edges = [(str(i), str((i * k + 1) % 61)) for i in range(61) for k in (2, 3)]
+    assert hierarchy.cyclic_nodes(_links(spark, edges), 8).count() == 61
+
+
 def test_hierarchy_empty(spark):
     assert hierarchy.cyclic_nodes(_links(spark, [])).count() == 0
     assert hierarchy.paths(_links(spark, [])).count() == 0
