@@ -44,20 +44,36 @@ e AS (
   UNION ALL
   SELECT DISTINCT 'stop', stop_id, parent_station FROM stops WHERE stop_id IS NOT NULL AND parent_station <> ''
 )"""
-_PATHS = f"""
+
+
+def _paths_sql(rounds: int = 4) -> str:
+    """First parents; then, as often as needed, the first parent with a path for those without one that have such a parent."""
+    out = f"""
 WITH RECURSIVE {_EDGES},
-up AS (SELECT hierarchy, child, min(parent) AS parent FROM e GROUP BY ALL),
-nodes AS (SELECT hierarchy, child AS node_id, parent FROM up UNION ALL
-  SELECT DISTINCT hierarchy, parent, CAST(NULL AS VARCHAR) FROM e WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.hierarchy = e.hierarchy AND up.child = e.parent)),
-w AS (SELECT hierarchy, node_id, node_id AS root, 0 AS depth, [node_id] AS p FROM nodes WHERE parent IS NULL
-  UNION ALL SELECT u.hierarchy, u.child, w.root, w.depth + 1, list_append(w.p, u.child) FROM w JOIN up u ON u.hierarchy = w.hierarchy AND u.parent = w.node_id)
-"""
+u0 AS (SELECT hierarchy, child, min(parent) AS parent FROM e GROUP BY ALL),
+roots AS (SELECT DISTINCT hierarchy, parent AS node_id FROM e ANTI JOIN u0 ON u0.hierarchy = e.hierarchy AND u0.child = e.parent)"""
+    for k in range(rounds):
+        out += f""",
+w{k} AS (SELECT hierarchy, node_id, node_id AS root, 0 AS depth, [node_id] AS p FROM roots
+  UNION ALL SELECT u.hierarchy, u.child, w.root, w.depth + 1, list_append(w.p, u.child) FROM w{k} w JOIN u{k} u ON u.hierarchy = w.hierarchy AND u.parent = w.node_id),
+o{k} AS (SELECT e.hierarchy, e.child, min(e.parent) AS parent FROM e JOIN w{k} w ON w.hierarchy = e.hierarchy AND w.node_id = e.parent
+  ANTI JOIN w{k} x ON x.hierarchy = e.hierarchy AND x.node_id = e.child GROUP BY ALL),
+u{k + 1} AS (SELECT u.hierarchy, u.child, coalesce(o.parent, u.parent) AS parent FROM u{k} u LEFT JOIN o{k} o USING (hierarchy, child))"""
+    return out + f"""
+SELECT n.hierarchy, n.node_id, n.parent, w.root, w.depth, array_to_string(w.p, ' > ') AS full_path
+FROM (SELECT hierarchy, child AS node_id, parent FROM u{rounds} UNION ALL SELECT hierarchy, node_id, CAST(NULL AS VARCHAR) FROM roots) n LEFT JOIN w{rounds - 1} w USING (hierarchy, node_id)"""
+
+
 QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
 SQL = {
     "p3_found": f"""
 WITH RECURSIVE {_EDGES},
 r AS (SELECT hierarchy, child AS a, parent AS b FROM e UNION SELECT r.hierarchy, r.a, e.parent FROM r JOIN e ON r.hierarchy = e.hierarchy AND r.b = e.child)
 SELECT DISTINCT hierarchy, a AS node_id FROM r WHERE a = b""",
-    "p3_paths": _PATHS + "SELECT n.hierarchy, n.node_id, n.parent, w.root, w.depth, array_to_string(w.p, ' > ') AS full_path FROM nodes n LEFT JOIN w USING (hierarchy, node_id)",
-    "p3_descendants": _PATHS + "SELECT w.hierarchy, w.p[i] AS node_id, w.node_id AS descendant, w.depth - (i - 1) AS distance FROM w, range(1, w.depth + 1) t(i)",
+    "p3_paths": _paths_sql(),
+    "p3_descendants": f"""
+WITH RECURSIVE {_EDGES},
+r AS (SELECT hierarchy, parent AS node_id, child AS descendant, 1 AS distance, [child] AS seen FROM e
+  UNION ALL SELECT r.hierarchy, r.node_id, e.child, r.distance + 1, list_append(r.seen, e.child) FROM r JOIN e ON e.hierarchy = r.hierarchy AND e.parent = r.descendant WHERE NOT list_contains(r.seen, e.child))
+SELECT hierarchy, node_id, descendant, min(distance) AS distance FROM r GROUP BY ALL""",
 }
