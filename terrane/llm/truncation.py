@@ -8,121 +8,147 @@ makes up a good part of those, a stump next to none. Where a trigram has too
 little evidence the bigram decides, then the kind of word (plain, quoted or
 bracketed, followed by dots) after the same two words, then the word alone, then
 the kind after one word. A text that ends in a sentence's final mark is whole.
-A code fence that is never closed is cut as well, unless prose follows it to a
-final mark.
 
-All of it is SQL over all texts: one count of trigrams, its roll-ups, and joins
-of the distinct final trigrams.
+Words within code fences are counted as well. A fence that is never closed is cut
+unless texts end inside one as often as that makes up a good part of all words
+there, or prose follows it to a final mark: a last word that occurs in prose more
+often than in code.
+
+Texts are split into words once. All of it is SQL over all texts: one count of
+trigrams, and joins of the distinct final trigrams with its roll-ups. The words
+that begin with a stump lie side by side in the order of words, so their number is
+the difference of two running totals, whatever the length of words and stumps.
 
 Defined results: null, empty and blank texts are whole. Runs of digits count as
 one digit, so numbers do not thin the evidence. Texts without spaces in Chinese,
-Japanese or Korean are taken character by character. Stumps of more than
-``STUMP`` characters are compared as whole words only.
+Japanese or Korean are taken character by character. A text of one word has no
+words before it, as have all others of its kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
 from terrane.plans.once import once
-from terrane.plans.skew import hot_keys, skew_join
+from terrane.plans.ranks import running_total
+from terrane.plans.skew import meet
 from terrane.plans.spread import spread
 
-#: Longest stump of a word, in characters.
-STUMP = 32
 #: A final trigram is "almost never terminal" below this share of its evidence.
 RARE = 0.02
 #: Evidence that is enough to call something rare, and to call it common.
 ENOUGH, SOME, COMMON = 50, 8, 0.1
 
-LINE, STOP = "⏎", "‖"
+LINE, STOP, FENCE = "⏎", "‖", "```"
+#: What a regular expression calls white space.
+BLANK = " \t\n\x0b\x0c\r"
+
 
+def split_texts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``(id, w, code, open)`` of each text with words: its words after two that stand for its start, which of them are in a code fence, and whether one stays open.
 
-def words(text):
-    """Array of words, with marks for line starts and sentence ends."""
-    t = F.regexp_replace(text, r"</?[A-Za-z][^<>\n]{0,80}>", " ")
-    t = F.regexp_replace(t, r"[0-9]+", "0")
-    t = F.regexp_replace(t, r"([぀-ヿ㐀-鿿가-힯　-〠])", " $1 ")
+    There are marks for line starts and sentence ends. Every expression takes time in proportion to the text.
+    """
+    df = docs.select(id, F.col(text).alias("_t")).where("_t IS NOT NULL")
+    # Markup and unspaced scripts are looked for only where there can be any.
+    df = once(df, _t1=F.when(F.col("_t").contains("<"), F.regexp_replace("_t", r"</?[A-Za-z][^<>\n]*+>", " ")).otherwise(F.col("_t"))).drop("_t")
+    spaced = F.regexp_replace("_t1", r"([぀-ヿ㐀-鿿가-힯　-〠])", " $1 ")
+    df = once(df, _t2=F.btrim(F.when(F.octet_length("_t1") > F.length("_t1"), spaced).otherwise(F.col("_t1")), F.lit(BLANK))).drop("_t1")
+    t = F.regexp_replace("_t2", r"[0-9]++", "0")
     t = F.regexp_replace(t, r"([/?#&=])(?=\S)", "$1 ")
-    t = F.regexp_replace(t, r"\A\s+|\s+\z", "")
-    t = F.regexp_replace(t, r"([.!?。！？…][\"')\]]{0,3})[ \t]+(?=\S)", f"$1 {STOP} ")
-    t = F.regexp_replace(t, r"\s*\n\s*", f" {LINE} ")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    t = F.regexp_replace(t, r"([.!?。！？…][\"')\]]{0,3})[ \t]++(?=\S)", f"$1 {STOP} ")
+    t = F.regexp_replace(t, r"(?<![^\S\n])[^\S\n]*+\n\s*+", f" {LINE} ")
+    df = once(df, _p=F.transform(F.split(t, FENCE, -1), lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")))
+    fence = F.array(F.lit(FENCE))
+    parts = F.transform("_p", lambda s, i: F.when(i > 0, F.concat(fence, s)).otherwise(s))
+    code = F.transform("_p", lambda s, i: F.array_repeat(i % 2 == 1, F.size(s) + (i > 0).cast("int")))
+    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), F.flatten(parts)), code=F.concat(F.array(F.lit(False), F.lit(False)), F.flatten(code)), open=F.size("_p") % 2 == 0)
+    return df.where(F.size("w") > 2).select(id, "w", "code", "open")
 
 
-def final_trigrams(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``(id, a, b, x, fence)`` of each text with words, ``fence`` where a code fence stays open."""
-    df = docs.select(id, F.col(text).alias("_t")).where("_t IS NOT NULL")
-    fences = F.size(F.split("_t", "```", -1)) - 1
-    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t"))))
-    df = df.select(id, F.slice("w", -3, 3).alias("_w"), (fences % 2 == 1).alias("fence"), (F.size("w") > 2).alias("_any")).where("_any")
-    return df.select(id, F.col("_w")[0].alias("a"), F.col("_w")[1].alias("b"), F.col("_w")[2].alias("x"), "fence")
+def final_trigrams(split: DataFrame, id: str) -> DataFrame:
+    """``(id, a, b, x, open)`` of each text."""
+    return split.select(id, F.element_at("w", -3).alias("a"), F.element_at("w", -2).alias("b"), F.element_at("w", -1).alias("x"), "open")
 
 
-def trigram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """``(a, b, x, inner, final)``: how often a word follows two others inside texts and at ends. Counted before the shuffle, so no trigram is too frequent."""
-    df = docs.select(F.col(text).alias("_t")).where("_t IS NOT NULL")
-    # Split once a text: a filter on the words would otherwise split it again.
-    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), words(F.col("_t"))))
-    df = df.where(F.size("w") > 2).select(F.inline(F.expr("transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS a, w[i - 1] AS b, w[i] AS x, i = size(w) - 1 AS last))")))
-    return df.groupBy("a", "b", "x").agg(F.sum((~F.col("last")).cast("bigint")).alias("inner"), F.sum(F.col("last").cast("bigint")).alias("final"))
+def trigram_counts(split: DataFrame) -> DataFrame:
+    """``(a, b, x, inner, final, code)``: how often a word follows two others inside texts, at ends, and in code. Counted before the shuffle, so no trigram is too frequent."""
+    df = split.select(F.inline(F.expr("transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS a, w[i - 1] AS b, w[i] AS x, i = size(w) - 1 AS last, code[i] AS code))")))
+    n = lambda c: F.sum(c.cast("bigint"))
+    return df.groupBy("a", "b", "x").agg(n(~F.col("last")).alias("inner"), n(F.col("last")).alias("final"), n(F.col("code")).alias("code"))
 
 
 _KIND = r"""CASE WHEN {x} RLIKE '(\\.\\.\\.|…)$' THEN 'dots' WHEN {x} RLIKE '```$' THEN 'fence'
   WHEN {x} RLIKE '[.!?。！？]["”»)\\]*_\']*$' THEN 'stop' WHEN {x} RLIKE '[)\\]"\'`>:;]$' THEN 'close' ELSE 'word' END"""
 _CORE = r"regexp_replace({x}, '(\\.\\.\\.|…)$', '')"
 
-_EVIDENCE = """
-WITH ends AS (SELECT a, b, x, core, kind, final FROM {g} WHERE final > 0 AND kind <> 'stop'),
-k0 AS (SELECT a, b, core, kind, sum(final) AS t FROM ends GROUP BY ALL),
-k1 AS (SELECT b, core, kind, sum(final) AS t FROM ends GROUP BY ALL),
-k3 AS (SELECT core, kind, sum(final) AS t FROM ends GROUP BY ALL),
-stumps AS (
-  SELECT a, b, p, sum(inner + final) AS n FROM (
-    SELECT g.a, g.b, g.inner, g.final, explode(array_distinct(array_append(transform(sequence(0, least(length(core), {stump})), i -> left(core, i)), core))) AS p
-    FROM {g} g
-  ) GROUP BY a, b, p
-),
-s1 AS (SELECT b, p, sum(n) AS n FROM stumps WHERE p <> '' GROUP BY b, p),
-s3 AS (SELECT p, sum(n) AS n FROM s1 GROUP BY p),
-c2 AS (SELECT a, b, n FROM stumps WHERE p = ''),
-c4 AS (SELECT b, sum(n) AS n FROM c2 GROUP BY b),
-t2 AS (SELECT a, b, kind, sum(final) AS t FROM ends GROUP BY ALL),
-t4 AS (SELECT b, kind, sum(final) AS t FROM ends GROUP BY ALL)
-SELECT e.a, e.b, e.x, e.kind, e.final,
-  k0.t - 1 AS t0, s0.n - 1 AS n0, k1.t - 1 AS t1, s1.n - 1 AS n1, t2.t - 1 AS t2, c2.n - 1 AS n2, k3.t - 1 AS t3, s3.n - 1 AS n3, t4.t - 1 AS t4, c4.n - 1 AS n4
-FROM ends e
-JOIN k0 USING (a, b, core, kind) LEFT JOIN stumps s0 ON s0.a = e.a AND s0.b = e.b AND s0.p = e.core
-JOIN k1 ON k1.b = e.b AND k1.core = e.core AND k1.kind = e.kind LEFT JOIN s1 ON s1.b = e.b AND s1.p = e.core
-JOIN k3 ON k3.core = e.core AND k3.kind = e.kind LEFT JOIN s3 ON s3.p = e.core
-JOIN t2 ON t2.a = e.a AND t2.b = e.b AND t2.kind = e.kind JOIN c2 ON c2.a = e.a AND c2.b = e.b
-JOIN t4 ON t4.b = e.b AND t4.kind = e.kind JOIN c4 ON c4.b = e.b
-"""
+
+def beginning_with(words: DataFrame, stems: DataFrame, context: Sequence[str]) -> DataFrame:
+    """``(*context, core, n)``: for each of the distinct ``stems`` ``(*context, core)`` the number ``n`` of ``words`` ``(*context, core, n)`` of its context that begin with it."""
+    key = F.col("core").cast("binary")
+    none = F.lit(None).cast("string")
+    zero = F.lit(0).cast("bigint")
+    rows = words.select(*context, key.alias("key"), F.lit(0).alias("side"), "n", none.alias("core"))
+    # No byte of a text is greater than all that can follow.
+    for side, at in ((-1, key), (1, F.concat(key, F.unhex(F.lit("FF"))))):
+        rows = rows.unionByName(stems.select(*context, at.alias("key"), F.lit(side).alias("side"), zero.alias("n"), "core"))
+    before = running_total(rows, [F.col(c) for c in (*context, "key", "side")], "n", "before").where("side <> 0")
+    return before.groupBy(*context, "core").agg(F.sum(F.col("side") * F.col("before")).alias("n"))
+
+
+def _by_kind(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, t)``: endings by kind. There are five kinds."""
+    return ends.groupBy(*keys, "kind").agg(F.sum("final").alias("t")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "t"))).alias("t"))
 
 
 def cut_endings(counts: DataFrame) -> DataFrame:
-    """Of ``trigram_counts``, the final trigrams ``(a, b, x, final)`` that are frequent inside and almost never terminal."""
-    spark = counts.sparkSession
-    g = cut(counts.selectExpr("*", _KIND.format(x="x") + " AS kind", _CORE.format(x="x") + " AS core"))
-    e = spark.sql(_EVIDENCE, g=g, stump=STUMP)
+    """Of ``trigram_counts`` (cut), the final trigrams ``(a, b, x)`` that are frequent inside and almost never terminal."""
+    core = F.expr(_CORE.format(x="x")).alias("core")
+    ends = cut(counts.where("final > 0").select("a", "b", "x", "final", F.expr(_KIND.format(x="x")).alias("kind"), core).where("kind <> 'stop'"))
+    words = counts.select("a", "b", core, (F.col("inner") + F.col("final")).alias("n"))
+    met = ends
+    # Contexts from the most to the least specific.
+    for level, keys in ((0, ("a", "b", "core")), (1, ("b", "core")), (2, ("a", "b")), (3, ("core",)), (4, ("b",))):
+        t = cut(_by_kind(ends, keys))
+        context = [k for k in keys if k != "core"]
+        own = meet(words, cut(ends.select(*context).distinct()), context, "left_semi") if context else words
+        own = own.groupBy(*keys).agg(F.sum("n").alias("n"))
+        n = beginning_with(own, t.select(*keys), context) if "core" in keys else own
+        both = cut(t.join(n.hint("merge"), list(keys)).withColumnsRenamed({"t": f"t{level}", "n": f"n{level}"}))
+        met = meet(met, both, keys, "left")
     rare = F.lit(False)
-    for i in (4, 3, 2, 1, 0):
-        t, n = F.col(f"t{i}"), F.col(f"n{i}")
+    for level in (4, 3, 2, 1, 0):
+        # Each ending is left out of its own evidence.
+        t, n = F.col(f"t{level}")[F.col("kind")] - 1, F.col(f"n{level}") - 1
         common = (n >= SOME) & (t >= 2) & (t >= n * COMMON)
         rare = F.when(common, F.lit(False)).when(n >= ENOUGH, t < n * RARE).otherwise(rare)
-    return e.where(rare).select("a", "b", "x", "final")
+    return met.where(rare).select("a", "b", "x")
+
+
+def open_endings(counts: DataFrame, ends: DataFrame, id: str) -> DataFrame:
+    """``(id)`` of the texts of ``final_trigrams`` whose fence stays open, none if many texts end in code; those that end in a prose word with a final mark are left out."""
+    n = counts.agg(F.coalesce(F.sum("code"), F.lit(0))).first()[0]
+    open_ = cut(ends.where("open").select(id, "x", F.expr(_KIND.format(x="x")).alias("kind")))
+    if n >= ENOUGH and open_.count() - 1 >= n * RARE:
+        return ends.where("open AND open IS NULL").select(id)
+    seen = cut(meet(counts, cut(open_.where("kind = 'stop'").select("x").distinct()), ["x"], "left_semi").groupBy("x").agg(F.sum("code").alias("code"), F.sum(F.col("inner") + F.col("final")).alias("n")))
+    # Its own end counts as code.
+    prose = (F.col("kind") == "stop") & (F.col("n") - F.col("code") > F.col("code") - 1)
+    return meet(open_, seen, ["x"], "left").where(~F.coalesce(prose, F.lit(False))).select(id)
 
 
 def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id)`` of every text that breaks off before its end."""
-    docs = spread(docs.select(id, text), id)
-    ends = cut(final_trigrams(docs, id, text).selectExpr("*", _KIND.format(x="x") + " AS kind"))
-    flagged = cut(cut_endings(trigram_counts(docs, text)))
-    hot = hot_keys(flagged, ["a", "b", "x"], "final")
-    rest = ends.where("NOT fence OR kind = 'stop'").select(id, "a", "b", "x")
-    return skew_join(rest, flagged.select("a", "b", "x"), ["a", "b", "x"], hot).select(id).unionByName(ends.where("fence AND kind <> 'stop'").select(id)).distinct()
+    split = cut(split_texts(spread(docs.select(id, text), id), id, text))
+    counts = cut(trigram_counts(split))
+    ends = final_trigrams(split, id)
+    flagged = cut(cut_endings(counts))
+    found = meet(ends.where("NOT open"), flagged, ["a", "b", "x"], "left_semi").select(id)
+    return found.unionByName(open_endings(counts, ends, id)).distinct()
 
 
 def by_source(docs: DataFrame, found: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

@@ -204,6 +204,35 @@ def test_truncated_endings(spark):
     assert got == list(range(300, 305))
 
 
+def test_open_fences(spark):
+    """Code may break off after a full stop; prose after a fence that nobody closed does not."""
+    whole = ["Try this:\n```py\nfor s in stops:\n    print(s.name)\n```\nIt works for me."] * 40 + ["It works for me."] * 5
+    texts = [*whole, "Try this:\n```py\nfor s in stops:\n    print(s.", "Try this:\n```py\nfor s in stops:\n    print(s.name)\n\nIt works for me."]
+    assert [r.doc_id for r in truncation.truncated(_docs(spark, texts)).collect()] == [45]
+
+
+def test_stumps_of_any_length(spark):
+    """A long word cut short is a stump like any other."""
+    word = "Feuerwehr" * 40
+    texts = [f"Nobody has seen the {word} since last winter."] * 60 + ["Cheers"] * 3 + [f"Nobody has seen the {word[:200]}"]
+    assert [r.doc_id for r in truncation.truncated(_docs(spark, texts)).collect()] == [63]
+
+
+def test_beginning_with(spark, rows):
+    rnd = random.Random(8)
+    words = [("".join(rnd.choice("abß\U0010ffff") for _ in range(rnd.randint(0, 4))), rnd.choice("xy")) for _ in range(300)]
+    stems = sorted({w[: rnd.randint(0, 3)] for w, _ in words})
+    count = spark.createDataFrame(words, "core string, c string").groupBy("c", "core").agg(F.count("*").alias("n"))
+    got = rows(truncation.beginning_with(count, spark.createDataFrame([(c, s) for c in "xyz" for s in stems], "c string, core string"), ["c"]).select("c", "core", "n"))
+    assert got == sorted(((c, s, sum(w.startswith(s) and k == c for w, k in words)) for c in "xyz" for s in stems), key=repr)
+
+
+def test_splitting_takes_linear_time(spark):
+    blanks, tags = " \t" * 200_000, "<a " * 200_000
+    got = truncation.split_texts(_docs(spark, ["a" + blanks + "b", tags, "<b>x</b>\n\n y" + "\n" * 300_000]), "doc_id", "text").select("doc_id", F.size("w").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {0: 4, 1: 200_002, 2: 5}
+
+
 def test_truncation_degenerate(spark):
     assert truncation.truncated(_docs(spark, [])).count() == 0
     assert truncation.truncated(_docs(spark, [None, "", " "])).count() == 0
