@@ -49,37 +49,42 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def split_texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``(id, w, code, open)`` of each text with words: its words after two that stand for its start, which of them are in a code fence, and whether one stays open.
+    """``(id, t, open)`` of each text with words: its words with one blank between them, after a mark for the start of a line, and whether a code fence stays open.
 
     There are marks for line starts and sentence ends. Every expression takes time in proportion to the text.
     """
     df = docs.select(id, F.col(text).alias("_t")).where("_t IS NOT NULL")
-    # Markup and unspaced scripts are looked for only where there can be any.
+    # Markup, unspaced scripts and fences are looked for only where there can be any.
     df = once(df, _t1=F.when(F.col("_t").contains("<"), F.regexp_replace("_t", r"</?[A-Za-z][^<>\n]*+>", " ")).otherwise(F.col("_t"))).drop("_t")
     spaced = F.regexp_replace("_t1", r"([぀-ヿ㐀-鿿가-힯　-〠])", " $1 ")
     df = once(df, _t2=F.btrim(F.when(F.octet_length("_t1") > F.length("_t1"), spaced).otherwise(F.col("_t1")), F.lit(BLANK))).drop("_t1")
     t = F.regexp_replace("_t2", r"[0-9]++", "0")
     t = F.regexp_replace(t, r"([/?#&=])(?=\S)", "$1 ")
     t = F.regexp_replace(t, r"([.!?。！？…][\"')\]]{0,3})[ \t]++(?=\S)", f"$1 {STOP} ")
-    t = F.regexp_replace(t, r"(?<![^\S\n])[^\S\n]*+\n\s*+", f" {LINE} ")
-    df = once(df, _p=F.transform(F.split(t, FENCE, -1), lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")))
-    fence = F.array(F.lit(FENCE))
-    parts = F.transform("_p", lambda s, i: F.when(i > 0, F.concat(fence, s)).otherwise(s))
-    code = F.transform("_p", lambda s, i: F.array_repeat(i % 2 == 1, F.size(s) + (i > 0).cast("int")))
-    df = once(df, w=F.concat(F.array(F.lit(""), F.lit(LINE)), F.flatten(parts)), code=F.concat(F.array(F.lit(False), F.lit(False)), F.flatten(code)), open=F.size("_p") % 2 == 0)
-    return df.where(F.size("w") > 2).select(id, "w", "code", "open")
+    df = once(df, _t3=F.regexp_replace(t, r"(?<![^\S\n])[^\S\n]*+\n\s*+", f" {LINE} ")).drop("_t2")
+    fences = F.size(F.split("_t3", FENCE, -1)) - 1
+    df = once(df, _t4=F.when(F.col("_t3").contains(FENCE), F.replace("_t3", F.lit(FENCE), F.lit(f" {FENCE} "))).otherwise(F.col("_t3")), open=F.when(F.col("_t3").contains(FENCE), fences % 2 == 1).otherwise(F.lit(False))).drop("_t3")
+    df = once(df, _t5=F.trim(F.regexp_replace("_t4", r"[ \t\x0b\f\r]{2,}+|[\t\x0b\f\r]", " "))).where("_t5 <> ''")
+    return df.select(id, F.concat(F.lit(f"{LINE} "), "_t5").alias("t"), "open")
 
 
 def final_trigrams(split: DataFrame, id: str) -> DataFrame:
-    """``(id, a, b, x, open)`` of each text."""
-    return split.select(id, F.element_at("w", -3).alias("a"), F.element_at("w", -2).alias("b"), F.element_at("w", -1).alias("x"), "open")
+    """``(id, a, b, x, open)`` of each text; the first word has an empty one before its line."""
+    last = once(split.select(id, "open", F.substring_index("t", " ", -3).alias("_l")), _w=F.split("_l", " "))
+    return last.select(id, F.when(F.size("_w") > 2, F.element_at("_w", 1)).otherwise(F.lit("")).alias("a"), F.element_at("_w", -2).alias("b"), F.element_at("_w", -1).alias("x"), "open")
 
 
 def trigram_counts(split: DataFrame) -> DataFrame:
-    """``(a, b, x, inner, final, code)``: how often a word follows two others inside texts, at ends, and in code. Counted before the shuffle, so no trigram is too frequent."""
-    df = split.select(F.inline(F.expr("transform(sequence(2, size(w) - 1), i -> struct(w[i - 2] AS a, w[i - 1] AS b, w[i] AS x, i = size(w) - 1 AS last, code[i] AS code))")))
-    n = lambda c: F.sum(c.cast("bigint"))
-    return df.groupBy("a", "b", "x").agg(n(~F.col("last")).alias("inner"), n(F.col("last")).alias("final"), n(F.col("code")).alias("code"))
+    """``(a, b, x, n)``: how often a word follows two others. Counted before the shuffle, so no trigram is too frequent."""
+    df = once(split.select("t"), w=F.concat(F.array(F.lit("")), F.split("t", " "))).drop("t")
+    part = lambda i, name: F.slice("w", F.lit(i), F.size("w") - 2).alias(name)
+    return df.select(F.inline(F.arrays_zip(part(1, "a"), part(2, "b"), part(3, "x")))).groupBy("a", "b", "x").agg(F.count("*").alias("n"))
+
+
+def code_words(split: DataFrame) -> DataFrame:
+    """``(x)``: every word within a code fence, of the texts that have one."""
+    parts = split.where(F.col("t").contains(FENCE)).select(F.posexplode(F.split("t", FENCE, -1)).alias("i", "p")).where("i % 2 = 1")
+    return parts.select(F.explode(F.split(F.trim("p"), " ")).alias("x")).where("x <> ''")
 
 
 _KIND = r"""CASE WHEN {x} RLIKE '(\\.\\.\\.|…)$' THEN 'dots' WHEN {x} RLIKE '```$' THEN 'fence'
@@ -105,11 +110,12 @@ def _by_kind(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ends.groupBy(*keys, "kind").agg(F.sum("final").alias("t")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "t"))).alias("t"))
 
 
-def cut_endings(counts: DataFrame) -> DataFrame:
-    """Of ``trigram_counts`` (cut), the final trigrams ``(a, b, x)`` that are frequent inside and almost never terminal."""
+def cut_endings(counts: DataFrame, finals: DataFrame) -> DataFrame:
+    """Of ``final_trigrams``, the distinct ``(a, b, x)`` that are frequent in ``trigram_counts`` (cut) and almost never terminal."""
     core = F.expr(_CORE.format(x="x")).alias("core")
-    ends = cut(counts.where("final > 0").select("a", "b", "x", "final", F.expr(_KIND.format(x="x")).alias("kind"), core).where("kind <> 'stop'"))
-    words = counts.select("a", "b", core, (F.col("inner") + F.col("final")).alias("n"))
+    ends = finals.groupBy("a", "b", "x").agg(F.count("*").alias("final"))
+    ends = cut(ends.select("a", "b", "x", "final", F.expr(_KIND.format(x="x")).alias("kind"), core).where("kind <> 'stop'"))
+    words = counts.select("a", "b", core, "n")
     met = ends
     # Contexts from the most to the least specific.
     for level, keys in ((0, ("a", "b", "core")), (1, ("b", "core")), (2, ("a", "b")), (3, ("core",)), (4, ("b",))):
@@ -129,13 +135,17 @@ def cut_endings(counts: DataFrame) -> DataFrame:
     return met.where(rare).select("a", "b", "x")
 
 
-def open_endings(counts: DataFrame, ends: DataFrame, id: str) -> DataFrame:
+def open_endings(split: DataFrame, counts: DataFrame, finals: DataFrame, id: str) -> DataFrame:
     """``(id)`` of the texts of ``final_trigrams`` whose fence stays open, none if many texts end in code; those that end in a prose word with a final mark are left out."""
-    n = counts.agg(F.coalesce(F.sum("code"), F.lit(0))).first()[0]
-    open_ = cut(ends.where("open").select(id, "x", F.expr(_KIND.format(x="x")).alias("kind")))
+    code = code_words(split)
+    n = code.count()
+    open_ = cut(finals.where("open").select(id, "x", F.expr(_KIND.format(x="x")).alias("kind")))
     if n >= ENOUGH and open_.count() - 1 >= n * RARE:
-        return ends.where("open AND open IS NULL").select(id)
-    seen = cut(meet(counts, cut(open_.where("kind = 'stop'").select("x").distinct()), ["x"], "left_semi").groupBy("x").agg(F.sum("code").alias("code"), F.sum(F.col("inner") + F.col("final")).alias("n")))
+        return open_.where("false").select(id)
+    asked = cut(open_.where("kind = 'stop'").select("x").distinct())
+    within = meet(code, asked, ["x"], "left_semi").groupBy("x").agg(F.count("*").alias("code"))
+    everywhere = meet(counts, asked, ["x"], "left_semi").groupBy("x").agg(F.sum("n").alias("n"))
+    seen = cut(everywhere.join(within, "x", "left"))
     # Its own end counts as code.
     prose = (F.col("kind") == "stop") & (F.col("n") - F.col("code") > F.col("code") - 1)
     return meet(open_, seen, ["x"], "left").where(~F.coalesce(prose, F.lit(False))).select(id)
@@ -145,10 +155,9 @@ def truncated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     """``(id)`` of every text that breaks off before its end."""
     split = cut(split_texts(spread(docs.select(id, text), id), id, text))
     counts = cut(trigram_counts(split))
-    ends = final_trigrams(split, id)
-    flagged = cut(cut_endings(counts))
-    found = meet(ends.where("NOT open"), flagged, ["a", "b", "x"], "left_semi").select(id)
-    return found.unionByName(open_endings(counts, ends, id)).distinct()
+    finals = final_trigrams(split, id)
+    found = meet(finals.where("NOT open"), cut(cut_endings(counts, finals)), ["a", "b", "x"], "left_semi").select(id)
+    return found.unionByName(open_endings(split, counts, finals, id)).distinct()
 
 
 def by_source(docs: DataFrame, found: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
