@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
-from terrane.plans.skew import BROADCAST_ROWS, hot_keys, skew_join
+from terrane.plans.skew import hot_keys, skew_join, small
 
 REF = ("ref_table", "owner_id", "ref_ord", "key")
 STATE = ("key", "refs", "exists", "deleted", "first_ref", "first_seen")
@@ -108,17 +108,14 @@ def orphans(refs: DataFrame, state: DataFrame) -> DataFrame:
     """Every reference whose key is missing, deleted or came later, of ``advance``.
 
     Result: the reference and ``reason`` (missing, deleted, late). Only references
-    of suspect keys are looked up: up to ``BROADCAST_ROWS`` such keys are broadcast;
-    with more, references are shuffled by key, those of hot keys excepted.
+    of suspect keys are looked up: these are broadcast where they are small; else
+    references are shuffled by key, those of hot keys excepted.
     """
     state = cut(state)
     refs = refs.where("gone = 0")
     found = suspects(state).select("key", "exists", "deleted", "first_seen")
-    if found.count() <= BROADCAST_ROWS:
-        met = refs.join(F.broadcast(found), "key")
-    else:
-        # Hot are the keys with most references, suspect or not: it is those rows that would move.
-        met = skew_join(refs, found.hint("merge"), ["key"], hot_keys(state, ["key"], "refs"))
+    # Hot are the keys with most references, suspect or not: it is those rows that would move.
+    met = refs.join(F.broadcast(found), "key") if small(found) else skew_join(refs, found.hint("merge"), ["key"], hot_keys(state, ["key"], "refs"))
     reason = F.when(F.col("exists") > 0, F.when(F.col("first_seen") > F.col("at"), "late")).when(F.col("deleted") > 0, "deleted").otherwise("missing")
     return met.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*REF, "at", "reason")
 

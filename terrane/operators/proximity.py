@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
 from terrane.plans.once import once
-from terrane.plans.skew import BROADCAST_ROWS, hot_keys, lookup, salted, skew_join
+from terrane.plans.skew import hot_keys, meet, salted, skew_join
 
 #: Fixed value: metres.
 EARTH_RADIUS = 6_371_010.0
@@ -176,7 +176,7 @@ def near(locations: DataFrame, radius: float, dense: int = DENSE, tile: int = TI
     keys = ["row", "col"]
     if not full.isEmpty():
         mark = full.select("row", "col", F.col("n").alias("_n"))
-        split = lambda df: lookup(df, mark, ["row", "col"], "_n")
+        split = lambda df: meet(df, mark, ["row", "col"], "left", n="_n")
         placed, probes = split(placed), split(probes)
         whole = F.lit(-1)
         placed = _fine(placed, grid).withColumn("sub", F.when(F.col("_n").isNull(), whole).otherwise(F.col("sub")))
@@ -193,8 +193,8 @@ def near(locations: DataFrame, radius: float, dense: int = DENSE, tile: int = TI
             every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
             mine = salted([F.col("loc")], a)
             theirs = salted([F.col("loc"), F.lit(1)], b)
-            placed = lookup(placed, sides, keys, "_n").withColumn("ta", mine).withColumn("tb", every(b)).drop("_a", "_b", "_n")
-            probes = lookup(probes, sides, keys, "_n").withColumn("tb", theirs).withColumn("ta", every(a)).drop("_a", "_b", "_n")
+            placed = meet(placed, sides, keys, "left", n="_n").withColumn("ta", mine).withColumn("tb", every(b)).drop("_a", "_b", "_n")
+            probes = meet(probes, sides, keys, "left", n="_n").withColumn("tb", theirs).withColumn("ta", every(a)).drop("_a", "_b", "_n")
             keys = [*keys, "ta", "tb"]
         sure = F.col("interior")
     probes = probes.select(F.col("loc").alias("p"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), "same", *keys, *(["interior"] if "sub" in keys else []))
@@ -359,8 +359,7 @@ def within(points: DataFrame, regions: DataFrame, keep: list[str]) -> DataFrame:
     else:
         # One row to a cell, so that a hot cell's points need not move to it.
         grouped = cut(cells.groupBy(*keys).agg(F.collect_list(F.struct("region", "interior", "corner", "edges")).alias("_in")))
-        some = placed.join(grouped.select(*keys), keys, "left_semi") if n <= BROADCAST_ROWS else placed
-        hot = hot_keys(some.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+        hot = hot_keys(placed.groupBy(*keys).agg(F.count("*").alias("n")), keys)
         met = skew_join(placed, grouped.hint("merge"), keys, hot).select(*keep, "lat_e7", "lng_e7", *keys, F.inline("_in"))
     west = lambda c: F.expr(f"shiftleft({c}, {SPAN} - level) - {1 << (SPAN - 1)}L")
     hit = met.where(F.col("interior") | in_cell(F.col("corner"), F.col("edges"), west("x"), west("y"), F.col("lng_e7").cast("bigint"), F.col("lat_e7").cast("bigint")))

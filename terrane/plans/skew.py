@@ -13,6 +13,8 @@ HOT_SHARE = 1000
 HOT_LEAST = 20_000
 #: Rows of a few narrow columns up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of text in them.
+BROADCAST_BYTES = 32 << 20
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", share: int = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame | None:
@@ -46,23 +48,24 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataF
     return cold.unionByName(warm)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row per key, cut; ``n`` is about how many rows of ``left`` have the key), null where there is none.
+def small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether ``df`` (cut) has so few rows, and so little text in them, that it may be broadcast."""
+    text = [F.octet_length(c).cast("bigint") for c, t in df.dtypes if t == "string"]
+    size = sum((F.coalesce(c, F.lit(0).cast("bigint")) for c in text), F.lit(0).cast("bigint"))
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= (BROADCAST_ROWS if most is None else most) and total <= BROADCAST_BYTES
 
-    Up to ``most`` rows of ``right`` are broadcast; more are joined by shuffle, the hottest of them by broadcast.
+
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int | None = None, n: str | None = None) -> DataFrame:
+    """Equi-join of ``left`` with ``right`` (one row per key, cut): ``right`` is broadcast if it is ``small``, else met by ``skew_join``.
+
+    ``n`` is a column of ``right`` with about how many rows of ``left`` have the key, where there is one; else they are counted.
     """
-    rows = right.count()
-    if rows <= most:
-        return left.join(F.broadcast(right), list(keys), "left")
-    return skew_join(left, right.hint("merge"), keys, hot_keys(right, keys, n), "left")
-
-
-def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", most: int | None = None) -> DataFrame:
-    """Equi-join of ``left`` with ``right`` (one row per key; both cut): up to ``most`` rows of ``right`` are broadcast, more are met by ``skew_join``."""
-    most = BROADCAST_ROWS if most is None else most
-    if right.limit(most + 1).count() <= most:
-        return left.join(F.broadcast(right), list(keys), how)
-    return skew_join(left, right.hint("merge"), keys, hot_keys(left.groupBy(*keys).agg(F.count("*").alias("n")), keys), how)
+    keys = list(keys)
+    if small(right, most):
+        return left.join(F.broadcast(right), keys, how)
+    hot = hot_keys(right, keys, n) if n else hot_keys(left.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    return skew_join(left, right.hint("merge"), keys, hot, how)
 
 
 def salted(row_id: Sequence[Column], salts: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import hierarchy, orphans, proximity, wide
+from terrane.plans import skew
 from terrane.plans.skew import hot_keys, skew_join
 from terrane.sources import delimited
 
@@ -45,8 +46,8 @@ def test_orphans_of_many_keys_are_looked_up_by_shuffle(spark, rows, monkeypatch)
     refs = [(f"o{i}", 0, "hot" if i % 3 else f"k{i}", T(3), "", 0) for i in range(90)]
     recs = [("hot", None, T(1), 0), ("k3", None, T(5), 0), ("k6", T(9), T(1), 0)]
     want = rows(_orphans(spark, refs, recs))
-    monkeypatch.setattr(orphans, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(orphans, "hot_keys", lambda c, k, n: hot_keys(c, k, n, share=10, least=5))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(orphans, "hot_keys", lambda c, k, n="n": hot_keys(c, k, n, share=10, least=5))
     assert rows(_orphans(spark, refs, recs)) == want and len(want) == 29 + 1
 
 
@@ -219,9 +220,7 @@ def test_near_splits_hot_cells(spark, rows):
 
 
 def test_near_with_shuffled_marks(spark, rows, monkeypatch):
-    from terrane.plans import skew
-
-    monkeypatch.setattr(proximity, "lookup", lambda *a: skew.lookup(*a, most=0))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     pts = [(f"a{i}", 10.0 + i // 30 * 1.2e-4, 10.0) for i in range(90)]
     got = rows(proximity.near(spark.createDataFrame(pts, "loc string, lat double, lng double"), 25.0, dense=4, tile=10))
     assert len(got) == len(set(got)) == 90 * 89 // 2 - 900
