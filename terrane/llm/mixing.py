@@ -29,29 +29,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
+from terrane.plans.skew import meet
 
 BLOCK = 512
-#: Ranges of texts that each source's prefix sums are taken over.
-RANGES = 256
+#: Texts to a range: a source's prefix sums are taken over ranges, and within each.
+RANGE_ROWS = 100_000
+#: Target sources, and rows of the plan (shards by sources) that the driver draws; more are refused.
+MOST_SOURCES, MOST_PLANNED = 100_000, 5_000_000
 #: Shards, by default and at most: the driver draws one row of counts to a shard.
 SHARDS, MOST_SHARDS = 64, 100_000
 
 
-def pack(docs: DataFrame, id: str, source: str, ids: str, block: int = BLOCK, ranges: int = RANGES) -> DataFrame:
+def pack(docs: DataFrame, id: str, source: str, ids: str, block: int = BLOCK, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``(source, block, n_tokens, n_docs, tokens)``: a source's tokens end to end, in blocks.
 
     Prefix sums are taken in two levels, over ranges of texts and within each
     range, so a source that holds most texts is never in one task.
     """
     rows = docs.select(F.col(source).alias("source"), F.col(id).alias("id"), F.col(ids).alias("ids"), F.size(ids).cast("bigint").alias("n")).where("source IS NOT NULL AND n > 0")
-    rows = cut(rows.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")))
+    rows = cut(rows.withColumn("h", F.xxhash64("id")))
+    # As many ranges as keep each within bounds if all texts were of one source.
+    ranges = max(16, -(-rows.count() // range_rows))
+    rows = rows.withColumn("range", F.pmod("h", F.lit(ranges)).cast("int")).drop("h")
     sums = rows.groupBy("source", "range").agg(F.sum("n").alias("n"))
     # One row to a source and range.
     base = sums.select("source", "range", F.expr("coalesce(sum(n) OVER (PARTITION BY source ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("base"))
     placed = rows.select("source", "range", "id", "n", F.expr("coalesce(sum(n) OVER (PARTITION BY source, range ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("local"))
     # The ids themselves are not sorted or windowed: only their places are joined back.
-    placed = placed.join(F.broadcast(base), ["source", "range"]).select("source", "id", (F.col("base") + F.col("local")).alias("start"))
-    parts = rows.join(placed, ["source", "id"]).select("source", "id", "start", "ids", F.explode(F.expr(f"sequence(start div {block}, (start + n - 1) div {block})")).alias("block"))
+    placed = meet(placed, cut(base), ["source", "range"]).select("source", "id", (F.col("base") + F.col("local")).alias("start"))
+    parts = rows.join(placed.hint("merge"), ["source", "id"]).select("source", "id", "start", "ids", F.explode(F.expr(f"sequence(start div {block}, (start + n - 1) div {block})")).alias("block"))
     low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids"))
     parts = parts.select("source", "block", F.struct(F.col("start"), F.expr("id").alias("id"), F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("part")).alias("p"))
@@ -126,7 +132,9 @@ def mix(blocks: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int =
         raise ValueError(f"shards must be from 1 to {MOST_SHARDS}")
     spark = blocks.sparkSession
     want = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share"), F.min("max_repeats"))
-    goal = {r[0]: (r[1], r[2]) for r in want.collect()}
+    goal = {r[0]: (r[1], r[2]) for r in want.limit(MOST_SOURCES + 1).collect()}
+    if len(goal) > MOST_SOURCES or len(goal) * shards > MOST_PLANNED:
+        raise ValueError("too many target sources for so many shards")
     stats = {r[0]: (r[1], r[2]) for r in blocks.join(F.broadcast(want.select("source")), "source", "left_semi").groupBy("source").agg(F.count("*"), F.sum("n_tokens")).collect()}
     quota = quotas(stats, goal, block, total_blocks)
     plan = draw(quota, min(shards, max(1, sum(quota.values()))), seed)
@@ -143,7 +151,7 @@ def mix(blocks: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int =
 
     each = counts.repartition("shard", "source").select("shard", "source", "size", "no", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     placed = each.mapInPandas(slots, "shard int, source string, block bigint, epoch bigint")
-    mixed = placed.join(blocks, ["source", "block"])
+    mixed = placed.join(blocks.hint("merge"), ["source", "block"])
     # The order within a shard is a hash: sorting a shard by it shuffles its sources together.
     return mixed.select("shard", F.xxhash64(F.lit(seed), "shard", "source", "block", "epoch").alias("place"), "source", "block", "epoch", "n_tokens", "n_docs", "tokens")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import bpe, frequency, mixing, together, truncation
 from terrane.plans.lineage import cut
+from terrane.plans.skew import meet
 from terrane.sources.tables import table
 
 
@@ -51,7 +52,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
-    used = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    used = meet(docs, targets.select("source").distinct(), ["source"], "left_semi")
     ids = bpe.encode(used.select("doc_id", "text", "source").withColumn("doc", F.struct("doc_id", "source")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", id="doc")
     blocks = cut(mixing.pack(ids.select("doc.doc_id", "doc.source", "ids"), "doc_id", "source", "ids"))
     return mixing.mix(blocks, targets), targets
@@ -80,7 +81,7 @@ WITH i AS (SELECT DISTINCT feature_type AS t, feature_value AS v, tag_key || '='
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT t, v FROM i)),
 c AS (SELECT item, count(*) AS n FROM i GROUP BY item),
 p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM i x JOIN i y ON x.t = y.t AND x.v = y.v AND x.item < y.item GROUP BY ALL),
-r AS (SELECT item_a, item_b, a.n AS n_a, b.n AS n_b, n_ab, n.n AS n_records FROM p JOIN c a ON item_a = a.item JOIN c b ON item_b = b.item, n WHERE n_ab >= 3 AND 2000 * n_ab >= n.n)
+r AS (SELECT item_a, item_b, a.n AS n_a, b.n AS n_b, n_ab, n.n AS n_records FROM p JOIN c a ON item_a = a.item JOIN c b ON item_b = b.item, n)
 """
 _TERMS = """
 WITH o AS (SELECT tag_key, tag_value, feature_type, feature_value, count(DISTINCT tag_ord) AS n FROM feature_tags WHERE tag_key IS NOT NULL AND tag_value IS NOT NULL GROUP BY ALL),
@@ -90,7 +91,7 @@ m AS (SELECT t.*, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records * 20 > n.n
 """
 QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_terms": p5_terms, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {
-    "p2_found": _PAIRS + "SELECT item_a, item_b FROM r WHERE n_ab * n_records >= 10 * n_a * n_b",
+    "p2_found": _PAIRS + "SELECT item_a, item_b FROM r WHERE n_ab >= 3 AND 2000 * n_ab >= n_records AND n_ab * n_records >= 10 * n_a * n_b",
     "p2_pairs": _PAIRS + "SELECT *, round(n_ab * CAST(n_records AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM r",
     "p5_found": _TERMS + "SELECT tag_key, tag_value FROM m WHERE mark <> 'keep'",
     "p5_terms": _TERMS + "SELECT * FROM m",

@@ -2,19 +2,18 @@
 
 Items too rare for any pair that is asked for are dropped first; that is exact,
 and with a share it bounds the number of items by ``incidences / least support``.
-Without one every pair that occurs is counted; items are then numbered by ranges
-and there are blocks enough that each holds about ``HASHED`` pairs. Records are
-dealt in blocks, and within a block
+Without one every pair that occurs is counted. Items are numbered by frequency.
+Records are dealt in blocks, enough that none makes more than about ``HASHED``
+pairs, and within a block
 
 * pairs of frequent (heavy) items are counted by popcounts over a bit matrix,
 * pairs of a heavy and a rarer (light) item by probing the light item's list of
   records in the heavy items' bits,
 * pairs of light items by hashing, summed within the block.
 
-Only sums per pair leave a block. A record with very many items never yields its
-pairs one by one: its items are distinct and frequent, so its block's hash holds
-no more pairs than there are pairs of such items. Without a share those are all
-its pairs, which are rows of the result as well.
+Only sums per pair leave a block. A record of more than ``MOST_ITEMS`` items is
+split: its items are dealt into groups, and the pairs of each two groups are made
+in a task of their own.
 
 Defined results: an item counts once in a record. Null items and records are left
 out. Ties are all kept. No records give no pairs.
@@ -31,15 +30,16 @@ from pyspark.sql import functions as F
 
 from terrane.plans.lineage import cut
 from terrane.plans.ranks import running_total
+from terrane.plans.skew import meet
 
 #: An item in at least one of so many records is heavy: a word of its bit row then has a bit set on average.
 HEAVY = 64
 #: Incidences to a block.
 BLOCK = 500_000
-#: The dictionary of items is broadcast up to this many, else joined by shuffle.
-BROADCAST_ITEMS = 200_000
 #: Pairs that the hash of light pairs takes up before it is summed.
 HASHED = 4_000_000
+#: Items of one record beyond which its pairs are made in several tasks.
+MOST_ITEMS = 4_000
 
 
 def _block(record: np.ndarray, item: np.ndarray, heavy: int, items: int) -> pd.DataFrame:
@@ -101,35 +101,53 @@ def _block(record: np.ndarray, item: np.ndarray, heavy: int, items: int) -> pd.D
     return pd.DataFrame({k: np.concatenate(v) if v else np.array([], np.int64) for k, v in out.items()}).astype("int64")
 
 
-def pairs(incidences: DataFrame, record: str, item: str, least: int, share: int | None, heavy_share: int = HEAVY) -> DataFrame:
+def _sides(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of one record's items of two groups, or of one."""
+    code, group = pdf["code"].to_numpy(), pdf["group"].to_numpy()
+    low = group == pdf["i"].iloc[0]
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        x, y = np.triu_indices(len(code), 1)
+        x, y = code[x], code[y]
+    else:
+        x, y = np.repeat(code[low], (~low).sum()), np.tile(code[~low], low.sum())
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "n": np.ones(len(x), np.int64)})
+
+
+def pairs(incidences: DataFrame, record: str, item: str, least: int, share: int | None, heavy_share: int = HEAVY, most_items: int = MOST_ITEMS) -> DataFrame:
     """``(item_a, item_b, n_a, n_b, n_ab, n_records, lift)`` of all pairs with ``n_ab >= least`` and, if there is a ``share``, ``share * n_ab >= N``; ``item_a < item_b``."""
     spark = incidences.sparkSession
     once = cut(incidences.select(F.col(record).alias("record"), F.col(item).alias("item")).na.drop().distinct())
     total = once.select("record").distinct().count()
     support = max(least, -(-total // share) if share else 1, 1)
-    frequent = once.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    if share:
-        # No more items than incidences / support, so numbering them in one task is bounded by share * (items to a record).
-        numbered = cut(frequent.withColumn("code", F.expr("row_number() OVER (ORDER BY n DESC, item) - 1").cast("bigint")))
-    else:
-        numbered = cut(running_total(cut(frequent).withColumn("_one", F.lit(1).cast("bigint")), [-F.col("n"), F.col("item")], "_one", "code").select("item", "n", F.col("code").cast("bigint").alias("code")))
-    items, incident, heavy = numbered.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") * heavy_share >= total)).first()
+    frequent = cut(once.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    items, incident, heavy = frequent.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") * heavy_share >= total)).first()
+    numbered = cut(running_total(frequent.withColumn("_one", F.lit(1).cast("bigint")), [-F.col("n"), F.col("item")], "_one", "code", items).select("item", "n", F.col("code").cast("bigint").alias("code")))
     codes = numbered.select("item", "code")
-    coded = once.join(F.broadcast(codes) if items <= BROADCAST_ITEMS else codes, "item").select("record", "code")
-    blocks = max(1, -(-incident // BLOCK), min(spark.sparkContext.defaultParallelism, -(-incident // 20_000)))
-    if not share:
-        each = once.groupBy("record").agg(F.count("*").alias("k"))
-        blocks = max(blocks, -(-int(each.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]) // HASHED))
+    coded = cut(meet(once, codes, ["item"]).select("record", "code"))
+    each = cut(coded.groupBy("record").agg(F.count("*").alias("k")))
+    large = each.where(F.col("k") > most_items)
+    made = each.where(F.col("k") <= most_items).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]
+    # Blocks of few enough incidences, and of few enough pairs.
+    blocks = max(1, -(-incident // BLOCK), -(-int(made) // HASHED), min(spark.sparkContext.defaultParallelism, -(-incident // 20_000)))
     width = max(1, items)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         return _block(pdf["record"].to_numpy(), pdf["code"].to_numpy(), int(heavy), int(width))
 
-    keyed = coded.select(F.xxhash64("record").alias("h"), "record", "code").withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    parts = keyed.select("block", "record", "code").groupBy("block").applyInPandas(count, "a bigint, b bigint, n bigint")
+    split = not large.isEmpty()
+    marked = meet(coded, cut(large), ["record"], "left") if split else coded.withColumn("k", F.lit(None).cast("bigint"))
+    keyed = marked.where("k IS NULL").select(F.pmod(F.xxhash64("record"), F.lit(blocks)).cast("int").alias("block"), "record", "code")
+    parts = keyed.groupBy("block").applyInPandas(count, "a bigint, b bigint, n bigint")
+    if split:
+        # A large record's items are dealt into groups; each two of them, and each with itself, are a task's work.
+        groups = F.ceil(F.col("k") / most_items * 2).cast("int")
+        dealt = marked.where("k IS NOT NULL").select("record", "code", groups.alias("g"), F.pmod(F.xxhash64("code"), groups).cast("int").alias("group"))
+        met = dealt.select("record", "code", "group", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+        met = met.select("record", F.least("group", "o").alias("i"), F.greatest("group", "o").alias("j"), "code", "group")
+        parts = parts.unionByName(met.groupBy("record", "i", "j").applyInPandas(_sides, "a bigint, b bigint, n bigint"))
     sums = parts.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where((F.col("n_ab") >= least) & (F.col("n_ab") * share >= total if share else F.lit(True)))
     name = lambda x: numbered.select(F.col("code").alias(x), F.col("item").alias(f"i_{x}"), F.col("n").alias(f"m_{x}"))
-    met = sums.join(name("a"), "a").join(name("b"), "b")
+    met = meet(meet(cut(sums), name("a"), ["a"]), name("b"), ["b"])
     first = F.col("i_a") < F.col("i_b")
     return met.select(
         F.when(first, F.col("i_a")).otherwise(F.col("i_b")).alias("item_a"), F.when(first, F.col("i_b")).otherwise(F.col("i_a")).alias("item_b"),

@@ -34,12 +34,12 @@ def _brute(data, least, share):
     return {(a, b): (one[a], one[b], k, round(k * n / (one[a] * one[b]), 9)) for (a, b), k in two.items() if k >= least and share * k >= n}
 
 
-@pytest.mark.parametrize("heavy", [2, 16, 1000])
-def test_pairs_against_brute_force(spark, heavy):
+@pytest.mark.parametrize("heavy, most", [(2, 4_000), (16, 20), (1000, 7)])
+def test_pairs_against_brute_force(spark, heavy, most):
     rnd = random.Random(heavy)
     data = [(f"r{rnd.randrange(300)}", f"i{min(rnd.randrange(60), rnd.randrange(60))}", 1, 1) for _ in range(2000)]
     data += [("giant", f"i{k}", 1, 1) for k in range(60)] * 3 + [(None, "i1", 1, 1), ("r1", None, 1, 1), ("long", "x" * 100_000, 1, 1), ("", "", 1, 1)]
-    assert _pairs(spark, data, least=3, share=200, heavy_share=heavy) == _brute(data, 3, 200)
+    assert _pairs(spark, data, least=3, share=200, heavy_share=heavy, most_items=most) == _brute(data, 3, 200)
 
 
 def test_pairs_empty_and_single(spark):
@@ -145,7 +145,7 @@ def test_perfect_hash_is_minimal():
 
 def _mix(spark, sizes, targets, block=4, **kw):
     docs = [(i, s, list(range(n))) for i, (s, n) in enumerate(sizes)]
-    blocks = mixing.pack(spark.createDataFrame(docs, "id bigint, source string, ids array<int>"), "id", "source", "ids", block=block, ranges=3)
+    blocks = mixing.pack(spark.createDataFrame(docs, "id bigint, source string, ids array<int>"), "id", "source", "ids", block=block, range_rows=4)
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     return blocks, mixing.mix(blocks, t, block=block, shards=5, **kw), t
 
