@@ -4,7 +4,7 @@ Paths are cut into segments at graph nodes (ends of paths, points of more than
 one path, points with tags) by window functions. Searches run over all origins at
 once, as rounds of joins in which each origin's frontier is relaxed along
 segments: the state is a table, so neither the graph nor the number of origins
-has to fit in a task. A graph that is small, by count, is broadcast instead and
+has to fit in a task. A graph that is small, by count and bytes, is broadcast instead and
 searched by a heap per origin, with the same results. A node is reached when
 ``distance + weight`` is *below* the limit.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from terrane.world import KEY, World
 
 #: Segments up to which the graph is broadcast to the searching tasks.
 BROADCAST_SEGMENTS = 2_000_000
+#: Bytes of their nodes' and paths' names, most of which occur several times.
+BROADCAST_BYTES = 256 << 20
 WALKING_SPEED = 1.25
 #: The tag of paths that join features to the network, and the key of a factor on a path's cost. Options ``connection`` (``key=value``) and ``weight`` name others.
 CONNECTION, WEIGHT = ("network", "connection"), "network:weight"
@@ -139,62 +142,95 @@ def edges(segs: DataFrame, options: Mapping[str, str] | None = None) -> DataFram
 
 
 def reach(origins: DataFrame, graph: DataFrame, limit: float, broadcast_up_to: int = BROADCAST_SEGMENTS) -> DataFrame:
-    """``(origin, node, distance, via, prev)`` of every node within ``limit`` of ``origins`` ``(origin, node)``; ties by node, then path.
+    """``(origin, node, distance, hops, via, prev)`` of every node within ``limit`` of ``origins`` ``(origin, node)``.
 
-    An origin may start at several nodes, all at distance 0.
+    Of ways of equal distance the one with the fewest segments is taken, then the
+    least node before and the least path to it, so the result does not depend on
+    how it is found. An origin may start at several nodes, all at distance 0.
     """
     graph = cut(graph)
-    if graph.count() <= broadcast_up_to:
+    text = F.octet_length("a") + F.octet_length("b") + F.octet_length("path")
+    n, size = graph.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    if n <= broadcast_up_to and size <= BROADCAST_BYTES:
         return _reach_broadcast(origins, graph, limit)
     return _reach_joins(origins, graph, limit)
 
 
-_REACHED = "origin string, node string, distance double, via string, prev string"
+_REACHED = "origin string, node string, distance double, hops int, via string, prev string"
 
 
 def _reach_joins(origins: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
     none = F.lit(None).cast("string")
-    best = cut(origins.select("origin", "node", F.lit(0.0).alias("distance"), none.alias("via"), none.alias("prev")).distinct())
+    best = cut(origins.select("origin", "node", F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), none.alias("via"), none.alias("prev")).distinct())
     frontier = best
+    rank = F.struct("distance", "hops", "prev", "via")
     while True:
-        step = frontier.select("origin", F.col("node").alias("a"), "distance").join(graph, "a")
-        step = step.select("origin", F.col("b").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("path").alias("via"), F.col("a").alias("prev")).where(F.col("distance") < limit)
-        step = step.groupBy("origin", "node").agg(F.min(F.struct("distance", "prev", "via")).alias("s")).select("origin", "node", "s.*")
-        old = best.select("origin", "node", F.col("distance").alias("_d"))
-        frontier = cut(step.join(old, ["origin", "node"], "left").where("_d IS NULL OR distance < _d").select("origin", "node", "distance", "via", "prev"))
-        if frontier.isEmpty():
+        step = frontier.select("origin", F.col("node").alias("a"), "distance", "hops").join(graph, "a")
+        step = step.select("origin", F.col("b").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("path").alias("via"), F.col("a").alias("prev")).where(F.col("distance") < limit)
+        step = step.groupBy("origin", "node").agg(F.min(rank).alias("s"))
+        old = best.select("origin", "node", rank.alias("_s"))
+        # An equal way by another node changes where the node is reached from, but leads no way on.
+        moved = (F.col("s.distance") < F.col("_s.distance")) | ((F.col("s.distance") == F.col("_s.distance")) & (F.col("s.hops") < F.col("_s.hops")))
+        new = step.join(old, ["origin", "node"], "left").where("_s IS NULL OR s < _s")
+        new = cut(new.select("origin", "node", "s.distance", "s.hops", "s.via", "s.prev", (F.col("_s").isNull() | moved).alias("on")))
+        if new.isEmpty():
             return best
-        best = cut(best.join(frontier.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(frontier))
-
-
-def _reach_broadcast(origins: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
-    after: dict[str, list] = {}
-    for a, b, path, cost in graph.select("a", "b", "path", "cost").toPandas().itertuples(index=False):
-        after.setdefault(a, []).append((b, path, cost))
-    shared = graph.sparkSession.sparkContext.broadcast(after)
-
-    def search(starts: list[str]) -> list[tuple]:
-        ways = shared.value
-        best = {s: (0.0, None, None) for s in starts}
-        heap, done = [(0.0, s) for s in sorted(starts)], set()
+        best = cut(best.join(new.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(new.drop("on")))
+        frontier = new.where("on")
+
+
+class _Compact:
+    """A graph as arrays: nodes and paths are numbered in their order, segments lie by the node they leave."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        n = len(pdf)
+        ends, self.nodes = pd.factorize(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]), sort=True)
+        via, self.paths = pd.factorize(pdf["path"].to_numpy(object), sort=True)
+        a, b = ends[:n], ends[n:]
+        order = np.argsort(a, kind="stable")
+        self.to = b[order].astype(np.int32)
+        self.via, self.cost = via[order].astype(np.int32), pdf["cost"].to_numpy(float)[order]
+        self.starts = np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
+        self.ways: dict[int, list] = {}
+
+    def number(self, name: str) -> int | None:
+        i = int(np.searchsorted(self.nodes, name))
+        return i if i < len(self.nodes) and self.nodes[i] == name else None
+
+    def out(self, v: int) -> list:
+        if v not in self.ways:
+            s = slice(self.starts[v], self.starts[v + 1])
+            self.ways[v] = list(zip(self.to[s].tolist(), self.via[s].tolist(), self.cost[s].tolist()))
+        return self.ways[v]
+
+    def search(self, names: list[str], limit: float) -> list[tuple]:
+        alone = [(x, 0.0, 0, None, None) for x in names if self.number(x) is None]
+        begin = [i for i in map(self.number, names) if i is not None]
+        best = {v: (0.0, 0, -1, -1) for v in begin}
+        heap, done = [(0.0, 0, v) for v in begin], set()
         heapq.heapify(heap)
         while heap:
-            d, v = heapq.heappop(heap)
+            d, h, v = heapq.heappop(heap)
             if v in done:
                 continue
             done.add(v)
-            for b, path, cost in ways.get(v, ()):
-                n = d + cost
-                if n < limit and (b not in best or (n, v, path) < (best[b][0], best[b][2] or "", best[b][1] or "") and b not in done):
-                    if b not in best or n < best[b][0]:
-                        heapq.heappush(heap, (n, b))
-                    best[b] = (n, path, v)
-        return [(v, d, via, prev) for v, (d, via, prev) in best.items()]
+            for b, path, cost in self.out(v):
+                way = (d + cost, h + 1, v, path)
+                if way[0] < limit and (b not in best or way < best[b]):
+                    if b not in best or way[:2] < best[b][:2]:
+                        heapq.heappush(heap, (*way[:2], b))
+                    best[b] = way
+        name = lambda x, i: None if i < 0 else str(x[i])
+        return alone + [(str(self.nodes[v]), d, h, name(self.paths, p), name(self.nodes, u)) for v, (d, h, u, p) in best.items()]
+
+
+def _reach_broadcast(origins: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
+    shared = graph.sparkSession.sparkContext.broadcast(_Compact(graph.select("a", "b", "path", "cost").toPandas()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(o, *r) for o, starts in zip(pdf["origin"], pdf["starts"]) for r in search(sorted(set(starts)))]
-            yield pd.DataFrame(rows, columns=["origin", "node", "distance", "via", "prev"])
+            rows = [(o, *r) for o, starts in zip(pdf["origin"], pdf["starts"]) for r in shared.value.search(sorted(set(starts)), limit)]
+            yield pd.DataFrame(rows, columns=["origin", "node", "distance", "hops", "via", "prev"])
 
     each = origins.groupBy("origin").agg(F.collect_set("node").alias("starts"))
     want = 2 * origins.sparkSession.sparkContext.defaultParallelism
@@ -232,20 +268,26 @@ def accessible_all(origins: DataFrame, hits: DataFrame, flip: bool = False) -> D
     return every.join(pairs, "key", "left")
 
 
-def routes(reached: DataFrame, destinations: DataFrame, limit_steps: int = 10_000) -> DataFrame:
-    """``(origin, destination, ord, via, node, cost)``: the steps of the way to each destination, followed back hop by hop."""
-    back = cut(reached)
-    at = back.join(destinations.select(F.col("destination").alias("node")).distinct(), "node", "left_semi").where("via IS NOT NULL")
-    here = cut(at.select("origin", F.col("node").alias("destination"), "node", "via", "prev", F.col("distance").alias("cost"), F.lit(0).alias("up")))
+def routes(reached: DataFrame, destinations: DataFrame) -> DataFrame:
+    """``(origin, destination, ord, via, node, cost)``: the steps of the way to each destination.
+
+    Ways are followed back in rounds that double the number of steps, however long they are.
+    """
+    back = cut(reached.where("via IS NOT NULL"))
+    at = back.join(destinations.select(F.col("destination").alias("node")).distinct(), "node", "left_semi")
+    here = cut(at.select("origin", F.col("node").alias("destination"), "node"))
+    up = back.select("origin", "node", F.col("prev").alias("to"))
     out = here
-    for up in range(1, limit_steps):
-        nxt = here.select("origin", "destination", F.col("prev").alias("node")).join(back.where("via IS NOT NULL"), ["origin", "node"])
-        here = cut(nxt.select("origin", "destination", "node", "via", "prev", F.col("distance").alias("cost"), F.lit(up).alias("up")))
-        if here.isEmpty():
+    while True:
+        # Of ways whose last 2^k steps are known, the 2^k before those.
+        met = cut(out.join(up.hint("merge"), ["origin", "node"]).select("origin", "destination", F.col("to").alias("node")))
+        if met.isEmpty():
             break
-        out = out.unionByName(here)
-    last = Window.partitionBy("origin", "destination")
-    return out.select("origin", "destination", (F.max("up").over(last) - F.col("up")).alias("ord"), "via", "node", "cost")
+        out = out.unionByName(met)
+        onward = up.select("origin", F.col("node").alias("to"), F.col("to").alias("_to"))
+        up = cut(up.join(onward.hint("merge"), ["origin", "to"]).select("origin", "node", F.col("_to").alias("to")))
+    steps = out.join(back.hint("merge"), ["origin", "node"])
+    return steps.select("origin", "destination", (F.col("hops") - 1).alias("ord"), "via", "node", F.col("distance").alias("cost"))
 
 
 def paths_to_reach(steps: DataFrame) -> DataFrame:
