@@ -10,8 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geo, sphere as S
-from terrane.operators.proximity import Grid, cell_of, cover_box
+from terrane.operators.proximity import Grid, cell_of, cover_box, within
 from terrane.plans.lineage import cut
+from terrane.plans.skew import meet
+from terrane.world import KEY
+
+
+def containing(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """``(point, type, ns, value)``: each of ``points`` (features) with the ``areas`` (features) one of whose polygons holds it outside its holes."""
+    e7 = lambda x: F.struct(F.round(x["lat"] * 1e7).cast("int").alias("lat_e7"), F.round(x["lng"] * 1e7).cast("int").alias("lng_e7"))
+    loops = areas.select(*KEY, F.posexplode("polygons").alias("polygon", "p")).select(*KEY, "polygon", F.explode("p").alias("loop"))
+    # Numbered once: the numbers are those of the rows as written.
+    loops = cut(loops.select(*KEY, "polygon", F.transform("loop", e7).alias("ring"), F.monotonically_increasing_id().alias("region")))
+    at = e7(F.col("points")[0])
+    placed = points.where("type = 'point'").select(F.struct(*KEY).alias("point"), at["lat_e7"].alias("lat_e7"), at["lng_e7"].alias("lng_e7"))
+    hit = meet(within(placed, loops.select("region", "ring"), ["point"]), cut(loops.drop("ring")), ["region"])
+    odd = hit.groupBy("point", *KEY, "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return odd.select("point", *KEY).distinct()
 
 
 def adjacent(areas: DataFrame, scale: float = 1e5) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.operators.proximity import Grid, aside, cell_of, cover_box
 from terrane.plans.lineage import cut
+from terrane.plans.once import once
 from terrane.query import first_value
 from terrane.world import KEY, World
 
@@ -36,18 +37,18 @@ CONNECTION, WEIGHT = ("network", "connection"), "network:weight"
 NO_VEHICLES = ("footway", "steps", "corridor", "path", "pedestrian", "cycleway", "bridleway", "escape", "proposed", "construction")
 
 
-def _text(id: Column) -> Column:
+def text(id: Column) -> Column:
     return F.concat_ws("/", id["type"], id["ns"], id["value"].cast("string"))
 
 
 def segments(world: World) -> DataFrame:
     """Directed segments ``(path, first, last, first_node, last_node, forward, metres, tags)`` between graph nodes, both ways."""
     paths = world.features.where("type = 'path'")
-    steps = paths.select(_text(F.struct(*KEY)).alias("path"), "tags", F.posexplode(F.arrays_zip(F.col("refs").alias("ref"), F.col("points").alias("at"))).alias("i", "p"))
-    steps = steps.select("path", "tags", "i", _text(F.col("p.ref")).alias("node"), F.col("p.at").alias("at"))
+    steps = paths.select(text(F.struct(*KEY)).alias("path"), "tags", F.posexplode(F.arrays_zip(F.col("refs").alias("ref"), F.col("points").alias("at"))).alias("i", "p"))
+    steps = steps.select("path", "tags", "i", text(F.col("p.ref")).alias("node"), F.col("p.at").alias("at"))
     per = Window.partitionBy("path")
     uses = steps.groupBy("node").agg(F.count_distinct("path").alias("paths"))
-    tagged = world.features.where("type = 'point' AND size(tags) > 0").select(_text(F.struct(*KEY)).alias("node"), F.lit(True).alias("tagged"))
+    tagged = world.features.where("type = 'point' AND size(tags) > 0").select(text(F.struct(*KEY)).alias("node"), F.lit(True).alias("tagged"))
     steps = steps.join(uses, "node").join(tagged, "node", "left")
     steps = steps.withColumn("leg", F.coalesce(geo.distance(F.lag("at").over(per.orderBy("i")), F.col("at")), F.lit(0.0)))
     steps = steps.withColumn("far", F.sum("leg").over(per.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.max("i").over(per))
@@ -118,8 +119,8 @@ def weights(options: Mapping[str, str] | None = None) -> tuple[Column, Column]:
 
 def with_climb(segs: DataFrame, world: World) -> DataFrame:
     """Segments with metres of climb and fall along their path's order, from the ``ele`` of its points; the last known one carries over gaps."""
-    steps = world.features.where("type = 'path'").select(_text(F.struct(*KEY)).alias("path"), F.posexplode("refs").alias("i", "ref")).withColumn("node", _text(F.col("ref")))
-    ele = world.features.where("type = 'point'").select(_text(F.struct(*KEY)).alias("node"), first_value("ele").try_cast("double").alias("ele")).where("ele IS NOT NULL")
+    steps = world.features.where("type = 'path'").select(text(F.struct(*KEY)).alias("path"), F.posexplode("refs").alias("i", "ref")).withColumn("node", text(F.col("ref")))
+    ele = world.features.where("type = 'point'").select(text(F.struct(*KEY)).alias("node"), first_value("ele").try_cast("double").alias("ele")).where("ele IS NOT NULL")
     per = Window.partitionBy("path").orderBy("i")
     known = steps.join(ele, "node", "left").withColumn("e", F.last("ele", True).over(per.rowsBetween(Window.unboundedPreceding, 0)))
     d = F.coalesce(F.col("e") - F.lag("e").over(per), F.lit(0.0))
@@ -149,8 +150,8 @@ def reach(origins: DataFrame, graph: DataFrame, limit: float, broadcast_up_to: i
     how it is found. An origin may start at several nodes, all at distance 0.
     """
     graph = cut(graph)
-    text = F.octet_length("a") + F.octet_length("b") + F.octet_length("path")
-    n, size = graph.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    names = F.octet_length("a") + F.octet_length("b") + F.octet_length("path")
+    n, size = graph.agg(F.count("*"), F.coalesce(F.sum(names), F.lit(0))).first()
     if n <= broadcast_up_to and size <= BROADCAST_BYTES:
         return _reach_broadcast(origins, graph, limit)
     return _reach_joins(origins, graph, limit)
@@ -240,17 +241,17 @@ def _reach_broadcast(origins: DataFrame, graph: DataFrame, limit: float) -> Data
 def starts(world: World, origins: DataFrame, graph: DataFrame) -> DataFrame:
     """Where searches begin: a point that touches a usable path at itself, an area at each of its points that does; others nowhere."""
     on = graph.select(F.col("a").alias("node")).distinct()
-    points = origins.where("type = 'point'").select(_text(F.struct(*KEY)).alias("origin"), _text(F.struct(*KEY)).alias("node"))
-    areas = world.area_points().join(origins.where("type = 'area'"), KEY, "left_semi").select(_text(F.struct(*KEY)).alias("origin"), _text(F.col("target")).alias("node"))
+    points = origins.where("type = 'point'").select(text(F.struct(*KEY)).alias("origin"), text(F.struct(*KEY)).alias("node"))
+    areas = world.area_points().join(origins.where("type = 'area'"), KEY, "left_semi").select(text(F.struct(*KEY)).alias("origin"), text(F.col("target")).alias("node"))
     return points.unionByName(areas).join(on, "node", "left_semi").select("origin", "node")
 
 
 def reachable(world: World, reached: DataFrame, found: DataFrame) -> DataFrame:
     """``(origin, destination, kind, distance)``: reached points, and areas through their reached points, that are in ``found`` (features). An area that touches only the start isn't recorded."""
     points = reached.select("origin", F.col("node").alias("destination"), F.lit(0).alias("kind"), "distance")
-    on = world.area_points().select(_text(F.struct(*KEY)).alias("destination"), _text(F.col("target")).alias("node"))
+    on = world.area_points().select(text(F.struct(*KEY)).alias("destination"), text(F.col("target")).alias("node"))
     areas = reached.where("distance > 0").join(on, "node").groupBy("origin", "destination").agg(F.min("distance").alias("distance")).select("origin", "destination", F.lit(1).alias("kind"), "distance")
-    keep = found.select(_text(F.struct(*KEY)).alias("destination")).distinct()
+    keep = found.select(text(F.struct(*KEY)).alias("destination")).distinct()
     return points.unionByName(areas).join(keep, "destination", "left_semi").select("origin", "destination", "kind", "distance")
 
 
@@ -259,12 +260,18 @@ def closest(hits: DataFrame) -> DataFrame:
     return hits.groupBy("origin").agg(F.min(F.struct("distance", "kind", "destination")).alias("m")).select("origin", F.col("m.destination").alias("destination"), F.col("m.distance").alias("distance"))
 
 
+def building_access(world: World, reached: DataFrame) -> DataFrame:
+    """``(key, value)``: each origin with the areas tagged ``#building`` that are reached from it."""
+    buildings = world.features.where("type = 'area'").where(first_value("#building").isNotNull())
+    return reachable(world, reached, buildings).select(F.col("origin").alias("key"), F.col("destination").alias("value"))
+
+
 def accessible_all(origins: DataFrame, hits: DataFrame, flip: bool = False) -> DataFrame:
     """``(key, value)``: origin to destination without the origin itself; an origin with none keeps a null, unless flipped."""
     pairs = hits.where("origin <> destination").select(F.col("origin").alias("key"), F.col("destination").alias("value"))
     if flip:
         return pairs.select(F.col("value").alias("key"), F.col("key").alias("value"))
-    every = origins.select(_text(F.struct(*KEY)).alias("key")).distinct()
+    every = origins.select(text(F.struct(*KEY)).alias("key")).distinct()
     return every.join(pairs, "key", "left")
 
 
@@ -320,7 +327,7 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
         label = new.select("node", "label")
         if new.where("moved").isEmpty():
             break
-    at = world.features.where("type = 'point'").select(_text(F.struct(*KEY)).alias("node"), F.col("points")[0].alias("at"))
+    at = world.features.where("type = 'point'").select(text(F.struct(*KEY)).alias("node"), F.col("points")[0].alias("at"))
     placed = label.join(at, "node")
     far = placed.groupBy("label").agg(*[f(F.struct(F.col(f"at.{c}"), "at")).getField("at").alias(n) for n, f, c in (("s", F.min, "lat"), ("n", F.max, "lat"), ("w", F.min, "lng"), ("e", F.max, "lng"))])
     starts_ = segs.where("first = 0").select("path", F.col("first_node").alias("node")).distinct().join(placed, "node").join(far, "label")
@@ -336,17 +343,18 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
 
 
 def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
-    """``(id, path, at, metres)``: for each point ``(id, at)`` the nearest of ``paths`` (``path, points``) within ``threshold``, by cells of that size."""
+    """``(id, path, leg, at, metres)``: for each point ``(id, at)`` the nearest of ``paths`` (``path, points``) within ``threshold``, by cells of that size; ``leg`` is the index of the point before the place."""
     grid = Grid(threshold)
-    legs = paths.select("path", F.explode(F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("leg"))
+    legs = paths.select("path", F.posexplode(F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "leg"))
     legs = cover_box(legs, grid, threshold, F.array("leg.a", "leg.b"))
     here = cell_of(points, grid, "at")
-    # The foot on a leg of a street's length: on a plane around the point.
+    met = here.join(legs.hint("merge"), ["row", "col"])
+    # The foot on a leg of a street's length: on a plane around the point. Each step is worked out once.
     k = F.cos(F.radians(F.col("at.lat")))
-    ax, ay = aside(F.col("leg.a.lng"), F.col("at.lng")) * k, F.col("leg.a.lat") - F.col("at.lat")
-    bx, by = ax + aside(F.col("leg.b.lng"), F.col("leg.a.lng")) * k, F.col("leg.b.lat") - F.col("at.lat")
-    dx, dy = bx - ax, by - ay
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
-    foot = geo.ll(F.col("leg.a.lat") + t * (F.col("leg.b.lat") - F.col("leg.a.lat")), aside(F.col("leg.a.lng") + t * aside(F.col("leg.b.lng"), F.col("leg.a.lng")), F.lit(0.0)))
-    met = here.join(legs, ["row", "col"]).withColumn("foot", foot).withColumn("metres", geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
-    return met.groupBy("id").agg(F.min(F.struct("metres", "path", "foot")).alias("m")).select("id", F.col("m.path").alias("path"), F.col("m.foot").alias("at"), F.col("m.metres").alias("metres"))
+    met = once(met, _x=aside(F.col("leg.a.lng"), F.col("at.lng")) * k, _y=F.col("leg.a.lat") - F.col("at.lat"), _w=aside(F.col("leg.b.lng"), F.col("leg.a.lng")), _h=F.col("leg.b.lat") - F.col("leg.a.lat"))
+    dx = F.col("_w") * k
+    t = F.try_divide(-(F.col("_x") * dx + F.col("_y") * F.col("_h")), dx * dx + F.col("_h") * F.col("_h"))
+    met = once(met, _t=F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))))
+    met = once(met, foot=geo.ll(F.col("leg.a.lat") + F.col("_t") * F.col("_h"), aside(F.col("leg.a.lng") + F.col("_t") * F.col("_w"), F.lit(0.0))))
+    met = once(met, metres=geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
+    return met.groupBy("id").agg(F.min(F.struct("metres", "path", "i", "foot")).alias("m")).select("id", "m.path", F.col("m.i").alias("leg"), F.col("m.foot").alias("at"), "m.metres")

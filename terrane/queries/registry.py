@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane import ids, query as Q, world as W
 from terrane.functions import geo, numbers as N
-from terrane.operators import collections as C, histogram as H
+from terrane.operators import areas as A, collections as C, histogram as H
 from terrane.operators.collections import Collection
 from terrane.plans.lineage import fresh
 from terrane.sources import derived as D
@@ -204,9 +204,23 @@ def histogram(s, d):
     return H.histogram(_brands(s, d))
 
 
-@q(_UNIFORM)
+def _changed_bars(s, d, c, swatch):
+    """Bars counted from the collection that the change adds, with what it says of itself."""
+    id = ids.FeatureID("collection", "tables/histogram", 1)
+    w = W.World(D.world(s, d, "area").features).with_change(H.histogram_change(c, id, "histogram", swatch))
+    bars = w.list_feature(id).df.groupBy(F.col("value").cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    said = w.find_collection(id).select(Q.first_value("#histogram").alias("kind"))
+    text = w.find_feature(ids.FeatureID("expression", "tables/histogram", 1)).select(Q.first_value("expression").alias("text"))
+    return bars.join(F.broadcast(said), F.lit(True)).join(F.broadcast(text), F.lit(True))
+
+
+def _bars_sql(sql: str, kind: str) -> str:
+    return f"SELECT bucket, n, '{kind}' AS kind, 'histogram' AS text FROM ({sql})"
+
+
+@q(_bars_sql(_UNIFORM, "bars"))
 def histogram_with_id(s, d):
-    return H.histogram(_sizes(s, d))
+    return _changed_bars(s, d, _sizes(s, d), False)
 
 
 @q(_CATEGORICAL.replace("p_brand", "p_type"))
@@ -214,10 +228,9 @@ def histogram_swatch(s, d):
     return H.histogram(Collection.from_columns(table(s, d, "part"), F.col("p_partkey"), F.col("p_type")))
 
 
-@q("SELECT CAST(l_linenumber AS VARCHAR) AS label, count(*) AS n FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1")
+@q(_bars_sql(_UNIFORM.replace("p_size", "l_linenumber").replace("FROM part", "FROM lineitem"), "swatch"))
 def histogram_swatch_with_id(s, d):
-    c = line_numbers(s, d)
-    return H.histogram(Collection(c.df.where("value <= 6"))).select("label", "n")
+    return _changed_bars(s, d, line_numbers(s, d), True)
 
 
 @q(f"""WITH n AS (SELECT c, count(*) FILTER (s % 2 = 0) AS v FROM ({_OD}) GROUP BY 1),
@@ -357,33 +370,35 @@ def intersecting_cap(s, d):
     return _ids(D.world(s, d, "customer").find(Q.Typed("point", Q.Keyed("#segment")) & Q.IntersectsCap(51.508, -0.118, 500)))
 
 
-QUERIES["within_cap"], SQL["within_cap"] = intersecting_cap, SQL["intersecting_cap"]
-_BOX = ((51.5, -0.13), (51.5, -0.124), (51.504, -0.124), (51.504, -0.13))
+@q(_sql_ids("point", "supplier", "s_suppkey", f"supplier WHERE {_CAP.format(lat='(515000000 + (s_suppkey * 6007) % 200000)', lng='(-1300000 + (s_suppkey * 15013) % 300000)')} <= 700"))
+def within_cap(s, d):
+    return _ids(D.world(s, d, "supplier").find(Q.Keyed("#supplier") & Q.IntersectsCap(51.508, -0.118, 700)))
+
+
+#: Edges lie between the whole units of 1e-7 degrees that places have; the bulge of the northern and southern one is 0.4 units.
+_BOX = ((51.50000005, -0.13000005), (51.50000005, -0.12400005), (51.50400055, -0.12400005), (51.50400055, -0.13000005))
 
 
-@q(_sql_ids("point", "customer", "c_custkey", f"customer WHERE {_LAT} > 515000000 AND {_LAT} < 515039990 AND {_LNG} > -1300000 AND {_LNG} < -1240000"))
+@q(_sql_ids("point", "customer", "c_custkey", f"customer WHERE {_LAT} BETWEEN 515000001 AND 515040005 AND {_LNG} BETWEEN -1300000 AND -1240001"))
 def intersecting(s, d):
-    # The top edge is a great circle: points within 10 units of it are left to the box on the SQL side by the same bound.
-    hit = D.world(s, d, "customer").find(Q.Keyed("#segment") & Q.intersecting("area", ((_BOX,),)), order=False)
-    p = F.col("points")[0]
-    return _ids(hit.where((p["lat"] > 51.5) & (p["lat"] < 51.503999) & (p["lng"] > -0.13) & (p["lng"] < -0.124)))
+    return _ids(D.world(s, d, "customer").find(Q.Keyed("#segment") & Q.intersecting("area", ((_BOX,),)), order=False))
 
 
-QUERIES["within"], SQL["within"] = intersecting, SQL["intersecting"]
+@q("SELECT 'path' AS type, 'tables/' || kind AS ns, CAST(k AS BIGINT) AS value FROM (SELECT 'row' AS kind, p_partkey // 20 AS k FROM part WHERE p_partkey // 20 BETWEEN 1 AND 4 AND p_partkey % 20 <= 3 UNION SELECT 'col', p_partkey % 20 FROM part WHERE p_partkey // 20 BETWEEN 1 AND 4 AND p_partkey % 20 <= 3)")
+def within(s, d):
+    """Streets with a junction in the box."""
+    return _ids(D.world(s, d, "street").find(Q.Keyed("#highway") & Q.intersecting("area", ((_BOX,),)), order=False))
 
 
-@q(f"""WITH c AS (SELECT {_LAT} AS lat, {_LNG} AS lng FROM customer), n AS (SELECT n_nationkey AS k, n_regionkey AS r, 515000000 + (n_nationkey // 5) * 40000 AS s, -1300000 + (n_nationkey % 5) * 60000 AS w FROM nation)
+_AREA_CTE = f"""WITH c AS (SELECT {_LAT} AS lat, {_LNG} AS lng FROM customer), n AS (SELECT n_nationkey AS k, n_regionkey AS r, 515000000 + (n_nationkey // 5) * 40000 AS s, -1300000 + (n_nationkey % 5) * 60000 AS w FROM nation)"""
+
+
+@q(_AREA_CTE + """
 SELECT DISTINCT 'area' AS type, CASE g WHEN 0 THEN 'tables/nation' ELSE 'tables/region' END AS ns, CAST(CASE g WHEN 0 THEN k ELSE r END AS BIGINT) AS value
 FROM n JOIN c ON lat > s AND lat <= s + 40000 AND lng > w AND lng <= w + 60000, (VALUES (0), (1)) t(g)""")
 def containing_areas(s, d):
-    from terrane.operators.proximity import within
-
     areas = D.world(s, d, "area").find_areas(Q.Keyed("#boundary"), order=False)
-    rings = areas.select("type", "ns", "value", F.explode("polygons").alias("p")).select("type", "ns", "value", F.transform(F.col("p")[0], lambda x: F.struct(F.round(x["lat"] * 1e7).cast("int").alias("lat_e7"), F.round(x["lng"] * 1e7).cast("int").alias("lng_e7"))).alias("ring"))
-    rings = rings.withColumn("region", F.when(F.col("ns") == "tables/nation", F.lit(0)).otherwise(F.lit(1 << 32)) + F.xxhash64("ring").bitwiseAND(F.lit(0xFFFFFF)))
-    pts = D.customers(s, d).select("value", F.round(F.col("points")[0]["lat"] * 1e7).cast("int").alias("lat_e7"), F.round(F.col("points")[0]["lng"] * 1e7).cast("int").alias("lng_e7"))
-    hit = within(pts.drop("value"), rings.select("region", "ring"), []).distinct()
-    return rings.join(hit, "region", "left_semi").select("type", "ns", "value").distinct()
+    return _ids(A.containing(D.customers(s, d), areas).select("type", "ns", "value").distinct())
 
 
 @q("SELECT 'point' AS type, CAST(p_partkey AS BIGINT) AS value, ['*', 'brand=' || p_brand, 'type'] AS tokens FROM part")
@@ -565,7 +580,16 @@ def changes_to_file(s, d):
     return _ids(w.with_change(W.changes_from_file(s, path)).find(Q.Keyed("#picked"), order=False))
 
 
-QUERIES["changes_from_file"], SQL["changes_from_file"] = changes_to_file, SQL["changes_to_file"]
+@q("SELECT CAST(s_suppkey AS BIGINT) AS value, 'yes' AS moved, 'a' AS item FROM supplier WHERE s_nationkey = 4 UNION ALL SELECT 1, 'new', 'a'")
+def changes_from_file(s, d):
+    """Features, tags and collections of a change all come back."""
+    w = D.world(s, d, "supplier")
+    tags = W.add_tags(w.find(Q.Tagged("#nation", "4"), order=False).select("type", "ns", "value", F.lit("#moved").alias("k"), F.lit("yes").alias("v")))
+    id = ids.FeatureID("collection", "tables/list", 1)
+    both = W.merge_changes(None, tags, W.add_point(s, 51.5, -0.1, ids.FeatureID("point", "tables/new", 1), [("#moved", "new")]), W.add_collection(id, [], Collection.from_list(s, ["a"], "string")))
+    back = w.with_change(W.changes_from_file(s, W.changes_to_file(both, fresh(s))))
+    items = back.list_feature(id).df.select(F.col("value").alias("item"))
+    return back.find(Q.Keyed("#moved"), order=False).select("value", Q.first_value("#moved").alias("moved")).join(F.broadcast(items), F.lit(True))
 
 
 @q("SELECT c_mktsegment AS key, CAST(count(*) AS VARCHAR) AS value FROM customer GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane import ids, query as Q, shell, world as W
 from terrane.functions import cells, geo, geojson as J, tiles as T
-from terrane.operators import areas as A, graph as G, render as Rn
+from terrane.operators import areas as A, connect as Cn, graph as G, render as Rn
 from terrane.operators.collections import Collection
 from terrane.operators.histogram import assign
 from terrane.plans.lineage import cut, fresh
@@ -179,7 +179,8 @@ def sightline(s, d):
     return seen.select("id", F.round(geo.area(F.col("polygons"))).alias("m2"))
 
 
-@q()
+@q("""WITH p AS (SELECT p_partkey AS k, p_partkey // 20 AS r, p_partkey % 20 AS c FROM part), n AS (SELECT c, min(r) AS lo, max(r) AS hi FROM p GROUP BY c)
+SELECT CAST(k AS BIGINT) AS id, round((515000000 + r * 10000) / 1e7 + CASE WHEN r > lo THEN -1 ELSE 1 END * degrees(4 / 6371010.0), 6) AS lat, round((-1300000 + c * 15000) / 1e7, 6) AS lng FROM p JOIN n USING (c) WHERE lo < hi""")
 def entrance_approach(s, d):
     st = D.streets(s, d).select(F.concat_ws("/", "ns", F.col("value").cast("string")).alias("path"), F.transform("refs", lambda r: r["value"]).alias("nodes"), "points")
     doors = D.parts(s, d).select(F.col("value").alias("id"), geo.cap_polygon(F.col("points")[0], 2.0, 8).alias("polygons"), F.col("value").alias("door"), F.lit(True).alias("entrance"))
@@ -210,16 +211,34 @@ def s2_points(s, d):
     return t.select("token", cells.token_center(F.col("token")).alias("p")).select("token", F.round("p.lat", 7).alias("lat"), F.round("p.lng", 7).alias("lng"))
 
 
-@q(f"SELECT CAST(c_custkey AS BIGINT) AS id, true AS near FROM customer")
+def _cell_sql(level: int, columns: str) -> str:
+    """Cells of the face around the north pole, where all of these places are."""
+    back = lambda s_: f"(CASE WHEN {s_} >= 0.5 THEN (4 * pow({s_}, 2) - 1) / 3 ELSE (1 - 4 * pow(1 - {s_}, 2)) / 3 END)"
+    on = lambda u: f"(CASE WHEN {u} >= 0 THEN 0.5 * sqrt(1 + 3 * {u}) ELSE 1 - 0.5 * sqrt(1 - 3 * {u}) END)"
+    n = 1 << level
+    corner = lambda di, dj: f"SELECT id, {back(f'((i + {di}) / {n})')} AS u, {back(f'((j + {dj}) / {n})')} AS v FROM c"
+    parts = [(0.5, 0.5)] if columns.startswith("id, round(lat") else [(0, 0), (0, 1), (1, 0), (1, 1)]
+    return f"""
+WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS id, radians({_LAT}) AS la, radians({_LNG}) AS lo FROM customer),
+x AS (SELECT id, -cos(la) * cos(lo) / sin(la) AS u, -cos(la) * sin(lo) / sin(la) AS v FROM p),
+c AS (SELECT id, floor({on("u")} * {n}) AS i, floor({on("v")} * {n}) AS j FROM x),
+w AS ({" UNION ALL ".join(corner(*k) for k in parts)}),
+g AS (SELECT id, degrees(atan2(1, sqrt(u * u + v * v))) AS lat, degrees(atan2(-v, -u)) AS lng FROM w)
+SELECT {columns} FROM g {"" if len(parts) == 1 else "GROUP BY id"}"""
+
+
+@q(_cell_sql(20, "id, round(lat, 7) AS lat, round(lng, 7) AS lng"))
 def s2_center(s, d):
     c = cells.token_center(cells.point_token(F.col("at"), 20))
-    return _points(s, d).select(F.col("value").alias("id"), "at", c.alias("c")).select("id", (geo.distance(F.col("at"), F.col("c")) < 12).alias("near"))
+    return _points(s, d).select(F.col("value").alias("id"), c.alias("c")).select("id", F.round("c.lat", 7).alias("lat"), F.round("c.lng", 7).alias("lng"))
 
 
-@q("SELECT CAST(c_custkey AS BIGINT) AS id, true AS inside FROM customer")
+@q(_cell_sql(16, "id, round(min(lat), 7) AS south, round(max(lat), 7) AS north, round(min(lng), 7) AS west, round(max(lng), 7) AS east"))
 def s2_polygon(s, d):
     p = cells.token_polygon(cells.point_token(F.col("at"), 16))
-    return _points(s, d).select(F.col("value").alias("id"), "at", p.alias("p")).select("id", geo.contains(F.col("p"), F.col("at")).alias("inside"))
+    ring = _points(s, d).select(F.col("value").alias("id"), p[0][0].alias("r"))
+    of = lambda f, k: F.round(f(F.transform("r", lambda x: x[k])), 7)
+    return ring.select("id", of(F.array_min, "lat").alias("south"), of(F.array_max, "lat").alias("north"), of(F.array_min, "lng").alias("west"), of(F.array_max, "lng").alias("east"))
 
 
 @q("SELECT CAST(c_custkey AS BIGINT) AS id, '16/' || CAST(floor((%s + 180) / 360 * 65536) AS BIGINT) || '/' || CAST(floor(32768 - 32768 / pi() * 0.5 * ln((1 + sin(radians(%s))) / (1 - sin(radians(%s))))) AS BIGINT) AS tile FROM customer" % (_LNG, _LAT, _LAT))
@@ -314,7 +333,16 @@ def filter_accessible(s, d):
     return kept.df.select(F.col("key.value").alias("k"), F.col("value.value").alias("v")).toDF("key", "value")
 
 
-QUERIES["building_access"], SQL["building_access"] = filter_accessible, SQL["filter_accessible"]
+@q(_WALK + """, b AS (SELECT k AS area, [k, k + 1, k + 21, k + 20] AS ring FROM p WHERE k % 7 = 0 AND k % 20 < 19 AND k + 21 <= (SELECT max(k) FROM p))
+SELECT DISTINCT best.origin AS key, b.area AS value FROM best JOIN b ON list_contains(b.ring, best.destination) WHERE best.m > 0""")
+def building_access(s, d):
+    w = _net(s, d)
+    g = G.edges(_segments(w), {"mode": "highway"})
+    w = W.World(w.features.unionByName(D.buildings(s, d)))
+    r = cut(G.reach(G.starts(w, w.features.where("type = 'point'"), g), g, LIMIT))
+    return G.building_access(w, r).select(_key(F.col("key")).alias("key"), _key(F.col("value")).alias("value"))
+
+
 _NEAR = _WALK + "SELECT p.k AS origin, round(coalesce(min(b.m), 0), 3) AS metres FROM p LEFT JOIN (SELECT best.* FROM best JOIN p ON p.k = destination WHERE p.p_brand = 'Brand#12') b ON b.origin = p.k GROUP BY 1"
 
 
@@ -332,44 +360,55 @@ def closest_distance(s, d):
     return every.join(near, "origin", "left").select("origin", F.coalesce("m", F.lit(0.0)).alias("metres"))
 
 
-@q()
+@q(_WALK.replace("best AS (", """x AS (SELECT k AS origin, k AS node, CAST(0 AS DOUBLE) AS m, 0 AS hops, CAST([] AS VARCHAR[]) AS way FROM p
+  UNION ALL SELECT x.origin, e.b, x.m + e.m, x.hops + 1, list_append(x.way, CASE WHEN abs(e.a - e.b) = 1 THEN 'path/tables/row/' || (e.a // 20) ELSE 'path/tables/col/' || (e.a % 20) END) FROM x JOIN e ON x.node = e.a WHERE x.m + e.m < 400.0),
+one AS (SELECT origin, node, arg_min(way, (m, hops, way)) AS way FROM x WHERE node IN (SELECT k FROM p WHERE p_brand = 'Brand#12') GROUP BY ALL),
+best AS (""") + "SELECT way[i] AS path, count(*) AS n FROM one, range(1, len(way) + 1) t(i) WHERE i = 1 OR way[i - 1] <> way[i] GROUP BY 1")
 def paths_to_reach(s, d):
     w, r = _reach(s, d)
     return G.paths_to_reach(G.routes(r, G.reachable(w, r, _brand(w))))
 
 
-#: Metres within which features are connected, and beyond which paths must lead to count as the street network.
-CONNECT = 500.0
-
-
-def _connections(s, d, points):
+def _connected(s, d, features):
+    """The paths that the change adds, by their ends."""
     w = _net(s, d)
-    kept = G.network(w, _segments(w), CONNECT)
-    paths = w.features.where("type = 'path'").select(F.concat_ws("/", "type", "ns", F.col("value").cast("string")).alias("path"), "points").join(kept, "path", "left_semi")
-    return G.connect_nearest(points, paths, CONNECT).select("id", "path", F.round("metres", 2).alias("metres"))
-
-
-@q()
+    w = W.World(w.features.unionByName(features))
+    change = Cn.connect_features(w, features, G.network(w, _segments(w), Cn.REACH))
+    added = w.with_change(change).features.where(F.col("ns") == Cn.ACCESS_PATHS)
+    return added.select(F.get("refs", F.lit(0))["value"].alias("id"), F.get("refs", F.lit(1))["value"].alias("node"), F.round(geo.length(F.col("points")), 2).alias("metres"))
+
+
+def _legs_sql(points: str) -> str:
+    """The nearest leg within 500 m by comparing with all of them: on a plane around the point, as legs are short."""
+    return f"""
+WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, (515000000 + (p_partkey // 20) * 10000) / 1e7 AS lat, (-1300000 + (p_partkey % 20) * 15000) / 1e7 AS lng FROM part),
+e AS (SELECT a.k AS a, b.k AS b, a.lat AS alat, a.lng AS alng, b.lat AS blat, b.lng AS blng, CASE WHEN b.k = a.k + 1 THEN 'row/' || (a.k // 20) ELSE 'col/' || (a.k % 20) END AS path FROM p a JOIN p b ON (b.k = a.k + 1 AND a.k // 20 = b.k // 20) OR b.k = a.k + 20),
+q AS ({points}),
+m AS (SELECT q.*, e.*, cos(radians(q.lat)) AS c FROM q JOIN e ON abs(e.alat - q.lat) < 0.02 AND abs(e.alng - q.lng) < 0.02),
+f AS (SELECT *, greatest(0, least(1, -((alng - lng) * c * (blng - alng) * c + (alat - lat) * (blat - alat)) / (pow((blng - alng) * c, 2) + pow(blat - alat, 2)))) AS t FROM m),
+g AS (SELECT *, {_hav("lat", "lng", "(alat + t * (blat - alat))", "(alng + t * (blng - alng))")} AS metres FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, path, a) AS r FROM g WHERE metres < 500)
+SELECT n.id, p.k AS node, round({_hav("n.lat", "n.lng", "p.lat", "p.lng")}, 2) AS metres FROM n JOIN p ON p.k IN (n.a, n.b) WHERE r = 1"""
+
+
+@q(_legs_sql(f"SELECT CAST(c_custkey AS BIGINT) AS id, {_LAT} AS lat, {_LNG} AS lng FROM customer"))
 def connect_to_network_all(s, d):
-    return _connections(s, d, _points(s, d).select(F.col("value").alias("id"), "at")).withColumn("path", F.expr("substring(path, instr(path, '/') + 1)"))
+    return _connected(s, d, D.customers(s, d))
 
 
-@q()
+@q(_legs_sql("SELECT CAST(s_suppkey AS BIGINT) AS id, (515000000 + (s_suppkey * 6007) % 200000) / 1e7 AS lat, (-1300000 + (s_suppkey * 15013) % 300000) / 1e7 AS lng FROM supplier"))
 def connect_to_network(s, d):
-    return _connections(s, d, D.suppliers(s, d).select(F.col("value").alias("id"), F.col("points")[0].alias("at")))
+    return _connected(s, d, D.suppliers(s, d))
 
 
 @q("SELECT count(*) FILTER (p_partkey = 21) AS connected, (SELECT count(DISTINCT p_partkey // 20) + count(DISTINCT p_partkey % 20) + 1 FROM part) AS paths FROM part")
 def connect(s, d):
-    """Two points without a direct segment get a path with the id value 1."""
+    """Of two pairs of points the one without a direct segment gets a path with the id value 1."""
     w = _net(s, d)
-    a, b = "point/tables/part/0", "point/tables/part/21"
-    direct = _segments(w).where((F.col("first_node") == a) & (F.col("last_node") == b)).count()
-    ends = w.features.where("ns = 'tables/part' AND value IN (0, 21)").orderBy("value").select(F.struct("type", "ns", "value").alias("id"), F.col("points")[0].alias("p")).collect()
-    if not direct:
-        row = {"points": [tuple(e.p) for e in ends], "refs": [tuple(e.id) for e in ends], "tags": [G.CONNECTION]}
-        w = w.with_change(W.add_feature(s, ids.FeatureID("path", "tables/connection", 1), **row))
-    return w.features.where("type = 'path'").agg(F.count_if(F.col("ns") == "tables/connection").alias("connected"), F.count("*").alias("paths"))
+    at = lambda k: ids.FeatureID("point", "tables/part", k)
+    segs = _segments(w)
+    near, far = Cn.connect_points(w, segs, at(1), at(2)), Cn.connect_points(w, segs, at(0), at(21))
+    return w.with_change(near).with_change(far).features.where("type = 'path'").agg(F.count_if(F.col("ns") == Cn.ACCESS_PATHS).alias("connected"), F.count("*").alias("paths"))
 
 
 # GeoJSON
@@ -389,7 +428,11 @@ def parse_geojson(s, d):
     return _docs(s, d).select("id", J.parse(F.col("text")).alias("g")).select("id", g["points"][0].alias("p")).select("id", "p.*")
 
 
-QUERIES["to_geojson"], SQL["to_geojson"] = parse_geojson, SQL["parse_geojson"]
+@q(f"SELECT CAST(c_custkey AS BIGINT) AS id, 'Point' AS type, {_LNG} AS lng, {_LAT} AS lat FROM customer")
+def to_geojson(s, d):
+    """Read by the engine's own functions on JSON texts."""
+    at = lambda p: F.get_json_object("text", p)
+    return _docs(s, d).select("id", at("$.type").alias("type"), at("$.coordinates[0]").cast("double").alias("lng"), at("$.coordinates[1]").cast("double").alias("lat"))
 
 
 def _collection_doc(s, d) -> DataFrame:

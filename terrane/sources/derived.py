@@ -86,6 +86,17 @@ def areas(spark, d):
     return nations.unionByName(_row(grouped, "area", "region", F.col("n_regionkey"), tags(**{"#boundary": F.lit("region")}), None, F.transform("ks", _rect)))
 
 
+def buildings(spark, d):
+    """Areas between four junctions, and their boundaries; every seventh block."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
+    last = p.agg(F.max("k").alias("last"))
+    block = p.where("k % 7 = 0 AND k % 20 < 19").join(F.broadcast(last), F.lit(True)).where("k + 21 <= last")
+    ring = F.array(F.col("k"), F.col("k") + 1, F.col("k") + 21, F.col("k") + 20, F.col("k"))
+    edge = _row(block, "path", "block", F.col("k"), None, F.transform(ring, _part_at), None, F.transform(ring, lambda x: id_of("point", "part", x)))
+    inside = _row(block, "area", "block", F.col("k"), tags(**{"#building": F.lit("yes")}), None, F.array(F.array(F.transform(F.slice(ring, 1, 4), _part_at))), F.array(id_of("path", "block", F.col("k"))))
+    return edge.unionByName(inside)
+
+
 def relations(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("ls"))
     df = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrane import ids, query as Q, shell, world as W
 from terrane.functions import cells, geo, geojson as J, numbers as N, sphere as S, tiles
 from terrane.ids import FeatureID
-from terrane.operators import areas as A, graph as G, histogram as H, render
+from terrane.operators import areas as A, connect as Cn, graph as G, histogram as H, render
 from terrane.operators.collections import Collection
 from terrane.queries import spatial
 from terrane.sources import ingest, transit
@@ -257,13 +257,85 @@ def test_features_connect_within_500_metres_to_the_network_only(spark, rows, mon
     at = {0: (0.0, 0.0), 1: (0.0, 2 * t), 2: (0.6 * t, t), 3: (0.6 * t, 1.1 * t)}
     path = lambda v, a, b: {"type": "path", "ns": "w", "value": v, "tags": [("#highway", "residential")], "points": [at[a], at[b]], "refs": [P(a), P(b)]}
     w = W.World(W.feature_rows(spark, [*[_pt(i, *p) for i, p in at.items()], path(1, 0, 1), path(2, 2, 3)]))
-    customers = spark.createDataFrame([("point", "c", 7, (0.5 * t, t), [(0.5 * t, t)])], f"type string, ns string, value bigint, at {geo.POINT}, points {geo.PATH}")
+    customers = W.feature_rows(spark, [{"type": "point", "ns": "c", "value": 7, "points": [(0.5 * t, t)]}])
     monkeypatch.setattr(spatial, "_net", lambda s, d: w)
     monkeypatch.setattr(spatial.D, "customers", lambda s, d: customers)
     monkeypatch.setattr(spatial.D, "suppliers", lambda s, d: customers)
-    # The isolated path is nearer, but no network.
-    assert rows(spatial.connect_to_network_all(spark, "")) == [(7, "w/1", pytest.approx(250.0, abs=0.1))]
-    assert rows(spatial.connect_to_network(spark, "")) == [(7, "path/w/1", pytest.approx(250.0, abs=0.1))]
+    # The isolated path is nearer, but no network: both ends of the other one are led to.
+    far = pytest.approx(math.hypot(250.0, 500.0), abs=0.1)
+    assert rows(spatial.connect_to_network_all(spark, "")) == [(7, 0, far), (7, 1, far)]
+    assert rows(spatial.connect_to_network(spark, "")) == [(7, 0, far), (7, 1, far)]
+
+
+@pytest.fixture(scope="module")
+def block(spark):
+    """A street of three points along the equator, a house with a door, one without, one on the street, and a lone point."""
+    m = math.degrees(1 / S.R)
+    at = {0: (0, 0), 1: (0, 300), 2: (0, 900)}  # metres north, east
+    at |= {10: (20, 100), 11: (20, 140), 12: (60, 140), 13: (60, 100)} | {20: (-50, 398), 21: (-30, 398), 22: (-30, 402), 23: (-50, 402)} | {30: (40, 300), 31: (40, 340), 40: (70, 2), 41: (5000, 0)}
+    place = {i: (a * m, b * m) for i, (a, b) in at.items()}
+    rows = [_pt(i, *p, *([("entrance", "main")] if i == 12 else [])) for i, p in place.items()]
+    path = lambda v, pts, *tags: {"type": "path", "ns": "w", "value": v, "tags": list(tags), "points": [place[p] for p in pts], "refs": [P(p) for p in pts]}
+    area = lambda v: {"type": "area", "ns": "w", "value": v, "polygons": [], "refs": [("path", "w", v)]}
+    rows += [path(1, [0, 1, 2], ("#highway", "residential")), path(5, [10, 11, 12, 13, 10]), path(6, [20, 21, 22, 23, 20]), path(7, [1, 30, 31, 1]), area(5), area(6), area(7)]
+    return W.World(W.feature_rows(spark, rows))
+
+
+def _ways(w, change):
+    new = w.with_change(change).features.where(F.col("ns") == Cn.ACCESS_PATHS).collect()
+    return {(tuple(r.refs[0][1:]), tuple(r.refs[1][1:])) for r in new if r.tags[0][0] == G.CONNECTION[0]}
+
+
+def test_connecting_to_points_that_exist(spark, block):
+    network = spark.createDataFrame([("path/w/1",)], "path string")
+    features = block.features.where("type = 'area' OR value IN (0, 40, 41)")
+    change = Cn.connect_features(block, features.unionByName(features), network)
+    # The door; the nearer end of the nearest side; what is on the street stays as it is.
+    n = lambda a, b: ((NS, a), (NS, b))
+    assert _ways(block, change) == {n(12, 0), n(12, 1), n(22, 1), n(22, 2), n(40, 0), n(40, 1)}
+    assert Cn.connect_features(block, features.limit(0), network).added.count() == 0
+
+
+def test_connecting_inserts_and_clusters_points(spark, block):
+    network = spark.createDataFrame([("path/w/1",)], "path string")
+    change = Cn.connect_features(block, block.features.where("type = 'area' OR value IN (0, 40, 41)"), network, "insert")
+    w = block.with_change(change)
+    street = w.features.where("type = 'path' AND ns = 'w' AND value = 1").first()
+    east = [round(math.radians(p.lng) * S.R) for p in street.points]
+    # 140 m of the door and 400 m of the other house are new; 2 m is the street's first point.
+    assert east == [0, 140, 300, 400, 900] and [r.ns for r in street.refs][0] == NS and street.refs[1].ns == Cn.ACCESS_POINTS + "/w"
+    ways = _ways(block, change)
+    assert {a[1] for a, _ in ways} == {12, 21, 40} and ((NS, 40), (NS, 0)) in ways and len(ways) == 3
+    new = {(r.ns, r.value) for r in w.features.where("type = 'point'").where(F.col("ns").startswith(Cn.ACCESS_POINTS)).collect()}
+    assert new == {b for a, b in ways if a[1] != 40} and len(new) == 2
+    with pytest.raises(ValueError):
+        Cn.connect_features(block, block.features, network, "other")
+
+
+def test_insertions_that_lie_close_are_one(spark):
+    m = math.degrees(1 / S.R)
+    at = {0: (0.0, 0.0), 1: (0.0, 900 * m)} | {10 + i: (20 * m, x * m) for i, x in enumerate([100, 103, 105, 112])}
+    rows = [_pt(i, *p) for i, p in at.items()] + [{"type": "path", "ns": "w", "value": 1, "tags": [("#highway", "x")], "points": [at[0], at[1]], "refs": [P(0), P(1)]}]
+    w = W.World(W.feature_rows(spark, rows))
+    change = Cn.connect_features(w, w.features.where("value >= 10"), spark.createDataFrame([("path/w/1",)], "path string"), "insert")
+    street = w.with_change(change).features.where("type = 'path' AND ns = 'w'").first()
+    # 100 and 103 meet at 101.5, 105 is 3.5 from there: 103.25; 112 is on its own.
+    assert [round(math.radians(p.lng) * S.R, 1) for p in street.points] == [0, 103.2, 112, 900] or [round(math.radians(p.lng) * S.R, 2) for p in street.points] == [0, 103.25, 112, 900]
+
+
+def test_connecting_two_points(mini):
+    segs = G.segments(mini)
+    at = lambda v: FeatureID("point", NS, v)
+    assert Cn.connect_points(mini, segs, at(0), at(2)).added.count() == 0
+    (r,) = Cn.connect_points(mini, segs, at(0), at(11)).added.collect()
+    assert (r.type, r.value, [x.value for x in r.refs]) == ("path", 1, [0, 11])
+
+
+def test_holes_and_several_polygons_contain(spark):
+    sq = lambda a, b: [(a, a), (a, b), (b, b), (b, a)]
+    areas = W.feature_rows(spark, [{"type": "area", "ns": "a", "value": 1, "polygons": [[sq(0.0, 9.0), sq(3.0, 6.0)], [sq(20.0, 21.0)]]}, {"type": "area", "ns": "a", "value": 2, "polygons": [[sq(4.0, 5.0)]]}])
+    points = W.feature_rows(spark, [_pt(i, x, x) for i, x in enumerate([1.0, 4.5, 20.5, 30.0])])
+    assert sorted((r.point.value, r.value) for r in A.containing(points, areas).collect()) == [(0, 1), (1, 2), (2, 1)]
 
 
 # Geometry
