@@ -19,9 +19,14 @@ from terrane.functions import geo
 
 
 class Query:
-    def column(self, mode: str = "find") -> Column:
+    def column(self, mode: str = "find", field=F.col) -> Column:
+        """The reading ``mode`` for features whose columns ``field`` gives by name."""
         raise NotImplementedError
 
+    def on(self, feature: Column) -> Column:
+        """The ``matches`` reading for a feature that is a struct column."""
+        return self.column("matches", lambda name: feature[name])
+
     def __and__(self, other: Query) -> Query:
         return And((self, other)).simplify()
 
@@ -48,7 +53,7 @@ def indexed() -> Column:
 
 @dataclass(frozen=True)
 class All(Query):
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         return F.lit(True)
 
     def to_dict(self):
@@ -57,7 +62,7 @@ class All(Query):
 
 @dataclass(frozen=True)
 class Empty(Query):
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         return F.lit(False)
 
     def to_dict(self):
@@ -66,8 +71,8 @@ class Empty(Query):
 
 @dataclass(frozen=True)
 class IsValid(Query):
-    def column(self, mode="find"):
-        return F.lit(False) if mode == "find" else (F.col("type") != "invalid") & (F.col("ns") != "")
+    def column(self, mode="find", field=F.col):
+        return F.lit(False) if mode == "find" else (field("type") != "invalid") & (field("ns") != "")
 
     def to_dict(self):
         return {"isValid": {}}
@@ -77,10 +82,10 @@ class IsValid(Query):
 class Keyed(Query):
     key: str
 
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         if mode == "find" and self.key[:1] not in ("#", "@"):
             return F.lit(False)
-        return F.exists("tags", lambda t: t["key"] == self.key)
+        return F.exists(field("tags"), lambda t: t["key"] == self.key)
 
     def to_dict(self):
         return {"keyed": self.key}
@@ -91,11 +96,11 @@ class Tagged(Query):
     key: str
     value: str
 
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         if mode == "find":
             # The index has a token for each tag; a repeated key is found by any of its values.
-            return F.exists("tags", lambda t: (t["key"] == self.key) & (t["value"] == self.value)) if self.key[:1] == "#" else F.lit(False)
-        return F.coalesce(first_value(self.key) == self.value, F.lit(False))
+            return F.exists(field("tags"), lambda t: (t["key"] == self.key) & (t["value"] == self.value)) if self.key[:1] == "#" else F.lit(False)
+        return F.coalesce(first_value(self.key, field("tags")) == self.value, F.lit(False))
 
     def to_dict(self):
         return {"tagged": {"key": self.key, "value": self.value}}
@@ -106,9 +111,9 @@ class Typed(Query):
     type: str
     inner: Query
 
-    def column(self, mode="find"):
-        own = F.col("type") == self.type
-        return own & self.inner.column(mode) if mode == "find" else own
+    def column(self, mode="find", field=F.col):
+        own = field("type") == self.type
+        return own & self.inner.column(mode, field) if mode == "find" else own
 
     def simplify(self):
         return Typed(self.type, self.inner.simplify())
@@ -129,10 +134,10 @@ def _flat(kind, queries):
 class And(Query):
     queries: tuple
 
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         out = F.lit(True)
         for q in self.queries:
-            out = out & q.column(mode)
+            out = out & q.column(mode, field)
         return out
 
     def simplify(self):
@@ -147,10 +152,10 @@ class And(Query):
 class Or(Query):
     queries: tuple
 
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         out = F.lit(False)
         for q in self.queries:
-            out = out | q.column(mode)
+            out = out | q.column(mode, field)
         return out
 
     def simplify(self):
@@ -169,9 +174,11 @@ class IntersectsCap(Query):
     lng: float
     radius: float
 
-    def column(self, mode="find"):
-        box = geo.near_box(F.col("points"), F.col("polygons"), self.lat, self.lng, self.radius)
-        near = F.when(F.col("type") == "point", geo.distance(F.col("points")[0], geo.ll(self.lat, self.lng)) <= self.radius).otherwise(geo.cap_touches(F.col("type"), F.coalesce(F.col("points"), F.array().cast(geo.PATH)), F.coalesce(F.col("polygons"), F.array().cast(geo.AREA)), F.lit(self.lat), F.lit(self.lng), F.lit(self.radius)))
+    def column(self, mode="find", field=F.col):
+        points, polygons = field("points"), field("polygons")
+        box = geo.near_box(points, polygons, self.lat, self.lng, self.radius)
+        touches = geo.cap_touches(field("type"), F.coalesce(points, F.array().cast(geo.PATH)), F.coalesce(polygons, F.array().cast(geo.AREA)), F.lit(self.lat), F.lit(self.lng), F.lit(self.radius))
+        near = F.when(field("type") == "point", geo.distance(F.get(points, F.lit(0)), geo.ll(self.lat, self.lng)) <= self.radius).otherwise(touches)
         return F.coalesce(box & near, F.lit(False))
 
     def to_dict(self):
@@ -185,8 +192,8 @@ class IntersectsGeometry(Query):
     kind: str
     coordinates: tuple  # ((lat, lng), ...) of a point or path; polygons of loops of points of an area
 
-    def column(self, mode="find"):
-        return F.coalesce(geo.meets(F.col("type"), F.col("points"), F.col("polygons"), self.kind, self.coordinates), F.lit(False))
+    def column(self, mode="find", field=F.col):
+        return F.coalesce(geo.meets(field("type"), field("points"), field("polygons"), self.kind, self.coordinates), F.lit(False))
 
     def to_dict(self):
         return {f"intersects{self.kind.capitalize()}": self.coordinates}
@@ -201,10 +208,10 @@ class MightIntersect(Query):
     north: float
     east: float
 
-    def column(self, mode="find"):
+    def column(self, mode="find", field=F.col):
         if mode != "find":
             return F.lit(True)
-        return F.coalesce(F.exists(geo.vertices(F.col("points"), F.col("polygons")), lambda p: p["lat"].between(self.south, self.north) & p["lng"].between(self.west, self.east)), F.lit(False))
+        return F.coalesce(F.exists(geo.vertices(field("points"), field("polygons")), lambda p: p["lat"].between(self.south, self.north) & p["lng"].between(self.west, self.east)), F.lit(False))
 
     def to_dict(self):
         return {"mightIntersect": [self.south, self.west, self.north, self.east]}

@@ -9,19 +9,21 @@ becomes one plan.
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane import ids, query as Q
-from terrane.functions import geo, numbers as N
+from terrane.functions import numbers as N
+from terrane.language import Join, column, functions, on, wrap
 from terrane.operators.collections import Collection
-from terrane.operators import histogram as H
-from terrane.world import World
+from terrane.world import Change, World, Worlds
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class Lambda:
     body: Any
 
 
-_TOKEN = re.compile(r"""\s*(?:(?P<arrow>->)|(?P<string>"(?:[^"\\]|\\.)*")|(?P<id>/[A-Za-z][^\s(){}\[\],|]*)|(?P<float>-?\d+\.\d+)|(?P<int>-?\d+)|(?P<key>[#@][^\s=\]\[&|(){},]+)|(?P<symbol>[A-Za-z_][\w:-]*)|(?P<mark>[|(){}\[\],:=&]))""")
+_TOKEN = re.compile(r"""\s*(?:(?P<arrow>->)|(?P<string>"(?:[^"\\]|\\.)*")|(?P<id>/[A-Za-z](?:[^\s(){}\[\],|]*[^\s(){}\[\],|:])?)|(?P<float>-?\d+\.\d+)|(?P<int>-?\d+)|(?P<key>[#@][^\s=\]\[&|(){},]+)|(?P<symbol>[A-Za-z_][\w:-]*)|(?P<mark>[|(){}\[\],:=&]))""")
 
 
 def lex(text: str) -> list[tuple[str, str]]:
@@ -229,15 +231,8 @@ def _query_text(q) -> str:
     raise ValueError("a query without a text form")
 
 
-@dataclass(frozen=True)
-class Feature:
-    """A feature within a mapped function: a struct Column."""
-
-    column: Column
-
-
 def _tags(f) -> Column:
-    return (f.column if isinstance(f, Feature) else f)["tags"]
+    return column(f)["tags"]
 
 
 def _string(f, key):
@@ -245,49 +240,54 @@ def _string(f, key):
 
 
 class Evaluator:
-    """Evaluates expressions in a world. ``functions`` can be extended."""
+    """Evaluates expressions in a world. ``functions`` can be extended.
+
+    ``change`` is what the world was made by, where it is known; ``worlds`` are the named ones.
+    """
 
-    def __init__(self, world: World):
-        self.world = world
-        c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    def __init__(self, world: World, change: Change | None = None, worlds: Worlds | None = None):
+        self.world, self.change, self.worlds = world, change, worlds or Worlds(world)
+        c = column
         kind = lambda x: N.FLOAT if isinstance(x, float) else N.INT
         strict = lambda f, key, type: F.coalesce(Q.first_value(key, _tags(f)), F.raise_error(F.lit("no such tag")).cast("string")).cast(type)
         #: name: (number of arguments, function)
         self.functions: dict[str, tuple[int, Callable]] = {
-            "find": (1, self._find), "find-areas": (1, lambda q: self._find(q, "area")), "find-relations": (1, lambda q: self._find(q, "relation")), "find-feature": (1, self._feature),
-            "map": (2, lambda col, f: col.map(lambda v: self._column(f(self._wrap(v, col))))), "map-parallel": (2, lambda col, f: col.map(lambda v: self._column(f(self._wrap(v, col))))),
-            "map-items": (2, lambda col, f: col.map_items(lambda p: self._column(f(p)))), "filter": (2, lambda col, f: col.filter(lambda v: self._predicate(f, self._wrap(v, col)))),
+            "find": (1, self._find), "find-areas": (1, lambda q: self._find(q, "area")), "find-relations": (1, lambda q: self._find(q, "relation")),
+            "map": (2, self.map), "map-parallel": (2, self.map),
+            "map-items": (2, lambda col, f: col.map_items(lambda p: column(f(p)))), "filter": (2, lambda col, f: col.filter(lambda v: self._predicate(f, wrap(v, col.types["value"])))),
             "take": (2, lambda col, n: col.take(n)), "top": (2, lambda col, n: col.top(n)), "count": (1, lambda col: col.count()), "sum": (1, lambda col: col.sum()), "flatten": (1, lambda col: col.flatten()),
             "count-values": (1, lambda col: col.count_values()), "count-keys": (1, lambda col: col.count_keys()), "count-valid-keys": (1, lambda col: col.count_valid_keys()), "sum-by-key": (1, lambda col: col.sum_by_key()),
-            "percentiles": (1, lambda col: col.percentiles()), "join-missing": (2, lambda a, b: a.join_missing(b)), "histogram": (1, lambda col: H.histogram(col)),
-            "get": (2, lambda f, k: F.coalesce(F.get(F.filter(_tags(f), lambda t: t["key"] == k), F.lit(0)), F.struct(F.lit("").alias("key"), F.lit("").alias("value")))),
-            "get-string": (2, _string), "get-int": (2, lambda f, k: strict(f, k, "bigint")), "get-float": (2, lambda f, k: strict(f, k, "double")), "value": (1, lambda t: t["value"]),
-            "int-value": (1, lambda t: t["value"].cast("bigint")), "float-value": (1, lambda t: t["value"].cast("double")), "matches": (2, lambda f, q: q.column("matches")), "tag": (2, lambda k, v: F.struct(c(k).alias("key"), c(v).alias("value"))),
-            "add": (2, lambda a, b: c(a) + c(b)), "add-ints": (2, lambda a, b: N.add_ints(c(a), c(b))), "divide": (2, lambda a, b: N.divide(c(a), c(b), kind(a), kind(b))), "divide-int": (2, lambda a, b: N.divide_int(c(a), c(b))),
-            "gt": (2, lambda a, b: c(a) > c(b)), "clamp": (3, lambda v, a, b: N.clamp(c(v), c(a), c(b))), "to-str": (1, lambda a: N.to_str(c(a))), "pair": (2, lambda a, b: F.struct(c(a).alias("first"), c(b).alias("second"))),
-            "first": (1, lambda p: p["first"]), "second": (1, lambda p: p["second"]), "collection": (-1, self._collection), "ll": (2, geo.ll), "length": (1, lambda f: geo.length(self._column(f)["points"])),
-            "distance-meters": (2, geo.distance), "call": (-1, lambda f, *a: f(*a)), "evaluate-feature": (1, self.evaluate_feature), "intersecting-cap": (2, lambda p, r: Q.IntersectsCap(p[0], p[1], r)),
-        }
+            "percentiles": (1, lambda col: col.percentiles()), "join-missing": (2, lambda a, b: a.join_missing(b)),
+            "get": (2, on(lambda f, k: F.coalesce(F.get(F.filter(_tags(f), lambda t: t["key"] == k), F.lit(0)), F.struct(F.lit("").alias("key"), F.lit("").alias("value"))))),
+            "get-string": (2, on(_string)), "get-int": (2, on(lambda f, k: strict(f, k, "bigint"))), "get-float": (2, on(lambda f, k: strict(f, k, "double"))), "value": (1, on(lambda t: c(t)["value"])),
+            "int-value": (1, on(lambda t: c(t)["value"].cast("bigint"))), "float-value": (1, on(lambda t: c(t)["value"].cast("double"))), "matches": (2, on(lambda f, q: q.on(c(f)))), "tag": (2, on(lambda k, v: F.struct(c(k).alias("key"), c(v).cast("string").alias("value")))),
+            "add": (2, on(lambda a, b: c(a) + c(b))), "add-ints": (2, on(lambda a, b: N.add_ints(c(a), c(b)))), "divide": (2, on(lambda a, b: N.divide(c(a), c(b), kind(a), kind(b)))), "divide-int": (2, on(lambda a, b: N.divide_int(c(a), c(b)))),
+            "gt": (2, on(lambda a, b: N.gt(c(a), c(b), N.FLOAT, N.FLOAT) if not isinstance(a, (int, float)) or not isinstance(b, (int, float)) else N.gt(c(a), c(b), kind(a), kind(b)))), "clamp": (3, on(lambda v, a, b: N.clamp(c(v), c(a), c(b)))), "to-str": (1, on(lambda a: N.to_str(c(a)))), "pair": (2, on(lambda a, b: F.struct(c(a).alias("first"), c(b).alias("second")))),
+            "first": (1, on(lambda p: c(p)["first"])), "second": (1, on(lambda p: c(p)["second"])), "collection": (-1, self._collection),
+            "call": (-1, lambda f, *a: f(*a)), "evaluate-feature": (1, self.evaluate_feature),
+            **{n: (len(inspect.signature(q).parameters), q) for n, q in _QUERIES.items()},
+        } | functions(self)
 
     def _find(self, query: Q.Query, type: str | None = None) -> Collection:
         hits = self.world.find(query, type, order=False)
         return Collection(hits.select(F.struct("type", "ns", "value").alias("key"), F.struct(*hits.columns).alias("value")))
 
-    def _feature(self, id: ids.FeatureID):
-        return self.world.find_feature(id)
+    def map(self, c: Collection, f) -> Collection:
+        """``f`` over every value; functions that are joins take all values at once."""
+        if isinstance(f, Join):
+            return f.over(c)
+        return c.map(lambda v: column(f(wrap(v, c.types["value"]))))
 
-    def _wrap(self, v: Column, c: Collection):
-        return Feature(v) if "tags:array" in c.types["value"] else v
+    def _predicate(self, f, v) -> Column:
+        # A query looks at the feature itself.
+        return f.on(column(v)) if isinstance(f, Q.Query) else column(f(v))
 
-    def _column(self, x) -> Column:
-        return x.column if isinstance(x, Feature) else x if isinstance(x, Column) else F.lit(x)
+    def within(self, inner: Evaluator, f):
+        """What a function without parameters gives in another world: its expression is evaluated there."""
+        return inner.evaluate(f.body, f.names) if isinstance(f, Delayed) else f
 
-    def _predicate(self, f, v) -> Column:
-        if isinstance(f, Q.Query):
-            # A query reads the feature's own columns.
-            tags = v.column["tags"]
-            return _over(f, tags, v.column)
-        return self._column(f(v))
+    def text_of(self, f) -> str:
+        return unparse(f.body) if isinstance(f, Delayed) else ""
 
     def _collection(self, *pairs):
         raise TypeError("collections of literals are built where their values are known")
@@ -313,10 +313,16 @@ class Evaluator:
             return lambda *args: self.evaluate(e.body, names | dict(zip(e.params, args)))
         if isinstance(e.function, Symbol) and e.function.name == "collection":
             pairs = [tuple(self.evaluate(x, names) for x in a.args) for a in e.args]
+            if any(isinstance(p[1], Change) for p in pairs):
+                return pairs
+            if any(isinstance(v, (Column, ids.FeatureID)) for p in pairs for v in p):
+                return Collection(reduce(DataFrame.unionByName, [self.world.spark.range(1).select(F.lit(i).cast("bigint").alias("ord"), column(k).alias("key"), column(v).alias("value")) for i, (k, v) in enumerate(pairs)]))
             kind = lambda vs: "bigint" if all(isinstance(v, int) for v in vs) else "double" if all(isinstance(v, (int, float)) for v in vs) else "string"
             keys, values = [p[0] for p in pairs], [p[1] for p in pairs]
             return Collection.of(self.world.spark, [(k, float(v) if kind(values) == "double" else v) for k, v in pairs], f"key {kind(keys)}, value {kind(values)}")
-        args = [self.evaluate(a, names) for a in e.args]
+        delayed = _DELAYED.get(e.function.name) if isinstance(e.function, Symbol) else None
+        # Some arguments are expressions that are evaluated later, perhaps in another world.
+        args = [Delayed(self, a, names) if i == delayed else self.evaluate(a, names) for i, a in enumerate(e.args)]
         if isinstance(e.function, Symbol) and e.function.name in self.functions and e.function.name not in names:
             return self._partial(e.function.name, tuple(args))
         return self.evaluate(e.function, names)(*args)
@@ -327,20 +333,32 @@ class Evaluator:
             return f(*bound)
         if len(bound) > n >= 0:
             raise TypeError(f"{name} takes {n} arguments")
+        if len(bound) == n - 1 and hasattr(f, "join"):
+            return Joining(self, name, bound, f.join)
         return lambda *more: self._partial(name, (*more, *bound))
 
 
-def _over(q: Q.Query, tags: Column, feature: Column) -> Column:
-    """A query as a predicate on a feature that is a struct."""
-    if isinstance(q, Q.Tagged):
-        return F.coalesce(Q.first_value(q.key, tags) == q.value, F.lit(False))
-    if isinstance(q, Q.Keyed):
-        return F.exists(tags, lambda t: t["key"] == q.key)
-    if isinstance(q, Q.Typed):
-        return feature["type"] == q.type
-    if isinstance(q, (Q.And, Q.Or)):
-        out = _over(q.queries[0], tags, feature)
-        for x in q.queries[1:]:
-            out = out & _over(x, tags, feature) if isinstance(q, Q.And) else out | _over(x, tags, feature)
-        return out
-    return q.column("matches")
+class Joining(Join):
+    """A function that is a join, with all arguments but its feature."""
+
+    def __init__(self, ev: Evaluator, name: str, bound: tuple, f: Callable):
+        super().__init__(f, bound)
+        self.ev, self.name = ev, name
+
+    def __call__(self, feature):
+        return self.ev._partial(self.name, (feature, *self.args))
+
+
+class Delayed:
+    """An expression with the names it was written among."""
+
+    def __init__(self, ev: Evaluator, body, names: dict):
+        self.ev, self.body, self.names = ev, body, names
+
+    def __call__(self, *args):
+        got = self.ev.evaluate(self.body, self.names)
+        return got(*args) if args or callable(got) and not isinstance(got, Join) else got
+
+
+#: Which argument of a function is an expression to be evaluated later.
+_DELAYED = {"with-change": 1, "materialise": 1, "add-expression": 2}

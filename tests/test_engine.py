@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terrane import ids, query as Q, shell, world as W
@@ -585,6 +586,58 @@ def test_language(mini, rows):
         ev("nothing 1")
 
 
+#: Every function of the language, by an expression that uses it and what it gives.
+EVERY = [
+    ("{0: 5} | map {x -> add x 1}", [(0, 6)]), ("{0: 5} | map-parallel {x -> add-ints x 1}", [(0, 6)]), ("{1: 2} | map-items {p -> pair (second p) (first p)}", [(2, 1)]), ("{7: 1} | filter {x -> gt x 3}", []),
+    ("find [#highway=primary] | map all-tags | flatten | count", [(2,)]), ("{3, 1} | take 1", [(0, 3)]), ("{3, 9} | top 1", [(1, 9)]), ('{"a", "a"} | count-values', [("a", 2)]), ("{1: 2} | count-keys", [(1, 1)]), ("{1: /n/5} | count-valid-keys", [(1, 1)]),
+    ("{1: 2} | sum-by-key", [(1, 2)]), ("{4, 5} | sum", [(9,)]), ("{4, 5} | count", [(2,)]), ("{0: /n/5} | count-valid-ids", [(1,)]), ("{4, 5} | percentiles | count", [(2,)]), ("join-missing {1: 2} {1: 3, 2: 4}", [(1, 2), (2, 4)]), ("{1, 1} | histogram", "change"),
+    ("{1, 1} | histogram-swatch", "change"), ("histogram-with-id {1, 1} /collection/h/1", "change"), ("histogram-swatch-with-id {1, 1} /collection/h/1", "change"),
+    ("with-change (add-collection /collection/c/1 {} {1: 2}) {-> list-feature /collection/c/1}", [("1", "2")]), ("find-feature /path/mini/way/1 | length", 444.8), ("find-area /area/mini/way/9 | area", None), ('find-relation /relation/mini/rel/9223372036854775813 | get-string "#route"', [("bus",)]),
+    ("with-change (add-collection /collection/c/1 {} {1: 2}) {-> find-collection /collection/c/1 | to-str}", None), ("find [#building] | count", [(1,)]), ("find-areas [#building] | count", [(1,)]), ("find-relations [#route] | count", [(1,)]), ("containing-areas (find (type-point)) [#building] | count", [(1,)]),
+    ("find (and (keyed \"#highway\") (intersecting (ll 0.0 0.001))) | count", [(1,)]), ("find (intersecting-cap (ll 0.0 0.0) 10.0) | count", None), ("find (within (cap-polygon (ll 0.0 0.001) 20.0)) | count", None), ("find (within-cap (ll 0.0 0.0) 10.0) | count", None),
+    ('find (tagged "#highway" "primary") | count', [(1,)]), ('find (typed "path" (or (keyed "#highway") (keyed "#building"))) | count', [(3,)]), ("find (and (all) (type-path)) | count", [(3,)]), ("find (type-area) | count", [(1,)]), ("find (is-valid) | count", [(0,)]), ("find [#highway] | filter (matches [#highway=footway]) | count", [(1,)]),
+    ('find [#highway=primary] | map {f -> matches f [#highway="primary"]} | count-values', [(True, 1)]), ("find [#highway] | filter (intersecting-cap (ll 0.0 0.0) 10.0) | count", [(1,)]), ('{0: 1} | map {x -> value (tag "k" "v")}', [(0, "v")]), ('{0: 1} | map {x -> int-value (tag "k" "7")}', [(0, 7)]), ('{0: 1} | map {x -> float-value (tag "k" "7.5")}', [(0, 7.5)]),
+    ('find-feature /path/mini/way/2 | get "network:weight" | value', [("2",)]), ('find-feature /path/mini/way/2 | get-int "network:weight"', [(2,)]), ('find-feature /path/mini/way/2 | get-float "network:weight"', [(2.0,)]), ('find [#highway=primary] | map {f -> count-tag-value f "oneway"} | flatten', [("yes", 1)]), ("find-feature /point/mini/node/2 | degree", None),
+    ("find [#highway=primary] | map points | flatten | count", [(2,)]), ("find-feature /path/mini/way/1 | point-features | count", [(5,)]), ("find-feature /point/mini/node/2 | point-paths | count", [(2,)]), ("find [#highway=primary] | map (sample-points 1000.0) | flatten | count", [(2,)]), ("find [#highway] | sample-points-along-paths 1000.0 | count", None),
+    ("find [#highway=primary] | map {f -> length (join f f)} | count", [(1,)]), ("find [#highway=primary] | map {f -> length (ordered-join f f)} | count", [(1,)]), ('with-change (add-expression /expression/e/1 {} (find [#highway])) {-> evaluate-feature /expression/e/1 | count}', [(3,)]), ("call {x -> add x 1} 2", None), ("get-centroid /path/mini/way/1 | distance-meters (ll 0.0 0.002)", 0.0),
+    ("find [#building] | map (s2-points 10 14) | flatten | count", None), ("find [#building] | map (s2-covering 10 14) | flatten | count", None), ("find [#building] | map (s2-grid 14) | flatten | count", None), ('{0: "487604c5"} | map {t -> distance-meters (s2-center t) (s2-center t)}', [(0, 0.0)]), ('{0: "487604c5"} | map {t -> distance-meters (centroid (s2-polygon t)) (s2-center t)} | count', [(1,)]),
+    ("{0: 7} | map {x -> divide x 2}", [(0, 3)]), ("{0: 7} | map {x -> divide-int x 2.0}", [(0, 3.5)]), ("{0: 7} | map to-str", [(0, "7")]), ("{0: 7} | map {x -> clamp x 1 5}", [(0, 5)]), ("{0: 7} | map {x -> first (pair x 1)}", [(0, 7)]), ("collection (pair 1 2)", None),
+    ('find-feature /point/mini/node/0 | reachable {"mode": "highway"} 300.0 (type-point) | count', None), ('find-feature /point/mini/node/0 | reachable-area {"mode": "highway"} 300.0', None), ('accessible-all (find (type-point)) [#building] 300.0 {"mode": "highway"} | count', None), ('find-feature /point/mini/node/0 | accessible-routes (type-point) 600.0 {"mode": "highway"} | count', None),
+    ('filter-accessible (accessible-all (find (type-point)) (type-point) 300.0 {"mode": "highway"}) [#building] | count', None), ('find-feature /point/mini/node/0 | closest {"mode": "highway"} 300.0 (type-point) | count', None), ('find-feature /point/mini/node/0 | closest-distance {"mode": "highway"} 300.0 (type-point)', None), ('find-feature /point/mini/node/0 | paths-to-reach {"mode": "highway"} 600.0 (type-point) | count', None),
+    ("connect (find-feature /point/mini/node/0) (find-feature /point/mini/node/11)", "change"), ("connect-to-network (find-feature /point/mini/node/0)", "change"), ("connect-to-network-all {0: /point/mini/node/0}", "change"), ('building-access {0: /point/mini/node/0} 600.0 "highway" | count', None),
+    ("find [#building] | collect-areas | area", None), ("find-feature /path/mini/way/1 | distance-to-point-meters (ll 0.0 0.001)", 111.2), ("find-feature /path/mini/way/1 | interpolate 0.5 | distance-meters (ll 0.0 0.0)", 222.4), ("{0: 1} | map {x -> area (rectangle-polygon (ll 0.0 0.0) (ll 0.001 0.001))} | count", [(1,)]), ("find [#highway] | convex-hull | area", None),
+    ("find-feature /point/mini/node/3 | sightline 50.0 | count", [(1,)]), ("find-feature /area/mini/way/9 | entrance-approach | count", None), ("find-feature /area/mini/way/9 | snap-area-edges [#highway] 50.0 | count", [(1,)]), ("find [#building] | map tile-ids | count", [(1,)]), ("find-feature /area/mini/way/9 | tile-ids-hex | count", [(1,)]), ("find [#highway=primary] | map (tile-paths 10) | count", [(2,)]),
+    ('parse-geojson "{\\"type\\":\\"Point\\",\\"coordinates\\":[1.5,2.5]}" | to-str', None), ("find [#building] | map to-geojson | count", [(1,)]), ("find [#highway] | to-geojson-collection", None), ('import-geojson (parse-geojson "{\\"type\\":\\"Point\\",\\"coordinates\\":[1.5,2.5]}") "ns"', "change"), ('geojson-areas (parse-geojson "{}") | count', [(0,)]),
+    ('map-geometries (parse-geojson "{\\"type\\":\\"Point\\",\\"coordinates\\":[1.5,2.5]}") (apply-to-point {p -> cap-polygon p 10.0}) | geojson-areas | count', [(1,)]), ('map-geometries (parse-geojson "{\\"type\\":\\"Point\\",\\"coordinates\\":[1.5,2.5]}") (apply-to-path centroid) | geojson-areas | count', [(0,)]), ('map-geometries (parse-geojson "{\\"type\\":\\"Point\\",\\"coordinates\\":[1.5,2.5]}") (apply-to-area centroid) | geojson-areas | count', [(0,)]),
+    ('id-to-relation-id "ns" (find-feature /point/mini/node/0)', None), ('with-change (add-tag /point/mini/node/0 (tag "#x" "y")) {-> find [#x] | count}', [(1,)]), ('with-change (add-tags {/point/mini/node/0: tag "#x" "y"}) {-> find [#x=y] | count}', [(1,)]), ('with-change (remove-tag /path/mini/way/1 "#highway") {-> find [#highway] | count}', [(2,)]), ('with-change (remove-tags {/path/mini/way/1: "#highway"}) {-> find [#highway] | count}', [(2,)]),
+    ('with-change (add-point (ll 1.0 2.0) /point/new/1 {tag "#x" "y"}) {-> find [#x] | count}', [(1,)]), ('with-change (add-relation /relation/new/1 {tag "#x" "y"} {/point/mini/node/0: "stop"}) {-> find [#x] | count}', [(1,)]), ('merge-changes {add-tag /point/mini/node/0 (tag "#x" "y"), add-tag /point/mini/node/1 (tag "#x" "z")}', "change"), ('add-world-with-change /collection/worlds/1 (add-tag /point/mini/node/0 (tag "#x" "y")) | count', [(1,)]),
+    ("materialise /collection/m/1 (find [#highway] | map {f -> get-string f \"#highway\"})", "change"), ("materialise-map (find [#highway]) /collection/m/2 {f -> get-string f \"#highway\"}", "change"), ("find [#highway=primary] | map debug-tokens | flatten | count", [(2,)]), ('debug-all-query "highway=primary" | count', [(1,)]), ("{0: 1} | map {x -> distance-meters (ll 0.0 0.0) (ll 0.0 0.0)}", [(0, 0.0)]),
+]
+
+
+def test_every_function_of_the_language(mini, rows, tmp_path):
+    ev = shell.Evaluator(mini)
+    doc = tmp_path / "doc.json"
+    doc.write_text('{"type":"Point","coordinates":[1.5,2.5]}')
+    more = [(f'parse-geojson-file "{doc}" | to-str', None), (f'import-geojson-file "{doc}" "ns"', "change"), (f'with-change (add-tag /point/mini/node/0 (tag "#x" "y")) {{-> changes-to-file "{tmp_path}/c"}}', None), (f'with-change (changes-from-file "{tmp_path}/c") {{-> find [#x] | count}}', [(1,)]), (f'export-world "{tmp_path}/w"', None)]
+    used = set()
+    for text, want in EVERY + more:
+        used |= {t for k, t in shell.lex(text) if k == "symbol"}
+        got = ev(text)
+        if want == "change":
+            assert isinstance(got, W.Change) and (got.added is None or got.added.count() >= 0), text
+        elif isinstance(want, float):
+            assert got.df.first()[0] == pytest.approx(want, abs=0.1), text
+        elif want is not None:
+            df = got.df if hasattr(got, "df") else got
+            have = rows(df.select(*[c for c in ("key", "value") if c in df.columns]))
+            assert have == want, text
+        elif hasattr(got, "df") and not isinstance(got, Column):
+            got.df.collect()
+    assert set(ev.functions) - used == set()
+    assert len(ev.functions) == 140
+
+
 def test_stream_keeps_what_a_batch_gives(spark, tmp_path, rows):
     from terrane.operators.orphans import first_deliveries, advance, orphan_keys
 
