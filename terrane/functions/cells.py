@@ -160,14 +160,14 @@ def covering_tokens(polygons, low: int, high: int, most: int | None = 8):
     """Tokens of a covering, as an array column."""
     from terrane.functions import geo
 
-    return geo._pandas("array<string>")(lambda polygons: [token(c) for c in covering(geo._polygons(polygons), low, high, most)])(polygons)
+    return geo._pandas("array<string>")(lambda polygons: [token(c) for c in covering(geo._polygons(polygons), low, high, most)])(geo.flat(polygons))
 
 
 def grid_tokens(polygons, level: int):
     """Tokens of all cells of one level that meet an area, in order."""
     from terrane.functions import geo
 
-    return geo._pandas("array<string>")(lambda polygons: sorted(token(c) for c in _grid(geo._polygons(polygons), level)))(polygons)
+    return geo._pandas("array<string>")(lambda polygons: sorted(token(c) for c in _grid(geo._polygons(polygons), level)))(geo.flat(polygons))
 
 
 def _grid(polygons, level: int) -> list[int]:

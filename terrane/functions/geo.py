@@ -116,8 +116,32 @@ def _loop(x) -> np.ndarray:
     return S.oriented(S.unit(pts)) if len(pts) > 2 else S.unit(pts)
 
 
+def flat(polygons: Column) -> Column:
+    """Polygons for numpy: all points, the sizes of loops, and the number of loops of each polygon.
+
+    Nested arrays that are all empty are not sent as they are: of those the inner
+    ones come without the offsets that readers expect.
+    """
+    loops = F.flatten(polygons)
+    return F.struct(F.flatten(loops).alias("p"), F.transform(loops, F.size).alias("s"), F.transform(polygons, F.size).alias("n"))
+
+
+def nested(x) -> list[list[list]]:
+    """Loops of points by polygon, from ``flat``."""
+    points, sizes, out = list(x["p"]), list(x["s"]), []
+    at = k = 0
+    for n in x["n"]:
+        loops = []
+        for size in sizes[k : k + n]:
+            loops.append(points[at : at + size])
+            at += size
+        k += n
+        out.append(loops)
+    return out
+
+
 def _polygons(x) -> list[list[np.ndarray]]:
-    return [[_loop(y) for y in p] for p in x]
+    return [[_loop(y) for y in p] for p in nested(x)]
 
 
 def _out(v) -> list[dict]:
@@ -128,6 +152,10 @@ def _one(v) -> dict:
     return _out(v)[0]
 
 
+def _none(a) -> bool:
+    return a is None or isinstance(a, float) and math.isnan(a) or isinstance(a, dict) and a.get("p", a) is None
+
+
 def _typed(run, f, out):
     """Spark wants the arguments in the signature."""
     n = len(inspect.signature(f).parameters)
@@ -145,7 +173,7 @@ def _pandas(type: str):
         def run(*series: pd.Series):
             rows = []
             for args in zip(*[s.to_dict("records") if isinstance(s, pd.DataFrame) else s for s in series]):
-                rows.append(None if any(a is None or isinstance(a, float) and math.isnan(a) for a in args) else f(*args))
+                rows.append(None if any(_none(a) for a in args) else f(*args))
             if type.startswith("struct"):
                 return pd.DataFrame([r if r is not None else {"lat": None, "lng": None} for r in rows], columns=["lat", "lng"], dtype=float)
             return pd.Series(rows, dtype="float64" if type == "double" else object)
@@ -156,8 +184,7 @@ def _pandas(type: str):
 
 
 @_pandas("double")
-def area(polygons):
-    """Square metres of the polygons whose loops have three corners or more; holes count off."""
+def _area(polygons):
     total = 0.0
     for p in _polygons(polygons):
         if p and all(len(x) > 2 for x in p):
@@ -181,12 +208,21 @@ def path_centroid(path):
     return _one(S.centroid(_path(path), False)) if len(path) else None
 
 
+def area(polygons: Column) -> Column:
+    """Square metres of the polygons whose loops have three corners or more; holes count off."""
+    return _area(flat(polygons))
+
+
 @_pandas(POINT)
-def area_centroid(polygons):
-    v = [p for poly in polygons for loop in poly for p in loop]
+def _area_centroid(polygons):
+    v = list(polygons["p"])
     return _one(S.centroid(_path(v), True)) if v else None
 
 
+def area_centroid(polygons: Column) -> Column:
+    return _area_centroid(flat(polygons))
+
+
 @_pandas(PATH)
 def sample(path, meters):
     """Points every ``meters`` along a path, with both ends; repeats go."""
@@ -216,16 +252,24 @@ def hull_of(points):
 
 
 @_pandas("boolean")
-def contains(polygons, point):
+def _contains(polygons, point):
     p = _path([point])[0]
     return any(S.in_polygon(p, x) for x in _polygons(polygons))
 
 
-@_pandas("boolean")
-def cap_touches(type, points, polygons, lat, lng, radius):
+def contains(polygons: Column, point: Column) -> Column:
+    return _contains(flat(polygons), point)
+
+
+def cap_touches(type: Column, points: Column, polygons: Column, lat: Column, lng: Column, radius: Column) -> Column:
     """A path's nearest point within reach; an area with an edge within reach, or around the centre (its convex loops, even-odd)."""
+    return _cap_touches(type, points, flat(polygons), lat, lng, radius)
+
+
+@_pandas("boolean")
+def _cap_touches(type, points, polygons, lat, lng, radius):
     c, r = S.unit([(lat, lng)])[0], radius / R
-    if polygons is not None and len(polygons):
+    if len(polygons["n"]):
         for poly in _polygons(polygons):
             odd = 0
             for loop in poly:
@@ -256,7 +300,7 @@ def meets(type: Column, points: Column, polygons: Column, kind: str, coordinates
         target = S.unit([coordinates] if kind == "point" and not isinstance(coordinates[0], (tuple, list)) else coordinates)
 
     def test(type, points, polygons):
-        own = _polygons(polygons) if polygons is not None and len(polygons) else None
+        own = _polygons(polygons) if len(polygons["n"]) else None
         v = _path(points) if own is None and points is not None and len(points) else None
         if own is None and v is None:
             return False
@@ -279,4 +323,4 @@ def meets(type: Column, points: Column, polygons: Column, kind: str, coordinates
             return S.in_polygon(v[0], target[0])
         return any(S.in_polygon(p, x) for p in v for x in target)
 
-    return _pandas("boolean")(test)(type, F.coalesce(points, F.array().cast(PATH)), F.coalesce(polygons, F.array().cast(AREA)))
+    return _pandas("boolean")(test)(type, F.coalesce(points, F.array().cast(PATH)), flat(F.coalesce(polygons, F.array().cast(AREA))))

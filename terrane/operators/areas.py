@@ -105,12 +105,14 @@ def sightlines(origins: DataFrame, buildings: DataFrame, radius: float) -> DataF
     loops = cut(loops)
     spread = cover_box(loops, grid, radius, F.col("loop"))
     met = o.join(spread, ["row", "col"], "left").select("id", "at", "loop").distinct().groupBy("id", "at").agg(F.collect_list("loop").alias("loops"))
+    # One polygon of all loops.
+    met = met.select("id", "at", geo.flat(F.array("loops")).alias("loops"))
 
     def run(it):
         for pdf in it:
             rows = []
             for id, at, ls in zip(pdf["id"], pdf["at"], pdf["loops"]):
-                seen = _view((at["lat"], at["lng"]), radius, [[(p["lat"], p["lng"]) for p in x] for x in ls])
+                seen = _view((at["lat"], at["lng"]), radius, [[(p["lat"], p["lng"]) for p in x] for x in geo.nested(ls)[0]])
                 rows.append((id, [[[{"lat": a, "lng": b} for a, b in seen]]]))
             yield pd.DataFrame(rows, columns=["id", "polygons"])
 
