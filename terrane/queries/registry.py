@@ -512,6 +512,14 @@ def add_tags(s, d):
     return w.with_change(W.add_tags(to)).features.select(F.col("value").alias("id"), Q.first_value("#picked").alias("value"), F.size("tags").alias("n")).select("id", "value", "n")
 
 
+@q("SELECT CAST(c_custkey AS BIGINT) AS value FROM customer")
+def search_modified(s, d):
+    """A search after every hit has been tagged in an overlay."""
+    w = D.world(s, d, "customer")
+    hits = w.find(Q.Keyed("#segment"), order=False).select("type", "ns", "value", F.lit("#picked").alias("k"), F.lit("yes").alias("v"))
+    return w.with_change(W.add_tags(hits)).find(Q.Keyed("#segment") & Q.Tagged("#picked", "yes"), order=False).select("value")
+
+
 @q("SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey <> 3 THEN n_name END AS value FROM nation")
 def remove_tag(s, d):
     w = W.World(_nation_tags(s, d)).with_change(W.remove_tag(s, ids.FeatureID("area", "tables/nation", 3), "name"))
@@ -612,7 +620,21 @@ def export_world(s, d):
     return W.read_world(s, path).features.agg(F.lit(n).cast("bigint").alias("n"), F.count("*").alias("back"))
 
 
-@q()
+#: The two hashes over a list of bytes ``b``; a feature's bytes are its type's number, its namespace and its value, the lowest byte first.
+_SIGNED = "CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT)"
+_FNV1A = "list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: xor(h, x) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)"
+_FNV1 = "list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: xor(h * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT, x))"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda c: ord(c)::HUGEINT)"
+
+
+def _le(value: str) -> str:
+    return f"list_transform(range(0, 8), lambda i: (({value} >> (8 * i)) & 255)::HUGEINT)"
+
+
+@q(f"WITH t AS (SELECT {_bytes("'/point/tables/customer/' || c_custkey")} AS b FROM customer), x AS (SELECT {_FNV1A} AS h FROM t) SELECT 'relation' AS type, 'tables/made' AS ns, {_SIGNED} AS value FROM x")
 def id_to_relation_id(s, d):
     from terrane.functions.tiles import fnv1a_text
 

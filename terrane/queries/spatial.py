@@ -13,6 +13,7 @@ from terrane.operators import areas as A, connect as Cn, graph as G, render as R
 from terrane.operators.collections import Collection
 from terrane.operators.histogram import assign
 from terrane.plans.lineage import cut, fresh
+from terrane.queries import registry as R
 from terrane.sources import derived as D, ingest
 from terrane.sources.tables import table
 
@@ -246,12 +247,23 @@ def tile_paths(s, d):
     return T.tile_paths(_points(s, d), F.col("points"), 16, ["value"]).select(F.col("value").alias("id"), "tile")
 
 
-@q()
+def _tile_sql(hash: str, rows: str, out: str) -> str:
+    return f"WITH t AS ({rows}), x AS (SELECT type, ns, value, {hash} AS h FROM t) SELECT type, ns, value, {out} AS tile_id FROM x"
+
+
+def _area_rows() -> str:
+    at = "[2::HUGEINT] || " + R._bytes("'tables/{ns}'") + " || " + R._le("CAST({k} AS BIGINT)") + " || " + R._le("CAST({p} AS BIGINT)")
+    one = "SELECT 'area' AS type, 'tables/{ns}' AS ns, CAST({k} AS BIGINT) AS value, " + at + " AS b FROM {rest}"
+    nations = one.format(ns="nation", k="n_nationkey", p="0", rest="nation")
+    return nations + " UNION ALL " + one.format(ns="region", k="n_regionkey", p="p", rest="(SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey) - 1 AS p FROM nation)")
+
+
+@q(_tile_sql(R._FNV1, _area_rows(), R._SIGNED))
 def tile_ids(s, d):
     return T.tile_ids(D.areas(s, d))
 
 
-@q()
+@q(_tile_sql(R._FNV1, f"SELECT 'point' AS type, 'tables/customer' AS ns, CAST(c_custkey AS BIGINT) AS value, [0::HUGEINT] || {R._bytes("'tables/customer'")} || {R._le('CAST(c_custkey AS BIGINT)')} AS b FROM customer", "printf('%x', h::UBIGINT)"))
 def tile_ids_hex(s, d):
     return T.tile_ids_hex(D.customers(s, d))
 

@@ -222,6 +222,24 @@ def intersecting(kind: str, coordinates) -> Query:
     return IntersectsGeometry(kind, coordinates) if coordinates else Empty()
 
 
+def intersects_feature(feature) -> Query:
+    """Features that meet the geometry of one feature (a DataFrame of a row, of which geometry and kind are read); one without geometry meets nothing."""
+    r = feature.select("type", "points", "polygons").first()
+    if r is None or not (r[1] or r[2]):
+        return Empty()
+    if r[2]:
+        return intersecting("area", tuple(tuple(tuple(tuple(p) for p in loop) for loop in poly) for poly in r[2]))
+    return intersecting("point", tuple(r[1][0])) if r[0] == "point" else intersecting("path", tuple(tuple(p) for p in r[1]))
+
+
+def intersects_cells(tokens) -> Query:
+    """Features that meet any of the cells with these tokens."""
+    from terrane.functions import cells, sphere as S
+
+    loops = [tuple((float(a), float(b)) for a, b in S.latlng(cells.corners(cells.from_token(t)))) for t in tokens]
+    return intersecting("area", tuple((x,) for x in loops))
+
+
 def from_dict(d: dict) -> Query:
     (name, v), = d.items()
     if name == "tagged":

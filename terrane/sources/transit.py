@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane import ids
+from terrane.functions import geo
+from terrane.functions.text import latitude, longitude
+from terrane.ids import ID
+from terrane.world import World
+
 
 def read(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """A table of text columns by header, missing ones null."""
@@ -38,3 +44,30 @@ def connections(hopped: DataFrame) -> DataFrame:
     """Mean seconds of hops between two stops in and off peak, in whole minutes rounded up; null where there are none."""
     mean = lambda c: F.ceil(F.avg(F.when(c, F.col("seconds"))) / 60) * 60
     return hopped.groupBy("from_stop", "to_stop").agg(mean(F.col("peak")).alias("peak"), mean(~F.col("peak")).alias("off_peak"))
+
+
+def world(stops: DataFrame, stop_times: DataFrame, operator: str = "") -> World:
+    """Stops as points and connections as paths between them, tagged with their seconds in and off peak.
+
+    Stops without a readable place, and connections of such stops, are left out; of
+    a stop given twice the smallest place counts. Values are hashes of stop ids.
+    """
+    ns = ids.GTFS + operator
+    at = geo.ll(latitude(F.col("stop_lat")), longitude(F.col("stop_lon")))
+    one = stops.select("stop_id", at.alias("at")).where("stop_id IS NOT NULL AND at.lat IS NOT NULL AND at.lng IS NOT NULL").groupBy("stop_id").agg(F.min("at").alias("at"))
+    one = one.withColumn("value", F.xxhash64("stop_id"))
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    id = lambda v: F.struct(F.lit("point").alias("type"), F.lit(ns).alias("ns"), F.col(v).alias("value"))
+
+    def rows(df, type, value, tags, points, refs):
+        return df.select(
+            F.lit(type).alias("type"), F.lit(ns).alias("ns"), value.alias("value"), tags.cast("array<struct<key:string,value:string>>").alias("tags"), points.cast(geo.PATH).alias("points"),
+            F.lit(None).cast(geo.AREA).alias("polygons"), refs.cast(f"array<{ID}>").alias("refs"), F.array().cast(f"array<struct<id:{ID},role:string>>").alias("members"),
+        )
+
+    points = rows(one, "point", F.col("value"), F.array(tag("#gtfs", F.lit("stop")), tag("gtfs:stop_id", F.col("stop_id"))), F.array("at"), F.array())
+    end = lambda x: one.select(F.col("stop_id").alias(f"{x}_stop"), F.col("at").alias(f"{x}_at"), F.col("value").alias(f"{x}_value"))
+    met = connections(hops(stop_times)).join(end("from"), "from_stop").join(end("to"), "to_stop")
+    timed = F.array_compact(F.array(tag("#gtfs", F.lit("connection")), F.when(F.col("peak").isNotNull(), tag("gtfs:peak", F.col("peak").cast("int"))), F.when(F.col("off_peak").isNotNull(), tag("gtfs:off-peak", F.col("off_peak").cast("int")))))
+    paths = rows(met, "path", F.xxhash64("from_stop", "to_stop"), timed, F.array("from_at", "to_at"), F.array(id("from_value"), id("to_value")))
+    return World(points.unionByName(paths))

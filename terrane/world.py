@@ -53,6 +53,17 @@ class World:
 
     # Lookup
 
+    @classmethod
+    def merged(cls, *worlds: World) -> World:
+        """All features of several worlds, each id once: that of the first world that has it, with its items."""
+        union = lambda dfs: reduce(DataFrame.unionByName, [df.withColumn("_w", F.lit(i)) for i, df in dfs])
+        every = union([(i, w.features) for i, w in enumerate(worlds)])
+        first = Window.partitionBy(*KEY)
+        features = every.withColumn("_r", F.row_number().over(first.orderBy("_w"))).where("_r = 1").drop("_w", "_r")
+        with_items = [(i, w.items) for i, w in enumerate(worlds) if w.items is not None]
+        items = union(with_items).withColumn("_m", F.min("_w").over(first)).where("_w = _m").drop("_w", "_m") if with_items else None
+        return cls(features, items)
+
     def _at(self, df: DataFrame, id: FeatureID) -> DataFrame:
         return df.where((F.col("type") == id.type) & (F.col("ns") == id.ns) & (F.col("value") == ids.signed(id.value)))
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrane import ids, query as Q, shell, world as W
-from terrane.functions import cells, geo, geojson as J, numbers as N, sphere as S, tiles
+from terrane import ids, query as Q, shell, validate, world as W
+from terrane.functions import cells, geo, geojson as J, numbers as N, sphere as S, tiles, wkt
 from terrane.ids import FeatureID
 from terrane.operators import areas as A, connect as Cn, graph as G, histogram as H, render
 from terrane.operators.collections import Collection
@@ -332,6 +332,53 @@ def test_connecting_two_points(mini):
     assert (r.type, r.value, [x.value for x in r.refs]) == ("path", 1, [0, 11])
 
 
+def test_faults_of_features(spark, mini):
+    at = [(0.0, 0.0), (0.0, 0.001), (0.001, 0.001)]
+    path = lambda v, pts, refs=(): {"type": "path", "ns": "n", "value": v, "points": pts, "refs": list(refs)}
+    area = lambda v, p: {"type": "area", "ns": "n", "value": v, "polygons": [], "refs": [("path", "n", p)]}
+    rows = [path(1, [at[0]]), path(2, at), path(3, [*at, at[0]]), path(4, [*at[::-1], at[2]]), path(5, None, [P(0), P(99)]), path(6, [at[0], at[1], at[0]]), area(1, 3), area(2, 2), area(3, 77), {"type": "point", "ns": "", "value": 1}, {"type": "relation", "ns": "n", "value": 1}]
+    got = sorted((r.type, r.value, r.fault) for r in validate.faults(mini, W.feature_rows(spark, rows)).collect())
+    assert got == sorted([("path", 1, "few points"), ("path", 4, "clockwise"), ("path", 5, "missing point"), ("path", 6, "few corners"), ("area", 2, "open path"), ("area", 3, "missing path"), ("point", 1, "id")])
+    good = validate.checked(mini, W.Change(added=W.feature_rows(spark, [rows[3]])))
+    assert [tuple(p) for p in good.added.first().points] == [at[2], at[0], at[1], at[2]]
+    for bad, invert in (([rows[3]], False), ([rows[0]], True)):
+        with pytest.raises(ValueError):
+            validate.checked(mini, W.Change(added=W.feature_rows(spark, bad)), invert)
+
+
+def test_merged_worlds(spark, rows):
+    one = W.World(W.feature_rows(spark, [_pt(1, 0.0, 0.0, ("k", "a")), _pt(2, 0.0, 0.0)]))
+    two = W.World(W.feature_rows(spark, [_pt(1, 1.0, 1.0, ("k", "b")), _pt(3, 0.0, 0.0)]))
+    got = W.World.merged(one, two)
+    assert rows(got.features.select("value", Q.first_value("k"))) == [(1, "a"), (2, None), (3, None)] and got.items is None
+
+
+def test_well_known_text(spark):
+    texts = ["POINT (1.5 -2)", " linestring(0 0, 1 1.5e0 7)", "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", "CIRCLE (1 2)", "", None]
+    g = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", wkt.parse(F.col("t")).alias("g")).select("i", "g.*")
+    got = {r.i: r for r in g.withColumn("back", wkt.to_wkt(F.col("kind"), F.col("points"), F.col("polygons"))).collect()}
+    assert tuple(got[0].points[0]) == (-2.0, 1.5) and [tuple(p) for p in got[1].points] == [(0.0, 0.0), (1.5, 1.0)]
+    assert [len(x) for x in got[2].polygons[0]] == [3, 3] and len(got[3].polygons) == 2 and {got[i].kind for i in (4, 5, 6)} == {"invalid"}
+    assert got[0].back == "POINT (1.5 -2.0)" and got[2].back == "POLYGON ((0.0 0.0, 4.0 0.0, 4.0 4.0, 0.0 0.0), (1.0 1.0, 2.0 1.0, 2.0 2.0, 1.0 1.0))" and got[4].back is None
+
+
+def test_timetable_as_a_world(spark):
+    stops = spark.createDataFrame([("a", "0.0", "0.0"), ("b", "0.0", " 0.01"), ("c", "x", "0"), ("a", "0.0", "0.0")], "stop_id string, stop_lat string, stop_lon string")
+    times = spark.createDataFrame([("t", "a", "1", "09:00:00", "09:00:00"), ("t", "b", "2", "09:02:30", "09:02:30"), ("t", "c", "3", "09:05:00", "09:05:00")], "trip_id string, stop_id string, stop_sequence string, arrival_time string, departure_time string")
+    w = transit.world(stops, times)
+    (p,) = w.features.where("type = 'path'").collect()
+    assert [tuple(t) for t in p.tags] == [("#gtfs", "connection"), ("gtfs:peak", "180")] and len(w.features.where("type = 'point'").collect()) == 2
+    reached = G.reach(G.starts(w, w.features.where("type = 'point'"), g := G.edges(G.segments(w), {"mode": "transit", "peak": "yes", "connection": "#gtfs=connection"})), g, 500.0)
+    assert {r.distance for r in reached.collect()} == {0.0, 180.0}
+
+
+def test_meeting_features_and_cells(mini):
+    assert {r.value for r in mini.find(Q.intersects_feature(mini.find_feature(FeatureID("path", "mini/way", 2))), "path").collect()} == {1}
+    token = cells.token(cells.from_point(S.unit([(0.0, 0.001)])[0], 16))
+    assert {r.value for r in mini.find(Q.intersects_cells([token]), "path").collect()} == {1}
+    assert isinstance(Q.intersects_feature(mini.features.where("type = 'relation'")), Q.Empty)
+
+
 def test_holes_and_several_polygons_contain(spark):
     sq = lambda a, b: [(a, a), (a, b), (b, b), (b, a)]
     areas = W.feature_rows(spark, [{"type": "area", "ns": "a", "value": 1, "polygons": [[sq(0.0, 9.0), sq(3.0, 6.0)], [sq(20.0, 21.0)]]}, {"type": "area", "ns": "a", "value": 2, "polygons": [[sq(4.0, 5.0)]]}])
