@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from terrane.plans.lineage import cut
 from terrane.plans.once import once
 from terrane.plans.ranks import running_total
-from terrane.plans.skew import meet
+from terrane.plans.skew import meet, small
 from terrane.plans.spread import spread
 
 #: A final trigram is "almost never terminal" below this share of its evidence.
@@ -92,16 +92,16 @@ _KIND = r"""CASE WHEN {x} RLIKE '(\\.\\.\\.|…)$' THEN 'dots' WHEN {x} RLIKE '`
 _CORE = r"regexp_replace({x}, '(\\.\\.\\.|…)$', '')"
 
 
-def beginning_with(words: DataFrame, stems: DataFrame, context: Sequence[str]) -> DataFrame:
-    """``(*context, core, n)``: for each of the distinct ``stems`` ``(*context, core)`` the number ``n`` of ``words`` ``(*context, core, n)`` of its context that begin with it."""
+def beginning_with(words: DataFrame, stems: DataFrame, context: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``(*context, core, n)``: for each of the distinct ``stems`` ``(*context, core)`` the number ``n`` of ``words`` ``(*context, core, n)`` of its context that begin with it. ``rows`` bounds words and twice the stems, where a bound is known."""
     key = F.col("core").cast("binary")
     none = F.lit(None).cast("string")
     zero = F.lit(0).cast("bigint")
-    rows = words.select(*context, key.alias("key"), F.lit(0).alias("side"), "n", none.alias("core"))
+    marks = words.select(*context, key.alias("key"), F.lit(0).alias("side"), "n", none.alias("core"))
     # No byte of a text is greater than all that can follow.
     for side, at in ((-1, key), (1, F.concat(key, F.unhex(F.lit("FF"))))):
-        rows = rows.unionByName(stems.select(*context, at.alias("key"), F.lit(side).alias("side"), zero.alias("n"), "core"))
-    before = running_total(rows, [F.col(c) for c in (*context, "key", "side")], "n", "before").where("side <> 0")
+        marks = marks.unionByName(stems.select(*context, at.alias("key"), F.lit(side).alias("side"), zero.alias("n"), "core"))
+    before = running_total(marks, [F.col(c) for c in (*context, "key", "side")], "n", "before", rows).where("side <> 0")
     return before.groupBy(*context, "core").agg(F.sum(F.col("side") * F.col("before")).alias("n"))
 
 
@@ -116,16 +116,20 @@ def cut_endings(counts: DataFrame, finals: DataFrame) -> DataFrame:
     ends = finals.groupBy("a", "b", "x").agg(F.count("*").alias("final"))
     ends = cut(ends.select("a", "b", "x", "final", F.expr(_KIND.format(x="x")).alias("kind"), core).where("kind <> 'stop'"))
     words = counts.select("a", "b", core, "n")
+    two = cut(ends.select("a", "b").distinct())
+    one = cut(two.select("b").distinct())
+    near, next_ = meet(words, two, ["a", "b"], "left_semi"), meet(words, one, ["b"], "left_semi")
+    rows = counts.count() + 2 * ends.count()
+    # No level has more rows, or longer words in them, than the distinct endings.
+    little = small(ends)
     met = ends
     # Contexts from the most to the least specific.
-    for level, keys in ((0, ("a", "b", "core")), (1, ("b", "core")), (2, ("a", "b")), (3, ("core",)), (4, ("b",))):
-        t = cut(_by_kind(ends, keys))
-        context = [k for k in keys if k != "core"]
-        own = meet(words, cut(ends.select(*context).distinct()), context, "left_semi") if context else words
+    for level, keys, own in ((0, ("a", "b", "core"), near), (1, ("b", "core"), next_), (2, ("a", "b"), near), (3, ("core",), words), (4, ("b",), next_)):
+        t = _by_kind(ends, keys)
         own = own.groupBy(*keys).agg(F.sum("n").alias("n"))
-        n = beginning_with(own, t.select(*keys), context) if "core" in keys else own
-        both = cut(t.join(n.hint("merge"), list(keys)).withColumnsRenamed({"t": f"t{level}", "n": f"n{level}"}))
-        met = meet(met, both, keys, "left")
+        n = beginning_with(own, t.select(*keys), [k for k in keys if k != "core"], rows) if "core" in keys else own
+        both = t.join(n.hint("shuffle_hash" if little else "merge"), list(keys)).withColumnsRenamed({"t": f"t{level}", "n": f"n{level}"})
+        met = met.join(F.broadcast(both), list(keys), "left") if little else meet(met, cut(both), keys, "left")
     rare = F.lit(False)
     for level in (4, 3, 2, 1, 0):
         # Each ending is left out of its own evidence.
