@@ -33,7 +33,8 @@ def face_uv(p) -> tuple[int, float, float]:
     f = int(np.argmax(a))
     if p[f] < 0:
         f += 3
-    return f, *((y / x, z / x), (-x / y, z / y), (-x / z, -y / z), (z / x, y / x), (z / y, -x / y), (-y / z, -x / z))[f]
+    u, v = ((y, z), (-x, z), (-x, -y), (z, y), (z, -x), (-y, -x))[f]
+    return f, u / p[f % 3], v / p[f % 3]
 
 
 def face_point(f: int, u: float, v: float) -> np.ndarray:
