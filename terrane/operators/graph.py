@@ -12,23 +12,24 @@ searched by a heap per origin, with the same results. A node is reached when
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions import geo
+from terrane.functions import geo, sphere
 from terrane.operators.proximity import Grid, aside, cell_of, cover_box
 from terrane.plans.lineage import cut
 from terrane.plans.once import once
 from terrane.query import first_value
 from terrane.world import KEY, World
 
-#: Segments up to which the graph is broadcast to the searching tasks.
-BROADCAST_SEGMENTS = 2_000_000
-#: Bytes of their nodes' and paths' names, most of which occur several times.
+#: Segments up to which the graph is broadcast to the searching tasks, as arrays of numbers of so many bytes each.
+BROADCAST_SEGMENTS, SEGMENT_BYTES = 10_000_000, 16
+#: Bytes of the arrays and of the names of nodes and paths, each once.
 BROADCAST_BYTES = 256 << 20
 WALKING_SPEED = 1.25
 #: The tag of paths that join features to the network, and the key of a factor on a path's cost. Options ``connection`` (``key=value``) and ``weight`` name others.
@@ -150,13 +151,21 @@ def reach(origins: DataFrame, graph: DataFrame, limit: float, broadcast_up_to: i
     how it is found. An origin may start at several nodes, all at distance 0.
     """
     graph = cut(graph)
-    names = F.octet_length("a") + F.octet_length("b") + F.octet_length("path")
-    n, size = graph.agg(F.count("*"), F.coalesce(F.sum(names), F.lit(0))).first()
-    if n <= broadcast_up_to and size <= BROADCAST_BYTES:
+    if _small(graph, broadcast_up_to):
         return _reach_broadcast(origins, graph, limit)
     return _reach_joins(origins, graph, limit)
 
 
+def _small(graph: DataFrame, up_to: int) -> bool:
+    """Whether ``graph`` (cut) may be broadcast as arrays: by segments, and by bytes of theirs and of the names, each once."""
+    n = graph.count()
+    if n > up_to:
+        return False
+    names = graph.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("x")) for k, c in ((0, "a"), (0, "b"), (1, "path"))]))).distinct()
+    size = names.agg(F.coalesce(F.sum(F.octet_length("x") + 12), F.lit(0))).first()[0]
+    return n * SEGMENT_BYTES + size <= BROADCAST_BYTES
+
+
 _REACHED = "origin string, node string, distance double, hops int, via string, prev string"
 
 
@@ -183,59 +192,136 @@ def _reach_joins(origins: DataFrame, graph: DataFrame, limit: float) -> DataFram
 class _Compact:
     """A graph as arrays: nodes and paths are numbered in their order, segments lie by the node they leave."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        n = len(pdf)
-        ends, self.nodes = pd.factorize(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]), sort=True)
-        via, self.paths = pd.factorize(pdf["path"].to_numpy(object), sort=True)
-        a, b = ends[:n], ends[n:]
+    #: Nodes whose ways are kept as lists at once.
+    KEPT = 50_000
+
+    def __init__(self, nodes: pa.Array, paths: pa.Array, a: np.ndarray, b: np.ndarray, via: np.ndarray, cost: np.ndarray):
+        self.nodes, self.paths = nodes, paths
         order = np.argsort(a, kind="stable")
-        self.to = b[order].astype(np.int32)
-        self.via, self.cost = via[order].astype(np.int32), pdf["cost"].to_numpy(float)[order]
-        self.starts = np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
+        self.to, self.via, self.cost = b[order], via[order], cost[order]
+        self.starts = np.searchsorted(a[order], np.arange(len(nodes) + 1))
         self.ways: dict[int, list] = {}
 
-    def number(self, name: str) -> int | None:
-        i = int(np.searchsorted(self.nodes, name))
-        return i if i < len(self.nodes) and self.nodes[i] == name else None
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """Of nodes by name; -1 for those that no segment touches."""
+        return _number(names, self.nodes)
 
     def out(self, v: int) -> list:
         if v not in self.ways:
+            if len(self.ways) >= self.KEPT:
+                self.ways.clear()
             s = slice(self.starts[v], self.starts[v + 1])
             self.ways[v] = list(zip(self.to[s].tolist(), self.via[s].tolist(), self.cost[s].tolist()))
         return self.ways[v]
 
-    def search(self, names: list[str], limit: float) -> list[tuple]:
-        alone = [(x, 0.0, 0, None, None) for x in names if self.number(x) is None]
-        begin = [i for i in map(self.number, names) if i is not None]
+    def search(self, begin: list[int], limit: float) -> dict[int, tuple]:
+        """``(distance, hops, node before, path)`` by node."""
         best = {v: (0.0, 0, -1, -1) for v in begin}
         heap, done = [(0.0, 0, v) for v in begin], set()
         heapq.heapify(heap)
+        push, pop, ways = heapq.heappush, heapq.heappop, self.ways
         while heap:
-            d, h, v = heapq.heappop(heap)
+            d, h, v = pop(heap)
             if v in done:
                 continue
             done.add(v)
-            for b, path, cost in self.out(v):
-                way = (d + cost, h + 1, v, path)
-                if way[0] < limit and (b not in best or way < best[b]):
-                    if b not in best or way[:2] < best[b][:2]:
-                        heapq.heappush(heap, (*way[:2], b))
-                    best[b] = way
-        name = lambda x, i: None if i < 0 else str(x[i])
-        return alone + [(str(self.nodes[v]), d, h, name(self.paths, p), name(self.nodes, u)) for v, (d, h, u, p) in best.items()]
+            h += 1
+            for b, path, cost in ways[v] if v in ways else self.out(v):
+                far = d + cost
+                if far < limit:
+                    old = best.get(b)
+                    if old is None or far < old[0] or far == old[0] and h < old[1]:
+                        push(heap, (far, h, b))
+                        best[b] = (far, h, v, path)
+                    elif far == old[0] and h == old[1] and (v, path) < old[2:]:
+                        best[b] = (far, h, v, path)
+        return best
+
+
+def _number(names: pa.Array, among: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(names, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _column(df: DataFrame, name: str) -> pa.Array:
+    """The different values of a column in order, for the driver."""
+    got = df.select(name).distinct().toArrow().column(0).combine_chunks()
+    return got.take(pc.sort_indices(got)).cast(pa.string())
+
+
+def _compact(graph: DataFrame) -> _Compact:
+    """``graph`` (cut) on the driver. Names come there once each; segments are numbered where they are."""
+    nodes = _column(graph.select("a").union(graph.select("b")), "a")
+    paths = _column(graph, "path")
+    names = graph.sparkSession.sparkContext.broadcast((nodes, paths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(batches):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            col = lambda c: t[c].combine_chunks().cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(_number(col("a"), names.value[0])), pa.array(_number(col("b"), names.value[0])), pa.array(_number(col("path"), names.value[1])), t["cost"].combine_chunks()], ["a", "b", "via", "cost"])
+
+    t = graph.select("a", "b", "path", F.col("cost").cast("double").alias("cost")).mapInArrow(run, "a int, b int, via int, cost double").toArrow()
+    names.destroy()
+    arrays = [t[c].to_numpy().astype(k) for c, k in (("a", np.int32), ("b", np.int32), ("via", np.int32), ("cost", float))]
+    return _Compact(nodes, paths, *arrays)
+
+
+#: Origins whose results make up one batch, and those whose starts are looked up at once, as each time all nodes are hashed.
+TOGETHER, LOOKED_UP = 1000, 200_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    rows: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows.append(batch)
+        if sum(x.num_rows for x in rows) >= LOOKED_UP:
+            yield pa.Table.from_batches(rows)
+            rows = []
+    if rows:
+        yield pa.Table.from_batches(rows)
+
+
+def _searched(origins: DataFrame, graph: DataFrame, limit: float, emit: Callable[[_Compact, pa.Array, list], pa.RecordBatch], schema: str, compact: _Compact | None = None) -> DataFrame:
+    """What ``emit`` makes of some origins' names, and for each of them its ``search`` and the starts that no segment touches."""
+    shared = graph.sparkSession.sparkContext.broadcast(compact or _compact(graph))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for rows in _gathered(batches):
+            starts = rows.column("starts").combine_chunks()
+            flat, offsets = starts.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(starts).to_numpy())]).tolist()
+            names, at = rows.column("origin").combine_chunks(), g.numbers(flat).tolist()
+            for k in range(0, rows.num_rows, TOGETHER):
+                found = []
+                for i, j in zip(offsets[k : k + TOGETHER], offsets[k + 1 : k + TOGETHER + 1]):
+                    alone = [flat[x].as_py() for x in range(i, j) if at[x] < 0] if -1 in at[i:j] else []
+                    found.append((g.search(sorted(x for x in at[i:j] if x >= 0), limit), alone))
+                yield emit(g, names.slice(k, TOGETHER), found)
+
+    each = origins.groupBy("origin").agg(F.array_sort(F.collect_set("node")).alias("starts"))
+    want = 4 * origins.sparkSession.sparkContext.defaultParallelism
+    # Origins that are next to each other by name often are in place, and search the same nodes.
+    return each.repartitionByRange(want, "origin").sortWithinPartitions("origin").mapInArrow(run, schema)
 
 
 def _reach_broadcast(origins: DataFrame, graph: DataFrame, limit: float) -> DataFrame:
-    shared = graph.sparkSession.sparkContext.broadcast(_Compact(graph.select("a", "b", "path", "cost").toPandas()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(o, *r) for o, starts in zip(pdf["origin"], pdf["starts"]) for r in shared.value.search(sorted(set(starts)), limit)]
-            yield pd.DataFrame(rows, columns=["origin", "node", "distance", "hops", "via", "prev"])
-
-    each = origins.groupBy("origin").agg(F.collect_set("node").alias("starts"))
-    want = 2 * origins.sparkSession.sparkContext.defaultParallelism
-    return each.repartition(want, "origin").mapInPandas(run, _REACHED)
+    def emit(g: _Compact, names: pa.Array, found: list) -> pa.RecordBatch:
+        node, far = [], []
+        for best, _ in found:
+            node += best.keys()
+            far += best.values()
+        d, h, u, p = zip(*far) if far else ((), (), (), ())
+        of = np.repeat(np.arange(len(found), dtype=np.int32), [len(best) for best, _ in found])
+        lone = [(i, x) for i, (_, alone) in enumerate(found) for x in alone]
+        known = lambda x, i: x.take(pa.array(np.where((i := np.array(i, np.int32)) < 0, 0, i), mask=i < 0))
+        more = lambda x, rest, kind: pa.concat_arrays([x, pa.array(rest, kind)]) if lone else x
+        none = [None] * len(lone)
+        return pa.RecordBatch.from_arrays([
+            names.take(pa.array(np.concatenate([of, np.array([i for i, _ in lone], np.int32)]))), more(known(g.nodes, node), [x for _, x in lone], pa.string()), more(pa.array(d, pa.float64()), [0.0] * len(lone), pa.float64()),
+            more(pa.array(h, pa.int32()), [0] * len(lone), pa.int32()), more(known(g.paths, p), none, pa.string()), more(known(g.nodes, u), none, pa.string()),
+        ], ["origin", "node", "distance", "hops", "via", "prev"])
+
+    return _searched(origins, graph, limit, emit, _REACHED)
 
 
 def starts(world: World, origins: DataFrame, graph: DataFrame) -> DataFrame:
@@ -246,6 +332,157 @@ def starts(world: World, origins: DataFrame, graph: DataFrame) -> DataFrame:
     return points.unionByName(areas).join(on, "node", "left_semi").select("origin", "node")
 
 
+def ends(world: World, found: DataFrame) -> DataFrame:
+    """``(node, destination, kind)``: where ``found`` (features) are met: points (kind 0) at themselves, areas (1) at each of their points."""
+    points = found.where("type = 'point'").select(text(F.struct(*KEY)).alias("node"), text(F.struct(*KEY)).alias("destination"), F.lit(0).alias("kind"))
+    areas = world.area_points().join(found.where("type = 'area'").select(*KEY), KEY, "left_semi").select(text(F.col("target")).alias("node"), text(F.struct(*KEY)).alias("destination"), F.lit(1).alias("kind"))
+    return points.unionByName(areas).distinct()
+
+
+def hits(origins: DataFrame, graph: DataFrame, limit: float, to: DataFrame, broadcast_up_to: int = BROADCAST_SEGMENTS) -> DataFrame:
+    """``reachable`` of the search from ``origins`` (of ``starts``) for the ``ends`` ``to``: where the graph is broadcast, only what is found leaves the search."""
+    graph, to = cut(graph), cut(to)
+    if not _small(graph, broadcast_up_to):
+        reached = _reach_joins(origins, graph, limit).select("origin", "node", "distance")
+        points = reached.join(to.where("kind = 0"), "node")
+        areas = reached.where("distance > 0").join(to.where("kind = 1"), "node")
+        areas = areas.groupBy("origin", "destination", "kind").agg(F.min("distance").alias("distance"))
+        return points.select("origin", "destination", "kind", "distance").unionByName(areas)
+    g = _compact(graph)
+    g.mark = _marked(g, to.where("kind = 0"))
+    g.areas = _column(to.where("kind = 1"), "destination")
+    at, area = _numbered(to.where("kind = 1").select("node", "destination"), (g.nodes, g.areas), "node int, destination int")
+    order = np.argsort(at, kind="stable")
+    g.area, g.area_starts = area[order], np.searchsorted(at[order], np.arange(len(g.nodes) + 1))
+
+    def emit(g: _Compact, names: pa.Array, found: list) -> pa.RecordBatch:
+        of, node, far = _flat(found)
+        on = g.mark[node]
+        rows = [(of[on], g.nodes.take(pa.array(node[on])), 0, far[on])]
+        if len(g.area):
+            n = np.where(far > 0, g.area_starts[node + 1] - g.area_starts[node], 0)
+            each = np.repeat(np.arange(len(node)), n)
+            met = g.area[np.repeat(g.area_starts[node], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+            order = np.lexsort((far[each], met, of[each]))
+            key = (of[each].astype(np.int64) * len(g.areas) + met)[order]
+            first = order[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else order
+            rows.append((of[each[first]], g.areas.take(pa.array(met[first])), 1, far[each[first]]))
+        kind = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in rows])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate([x[0] for x in rows]))), pa.concat_arrays([x[1] for x in rows]), pa.array(kind), pa.array(np.concatenate([x[3] for x in rows]))], ["origin", "destination", "kind", "distance"])
+
+    return _searched(origins, graph, limit, emit, "origin string, destination string, kind int, distance double", g)
+
+
+def _numbered(df: DataFrame, among: tuple[pa.Array, pa.Array], schema: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of names as numbers, on the driver; rows with a name that isn't known are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(batches):
+            t = pa.Table.from_batches(rows)
+            x, y = (_number(t[i].combine_chunks().cast(pa.string()), shared.value[i]) for i in (0, 1))
+            keep = (x >= 0) & (y >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], t.column_names)
+
+    t = df.mapInArrow(run, schema).toArrow()
+    return t[0].to_numpy().astype(np.int32), t[1].to_numpy().astype(np.int32)
+
+
+def _marked(g: _Compact, nodes: DataFrame) -> np.ndarray:
+    mark = np.zeros(len(g.nodes), bool)
+    mark[_numbered(nodes.select("node", F.col("node").alias("same")), (g.nodes, g.nodes), "node int, same int")[0]] = True
+    return mark
+
+
+def _flat(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of searches the place in the batch, node and distance of all nodes."""
+    node, far = [], []
+    for best, _ in found:
+        node += best
+        far += [x[0] for x in best.values()]
+    return np.repeat(np.arange(len(found), dtype=np.int32), [len(best) for best, _ in found]), np.array(node, np.int32), np.array(far, float)
+
+
+def routes_to(origins: DataFrame, graph: DataFrame, limit: float, to: DataFrame, broadcast_up_to: int = BROADCAST_SEGMENTS) -> DataFrame:
+    """``routes`` to the points among the ``ends`` ``to``, followed back within the search where the graph is broadcast."""
+    graph, to = cut(graph), cut(to.where("kind = 0"))
+    if not _small(graph, broadcast_up_to):
+        return routes(_reach_joins(origins, graph, limit), to)
+    g = _compact(graph)
+    g.mark = _marked(g, to)
+
+    def emit(g: _Compact, names: pa.Array, found: list) -> pa.RecordBatch:
+        of, rows = [], []
+        for i, (best, _) in enumerate(found):
+            before = len(rows)
+            for v in np.array(list(best), np.int32)[g.mark[np.array(list(best), np.int32)]].tolist():
+                at, (d, h, u, via) = v, best[v]
+                while via >= 0:
+                    rows.append((v, h - 1, via, at, d))
+                    at = u
+                    d, h, u, via = best[at]
+            of.append(len(rows) - before)
+        v, o, p, n, d = zip(*rows) if rows else ((),) * 5
+        take = lambda x, i: x.take(pa.array(i, pa.int32()))
+        return pa.RecordBatch.from_arrays([take(names, np.repeat(np.arange(len(found)), of)), take(g.nodes, v), pa.array(o, pa.int32()), take(g.paths, p), take(g.nodes, n), pa.array(d, pa.float64())], ["origin", "destination", "ord", "via", "node", "cost"])
+
+    return _searched(origins, graph, limit, emit, "origin string, destination string, ord int, via string, node string, cost double", g)
+
+
+def uses(origins: DataFrame, graph: DataFrame, limit: float, to: DataFrame, broadcast_up_to: int = BROADCAST_SEGMENTS) -> DataFrame:
+    """``paths_to_reach`` of ``routes_to``, counted within the search where the graph is broadcast."""
+    graph, to = cut(graph), cut(to.where("kind = 0"))
+    if not _small(graph, broadcast_up_to):
+        return paths_to_reach(routes(_reach_joins(origins, graph, limit), to))
+    g = _compact(graph)
+    g.mark = _marked(g, to)
+
+    def emit(g: _Compact, names: pa.Array, found: list) -> pa.RecordBatch:
+        n: dict[int, int] = {}
+        for best, _ in found:
+            for v in np.array(list(best), np.int32)[g.mark[np.array(list(best), np.int32)]].tolist():
+                last, (_, _, u, via) = -1, best[v]
+                while via >= 0:
+                    if via != last:
+                        n[via] = n.get(via, 0) + 1
+                        last = via
+                    _, _, u, via = best[u]
+        return pa.RecordBatch.from_arrays([g.paths.take(pa.array(list(n), pa.int32())), pa.array(list(n.values()), pa.int64())], ["path", "n"])
+
+    return _searched(origins, graph, limit, emit, "path string, n bigint", g).groupBy("path").agg(F.sum("n").alias("n"))
+
+
+def reached_area(origins: DataFrame, graph: DataFrame, limit: float, at: DataFrame, broadcast_up_to: int = BROADCAST_SEGMENTS) -> DataFrame:
+    """``(origin, steradians)`` of the convex hull of what is reached of ``at`` ``(node, p)``; 0 of fewer than three places."""
+    graph, at = cut(graph), cut(at)
+    if not _small(graph, broadcast_up_to):
+        placed = _reach_joins(origins, graph, limit).join(at, "node")
+        hull = placed.groupBy("origin").agg(F.collect_list("p").alias("ps")).select("origin", geo.hull_of(F.col("ps")).alias("a"))
+        return hull.select("origin", (F.coalesce(geo.area(F.col("a")), F.lit(0.0)) / geo.R / geo.R).alias("steradians"))
+    g = _compact(graph)
+    names = graph.sparkSession.sparkContext.broadcast(g.nodes)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(batches):
+            t = pa.Table.from_batches(rows)
+            node = _number(t["node"].combine_chunks().cast(pa.string()), names.value)
+            yield pa.RecordBatch.from_arrays([pa.array(node), t["lat"].combine_chunks(), t["lng"].combine_chunks()], ["node", "lat", "lng"]).filter(pa.array(node >= 0))
+
+    t = at.select("node", "p.lat", "p.lng").mapInArrow(number, "node int, lat double, lng double").toArrow()
+    g.place = np.full((len(g.nodes), 3), np.nan)
+    g.place[t["node"].to_numpy()] = sphere.unit(np.column_stack([t["lat"].to_numpy(), t["lng"].to_numpy()]))
+
+    def emit(g: _Compact, names: pa.Array, found: list) -> pa.RecordBatch:
+        of, node, _ = _flat(found)
+        v = g.place[node]
+        known = ~np.isnan(v[:, 0])
+        i, area = sphere.hull_areas(of[known], v[known])
+        # Origins at which no place is known have no hull.
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(area)], ["origin", "steradians"])
+
+    return _searched(origins, graph, limit, emit, "origin string, steradians double", g)
+
+
 def reachable(world: World, reached: DataFrame, found: DataFrame) -> DataFrame:
     """``(origin, destination, kind, distance)``: reached points, and areas through their reached points, that are in ``found`` (features). An area that touches only the start isn't recorded."""
     points = reached.select("origin", F.col("node").alias("destination"), F.lit(0).alias("kind"), "distance")
@@ -260,10 +497,13 @@ def closest(hits: DataFrame) -> DataFrame:
     return hits.groupBy("origin").agg(F.min(F.struct("distance", "kind", "destination")).alias("m")).select("origin", F.col("m.destination").alias("destination"), F.col("m.distance").alias("distance"))
 
 
+def buildings(world: World) -> DataFrame:
+    return world.features.where("type = 'area'").where(first_value("#building").isNotNull())
+
+
 def building_access(world: World, reached: DataFrame) -> DataFrame:
     """``(key, value)``: each origin with the areas tagged ``#building`` that are reached from it."""
-    buildings = world.features.where("type = 'area'").where(first_value("#building").isNotNull())
-    return reachable(world, reached, buildings).select(F.col("origin").alias("key"), F.col("destination").alias("value"))
+    return reachable(world, reached, buildings(world)).select(F.col("origin").alias("key"), F.col("destination").alias("value"))
 
 
 def accessible_all(origins: DataFrame, hits: DataFrame, flip: bool = False) -> DataFrame:
@@ -272,7 +512,9 @@ def accessible_all(origins: DataFrame, hits: DataFrame, flip: bool = False) -> D
     if flip:
         return pairs.select(F.col("value").alias("key"), F.col("key").alias("value"))
     every = origins.select(text(F.struct(*KEY)).alias("key")).distinct()
-    return every.join(pairs, "key", "left")
+    # The pairs, which may be very many, stay where they are.
+    pairs = cut(pairs)
+    return pairs.unionByName(every.join(pairs.select("key").distinct(), "key", "left_anti").withColumn("value", F.lit(None).cast("string")))
 
 
 def routes(reached: DataFrame, destinations: DataFrame) -> DataFrame:

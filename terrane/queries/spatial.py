@@ -288,13 +288,27 @@ def _segments(w):
     return cut(G.segments(w))
 
 
-def _reach(s, d):
+def _starts(s, d):
+    """The world, its edges, and where searches from all points begin."""
     w = _net(s, d)
-    g = G.edges(_segments(w), {"mode": "highway"})
-    starts = G.starts(w, w.features.where("type = 'point'"), g)
+    g = cut(G.edges(_segments(w), {"mode": "highway"}))
+    return w, g, G.starts(w, w.features.where("type = 'point'"), g)
+
+
+def _reach(s, d):
+    w, g, starts = _starts(s, d)
     return w, cut(G.reach(starts, g, LIMIT))
 
 
+def _hits(s, d, found):
+    w, g, starts = _starts(s, d)
+    return w, G.hits(starts, g, LIMIT, G.ends(w, found(w)))
+
+
+def _features(w):
+    return w.features
+
+
 def _key(c):
     return F.element_at(F.split(c, "/"), -1).cast("bigint")
 
@@ -324,8 +338,8 @@ def reachable_area(s, d):
 
 @q(_WALK + "SELECT p.k AS key, b.destination AS value FROM p LEFT JOIN best b ON b.origin = p.k AND b.destination <> p.k")
 def accessible_all(s, d):
-    w, r = _reach(s, d)
-    out = G.accessible_all(w.features.where("type = 'point'"), G.reachable(w, r, w.features))
+    w, h = _hits(s, d, _features)
+    out = G.accessible_all(w.features.where("type = 'point'"), h)
     return out.select(_key(F.col("key")).alias("key"), _key(F.col("value")).alias("value"))
 
 
