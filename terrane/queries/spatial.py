@@ -324,8 +324,8 @@ def degree(s, d):
 
 @q(_WALK + "SELECT origin, destination, round(m, 3) AS metres FROM best")
 def reachable(s, d):
-    w, r = _reach(s, d)
-    return G.reachable(w, r, w.features).select(_key(F.col("origin")).alias("origin"), _key(F.col("destination")).alias("destination"), F.round("distance", 3).alias("metres"))
+    h = _hits(s, d, _features)[1]
+    return h.select(_key(F.col("origin")).alias("origin"), _key(F.col("destination")).alias("destination"), F.round("distance", 3).alias("metres"))
 
 
 @q()
