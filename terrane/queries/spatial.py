@@ -345,8 +345,8 @@ def accessible_all(s, d):
 
 @q(_WALK + "SELECT b.origin, b.destination, round(b.m, 3) AS cost FROM best b JOIN p ON p.k = b.destination WHERE p.p_brand = 'Brand#12' AND b.origin <> b.destination")
 def accessible_routes(s, d):
-    w, r = _reach(s, d)
-    steps = G.routes(r, G.reachable(w, r, _brand(w)))
+    w, g, starts = _starts(s, d)
+    steps = G.routes_to(starts, g, LIMIT, G.ends(w, _brand(w)))
     return steps.groupBy(_key(F.col("origin")).alias("origin"), _key(F.col("destination")).alias("destination")).agg(F.round(F.max("cost"), 3).alias("cost"))
 
 
