@@ -374,8 +374,8 @@ _NEAR = _WALK + "SELECT p.k AS origin, round(coalesce(min(b.m), 0), 3) AS metres
 
 @q(_WALK + "SELECT b.origin, round(min(b.m), 3) AS metres FROM best b JOIN p ON p.k = destination WHERE p.p_brand = 'Brand#12' GROUP BY 1")
 def closest(s, d):
-    w, r = _reach(s, d)
-    return G.closest(G.reachable(w, r, _brand(w))).select(_key(F.col("origin")).alias("origin"), F.round("distance", 3).alias("metres"))
+    h = _hits(s, d, _brand)[1]
+    return G.closest(h).select(_key(F.col("origin")).alias("origin"), F.round("distance", 3).alias("metres"))
 
 
 @q(_NEAR)
