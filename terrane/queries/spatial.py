@@ -330,10 +330,9 @@ def reachable(s, d):
 
 @q()
 def reachable_area(s, d):
-    w, r = _reach(s, d)
-    at = w.features.where("type = 'point'").select(F.concat_ws("/", "type", "ns", F.col("value").cast("string")).alias("node"), F.col("points")[0].alias("p"))
-    hull = r.join(at, "node").groupBy("origin").agg(F.collect_list("p").alias("ps")).select("origin", geo.hull_of(F.col("ps")).alias("a"))
-    return hull.select(_key(F.col("origin")).alias("origin"), F.round(F.coalesce(geo.area(F.col("a")), F.lit(0.0)) / geo.R / geo.R, 15).alias("steradians"))
+    w, g, starts = _starts(s, d)
+    at = w.features.where("type = 'point'").select(G.text(F.struct(*W.KEY)).alias("node"), F.col("points")[0].alias("p"))
+    return G.reached_area(starts, g, LIMIT, at).select(_key(F.col("origin")).alias("origin"), F.round("steradians", 15).alias("steradians"))
 
 
 @q(_WALK + "SELECT p.k AS key, b.destination AS value FROM p LEFT JOIN best b ON b.origin = p.k AND b.destination <> p.k")
