@@ -361,11 +361,10 @@ def filter_accessible(s, d):
 @q(_WALK + """, b AS (SELECT k AS area, [k, k + 1, k + 21, k + 20] AS ring FROM p WHERE k % 7 = 0 AND k % 20 < 19 AND k + 21 <= (SELECT max(k) FROM p))
 SELECT DISTINCT best.origin AS key, b.area AS value FROM best JOIN b ON list_contains(b.ring, best.destination) WHERE best.m > 0""")
 def building_access(s, d):
-    w = _net(s, d)
-    g = G.edges(_segments(w), {"mode": "highway"})
+    w, g, starts = _starts(s, d)
     w = W.World(w.features.unionByName(D.buildings(s, d)))
-    r = cut(G.reach(G.starts(w, w.features.where("type = 'point'"), g), g, LIMIT))
-    return G.building_access(w, r).select(_key(F.col("key")).alias("key"), _key(F.col("value")).alias("value"))
+    h = G.hits(starts, g, LIMIT, G.ends(w, G.buildings(w)))
+    return h.select(_key(F.col("origin")).alias("key"), _key(F.col("destination")).alias("value"))
 
 
 _NEAR = _WALK + "SELECT p.k AS origin, round(coalesce(min(b.m), 0), 3) AS metres FROM p LEFT JOIN (SELECT best.* FROM best JOIN p ON p.k = destination WHERE p.p_brand = 'Brand#12') b ON b.origin = p.k GROUP BY 1"
