@@ -378,9 +378,9 @@ def closest(s, d):
 
 @q(_NEAR)
 def closest_distance(s, d):
-    w, r = _reach(s, d)
+    w, h = _hits(s, d, _brand)
     every = w.features.where("type = 'point'").select(F.col("value").alias("origin"))
-    near = G.closest(G.reachable(w, r, _brand(w))).select(_key(F.col("origin")).alias("origin"), F.round("distance", 3).alias("m"))
+    near = G.closest(h).select(_key(F.col("origin")).alias("origin"), F.round("distance", 3).alias("m"))
     return every.join(near, "origin", "left").select("origin", F.coalesce("m", F.lit(0.0)).alias("metres"))
 
 
