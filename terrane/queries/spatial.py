@@ -389,8 +389,8 @@ def closest_distance(s, d):
 one AS (SELECT origin, node, arg_min(way, (m, hops, way)) AS way FROM x WHERE node IN (SELECT k FROM p WHERE p_brand = 'Brand#12') GROUP BY ALL),
 best AS (""") + "SELECT way[i] AS path, count(*) AS n FROM one, range(1, len(way) + 1) t(i) WHERE i = 1 OR way[i - 1] <> way[i] GROUP BY 1")
 def paths_to_reach(s, d):
-    w, r = _reach(s, d)
-    return G.paths_to_reach(G.routes(r, G.reachable(w, r, _brand(w))))
+    w, g, starts = _starts(s, d)
+    return G.uses(starts, g, LIMIT, G.ends(w, _brand(w)))
 
 
 def _connected(s, d, features):
