@@ -11,6 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,6 +205,61 @@ def distance_to_point(path, point):
     return S.project(_path(path), _path([point])[0])[2] * R if len(path) else None
 
 
+def _lists(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees of all points of paths, and where each path begins and the last ends."""
+    x = x.fill_null([])
+    p, n = x.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return np.column_stack([pc.struct_field(p, i).to_numpy(zero_copy_only=False) for i in (0, 1)]).reshape(-1, 2), n
+
+
+def _listed(values: pa.Array, sizes: list[int], null: pa.Array) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=null if null.null_count or pc.any(null).as_py() else None)
+
+
+def _places(v: np.ndarray) -> pa.Array:
+    at = np.ascontiguousarray(latlng_of(v).T)
+    return pa.StructArray.from_arrays([pa.array(at[0]), pa.array(at[1])], ["lat", "lng"])
+
+
+def latlng_of(v: np.ndarray) -> np.ndarray:
+    return S.latlng(v) if len(v) else np.empty((0, 2))
+
+
+def distances_to_points(path: Column, points: Column) -> Column:
+    """``distance_to_point`` of many points of one path at once; null of an empty path."""
+
+    def call(path: pa.Array, points: pa.Array) -> pa.Array:
+        (p, n), (q, m) = _lists(path), _lists(points)
+        got = [S.projected(S.unit(p[i:j]), S.unit(q[k:l])) * R if j > i else np.full(l - k, np.nan) for i, j, k, l in zip(n, n[1:], m, m[1:])]
+        values = np.concatenate([*got, []])
+        return _listed(pa.array(values, mask=np.isnan(values)), np.diff(m), pc.or_(path.is_null(), points.is_null()))
+
+    return F.arrow_udf(call, T.ArrayType(T.DoubleType()))(path, points)
+
+
+def ahead_and_back(path: Column, metres: float) -> Column:
+    """For each point of a path the places ``metres`` on and ``metres`` back along it, or its end there; null where the path ends."""
+
+    def call(path: pa.Array) -> pa.Array:
+        p, n = _lists(path)
+        sides = [[], []]
+        for i, j in zip(n, n[1:]):
+            if j > i:
+                v = S.unit(p[i:j])
+                far = np.concatenate([[0], np.cumsum(S.angle(v[:-1], v[1:]).astype(np.longdouble))])
+                sides[0].append(S.along(v, np.minimum(far + metres / R, far[-1])))
+                sides[1].append(S.along(v, np.maximum(far - metres / R, 0)))
+        ends = np.zeros(len(p), bool), np.zeros(len(p), bool)
+        ends[0][n[1:][n[1:] > n[:-1]] - 1] = True
+        ends[1][n[:-1][n[1:] > n[:-1]]] = True
+        columns = [pa.StructArray.from_arrays(_places(np.concatenate([*x, np.empty((0, 3))])).flatten(), ["lat", "lng"], mask=pa.array(e)) for x, e in zip(sides, ends)]
+        return _listed(pa.StructArray.from_arrays(columns, ["ahead", "back"]), np.diff(n), path.is_null())
+
+    way = T.ArrayType(T.StructType([T.StructField("ahead", _P), T.StructField("back", _P)]))
+    return F.arrow_udf(call, way)(path)
+
+
 @_pandas(POINT)
 def path_centroid(path):
     return _one(S.centroid(_path(path), False)) if len(path) else None

@@ -76,8 +76,9 @@ def interpolate(s, d):
 
 @q(f"SELECT CAST(p_partkey AS BIGINT) AS part, round((p_partkey // 20) * {_M}, 2) AS metres FROM part")
 def distance_to_point_meters(s, d):
-    on = _columns(s, d).select("points", F.explode(F.arrays_zip(F.col("refs").alias("ref"), F.col("points").alias("at"))).alias("p"))
-    return on.select(F.col("p.ref.value").alias("part"), F.round(geo.distance_to_point(F.col("points"), F.col("p.at")), 2).alias("metres"))
+    far = geo.distances_to_points(F.col("points"), F.col("points"))
+    on = _columns(s, d).select(F.explode(F.arrays_zip(F.col("refs").alias("ref"), far.alias("metres"))).alias("p"))
+    return on.select(F.col("p.ref.value").alias("part"), F.round("p.metres", 2).alias("metres"))
 
 
 @q("SELECT CAST(p_partkey % 20 AS BIGINT) AS path, CAST(p_partkey // 20 AS INTEGER) AS i, (515000000 + (p_partkey // 20) * 10000) / 1e7 AS lat FROM part")
