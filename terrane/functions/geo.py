@@ -308,10 +308,33 @@ def hull_of(points):
     return [[_out(h)]] if len(h) > 2 else []
 
 
-@_pandas("boolean")
-def _contains(polygons, point):
-    p = _path([point])[0]
-    return any(S.in_polygon(p, x) for x in _polygons(polygons))
+def _contains(polygons: Column, point: Column) -> Column:
+    def call(polygons: pa.Array, point: pa.Array) -> pa.Array:
+        (v, n), sizes, per = _lists(polygons.field("p")), polygons.field("s").fill_null([]), polygons.field("n").fill_null([])
+        null = np.asarray(pc.or_(pc.or_(polygons.field("p").is_null(), polygons.is_null()), point.is_null()))
+        size, count = sizes.flatten().to_numpy(), per.flatten().to_numpy()
+        # The polygon and then the row of each loop.
+        polygon = np.repeat(np.arange(len(count)), count)
+        row = np.repeat(np.arange(len(per)), pc.list_value_length(per).to_numpy(zero_copy_only=False))
+        begin = np.cumsum(size) - size
+        some = size > 1
+        closed = np.zeros(len(size), bool)
+        closed[some] = (v[begin[some]] == v[begin[some] + size[some] - 1]).all(axis=1)
+        keep = np.flatnonzero(size - closed > 2)
+        m = (size - closed)[keep]
+        p = S.unit(np.column_stack([pc.struct_field(point, k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+        hit = np.zeros(len(point), bool)
+        if len(keep):
+            at = np.cumsum(m) - m
+            each = np.repeat(np.arange(len(keep)), m)
+            u = S.unit(v[begin[keep][each] + np.arange(len(each)) - at[each]])
+            q = p[row[polygon[keep]]][each]
+            odd = S.insides(u, q, at, each)
+            inside = np.bincount(polygon[keep], odd, len(count)).astype(int) % 2 == 1
+            hit[row[inside]] = True
+        return pa.array(hit, mask=null)
+
+    return F.arrow_udf(call, T.BooleanType())(polygons, point)
 
 
 def contains(polygons: Column, point: Column) -> Column:

@@ -121,12 +121,10 @@ def sightlines(origins: DataFrame, buildings: DataFrame, radius: float) -> DataF
 
 def entrance_approach(doors: DataFrame, paths: DataFrame, metres: float = 4.0) -> DataFrame:
     """``(id, at)``: for each building's ``doors`` ``(id, polygons, door, at)`` the point ``metres`` along a path ``(path, nodes, points)`` that leaves there and outside the building; entrances come before other corners, then by path."""
-    steps = paths.select("path", "points", F.posexplode("nodes").alias("i", "door"))
-    met = doors.join(steps, "door")
-    ahead, back = F.slice("points", F.col("i") + 1, F.size("points")), F.reverse(F.slice("points", F.lit(1), F.col("i") + 1))
-    ways = met.select("id", "polygons", "entrance", "path", F.explode(F.array(ahead, back)).alias("way")).where(F.size("way") > 1)
-    total = geo.length(F.col("way"))
-    at = ways.withColumn("at", geo.interpolate(F.col("way"), F.least(F.lit(1.0), F.try_divide(F.lit(metres), total))))
+    # The places of all nodes of a path are found in one go, so no node carries its path along.
+    near = F.arrays_zip(F.col("nodes").alias("door"), geo.ahead_and_back(F.col("points"), metres).alias("at"))
+    steps = paths.select("path", F.explode(near).alias("s")).select("path", "s.door", F.explode(F.array("s.at.ahead", "s.at.back")).alias("at")).where("at IS NOT NULL")
+    at = doors.select("id", "polygons", "entrance", "door").join(steps, "door")
     outside = at.where(~geo.contains(F.col("polygons"), F.col("at")))
     return outside.groupBy("id").agg(F.min(F.struct((~F.col("entrance")).alias("last"), "path", "at")).alias("m")).select("id", F.col("m.at").alias("at"))
 
