@@ -280,23 +280,28 @@ def area_centroid(polygons: Column) -> Column:
     return _area_centroid(flat(polygons))
 
 
-@_pandas(PATH)
-def sample(path, meters):
+def sample(path: Column, meters: Column) -> Column:
     """Points every ``meters`` along a path, with both ends; repeats go."""
-    v = _path(path)
-    total = float(S.angle(v[:-1], v[1:]).sum()) if len(v) > 1 else 0.0
-    step = 1.0 if total < 1.6e-9 else meters / R / total
-    out, at = [], 0.0
-    while at < 1.0:
-        out.append(S.interpolate(v, at))
-        at += step
-    out.append(v[-1])
-    seen, rows = set(), []
-    for p in _out(np.array(out)):
-        if (k := (p["lat"], p["lng"])) not in seen:
-            seen.add(k)
-            rows.append(p)
-    return rows
+
+    def call(path: pa.Array, meters: pa.Array) -> pa.Array:
+        p, n = _lists(path)
+        got = []
+        for i, j, metres in zip(n, n[1:], meters.to_pylist()):
+            if j == i or metres is None:
+                got.append(np.empty((0, 2)))
+                continue
+            v = S.unit(p[i:j])
+            total = float(S.angle(v[:-1], v[1:]).sum()) if len(v) > 1 else 0.0
+            step = 1.0 if total < 1.6e-9 else metres / R / total
+            at = np.cumsum(np.concatenate([[0.0], np.full(int(1 / step) + 2, step)]))
+            out = S.latlng(np.concatenate([S.along(v, fractions=at[at < 1.0]), v[-1:]]))
+            first = np.sort(np.unique(out, axis=0, return_index=True)[1])
+            got.append(out[first])
+        at = np.concatenate([*got, np.empty((0, 2))])
+        values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(at[:, k])) for k in (0, 1)], ["lat", "lng"])
+        return _listed(values, [len(x) for x in got], pc.or_(path.is_null(), meters.is_null()))
+
+    return F.arrow_udf(call, _TYPES[PATH])(path, meters)
 
 
 @_pandas(AREA)
