@@ -33,6 +33,13 @@ def ll(lat, lng) -> Column:
     return F.struct(c(lat).cast("double").alias("lat"), c(lng).cast("double").alias("lng"))
 
 
+def wrapped(p: Column) -> Column:
+    """A point whose latitude runs past a pole, on the other side of it."""
+    over = F.radians(p["lat"])
+    lng = F.pmod(p["lng"] + F.when(F.cos(over) < 0, F.lit(180.0)).otherwise(F.lit(0.0)) + 180.0, F.lit(360.0)) - 180.0
+    return F.when(F.abs(p["lat"]) > 90.0, ll(F.degrees(F.asin(F.sin(over))), lng)).otherwise(ll(p["lat"], p["lng"]))
+
+
 def _angle(a: Column, b: Column) -> Column:
     """Angle of two points by the arc tangent form, which is well conditioned at any distance."""
     p, q, d = F.radians(a["lat"]), F.radians(b["lat"]), F.radians(b["lng"] - a["lng"])

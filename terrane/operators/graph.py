@@ -24,6 +24,7 @@ from terrane.functions import geo, sphere
 from terrane.operators.proximity import Grid, aside, cell_of, cover_box
 from terrane.plans.lineage import cut
 from terrane.plans.once import once
+from terrane.plans.skew import small
 from terrane.query import first_value
 from terrane.world import KEY, World
 
@@ -584,12 +585,15 @@ def network(world: World, segs: DataFrame, threshold: float) -> DataFrame:
     return starts_.where("far").select("path").unionByName(open_.join(reached, "node", "left_semi").select("path")).distinct()
 
 
-def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
-    """``(id, path, leg, at, metres)``: for each point ``(id, at)`` the nearest of ``paths`` (``path, points``) within ``threshold``, by cells of that size; ``leg`` is the index of the point before the place."""
+def _feet(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
+    """``(id, path, i, foot, metres)``: for each point ``(id, at)`` its foot on each leg of ``paths`` (``path, points``) within ``threshold``, by cells of that size."""
     grid = Grid(threshold)
+    paths = paths.select("path", F.transform("points", geo.wrapped).alias("points"))
     legs = paths.select("path", F.posexplode(F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "leg"))
-    legs = cover_box(legs, grid, threshold, F.array("leg.a", "leg.b"))
-    here = cell_of(points, grid, "at")
+    here = cut(cell_of(points.select("id", geo.wrapped(F.col("at")).alias("at")), grid, "at"))
+    cells = cut(here.select("row", "col").distinct())
+    # Of few points only the legs that lie in their cells are moved.
+    legs = cover_box(legs, grid, threshold, F.array("leg.a", "leg.b"), cells if small(cells) else None)
     met = here.join(legs.hint("merge"), ["row", "col"])
     # The foot on a leg of a street's length: on a plane around the point. Each step is worked out once.
     k = F.cos(F.radians(F.col("at.lat")))
@@ -598,5 +602,16 @@ def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> Da
     t = F.try_divide(-(F.col("_x") * dx + F.col("_y") * F.col("_h")), dx * dx + F.col("_h") * F.col("_h"))
     met = once(met, _t=F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))))
     met = once(met, foot=geo.ll(F.col("leg.a.lat") + F.col("_t") * F.col("_h"), aside(F.col("leg.a.lng") + F.col("_t") * F.col("_w"), F.lit(0.0))))
-    met = once(met, metres=geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
+    return once(met, metres=geo.distance(F.col("at"), F.col("foot"))).where(F.col("metres") <= threshold)
+
+
+def connect_nearest(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
+    """``(id, path, leg, at, metres)``: for each point ``(id, at)`` the nearest of ``paths`` (``path, points``) within ``threshold``; ``leg`` is the index of the point before the place."""
+    met = _feet(points, paths, threshold)
     return met.groupBy("id").agg(F.min(F.struct("metres", "path", "i", "foot")).alias("m")).select("id", "m.path", F.col("m.i").alias("leg"), F.col("m.foot").alias("at"), "m.metres")
+
+
+def near_paths(points: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
+    """``(id, path, at, metres)``: for each point ``(id, at)`` the nearest place on each of ``paths`` (``path, points``) within ``threshold``."""
+    met = _feet(points, paths, threshold).groupBy("id", "path").agg(F.min(F.struct("metres", "i", "foot")).alias("m"))
+    return met.select("id", "path", F.col("m.foot").alias("at"), "m.metres")

@@ -118,8 +118,8 @@ def cell_of(df: DataFrame, grid: Grid, at: str) -> DataFrame:
     return df.withColumn("col", grid.column(F.col(at)["lng"], grid.columns(F.col("row"))))
 
 
-def cover_box(df: DataFrame, grid: Grid, radius: float, points: Column) -> DataFrame:
-    """``df`` with ``row, col`` of every cell that has a place within ``radius`` of the box around ``points``, at any latitude and across 180 degrees."""
+def cover_box(df: DataFrame, grid: Grid, radius: float, points: Column, cells: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``row, col`` of every cell that has a place within ``radius`` of the box around ``points``, at any latitude and across 180 degrees; only of ``cells`` (few), where given."""
     reach = math.degrees(radius / EARTH_RADIUS) * 1.001
     lats = F.transform(points, lambda p: p["lat"])
     lngs = F.transform(points, lambda p: points[0]["lng"] + aside(p["lng"], points[0]["lng"]))
@@ -127,12 +127,15 @@ def cover_box(df: DataFrame, grid: Grid, radius: float, points: Column) -> DataF
     top = F.greatest(F.abs("_s"), F.abs("_n")) + reach
     df = once(df, _wide=F.lit(reach) / F.cos(F.radians(F.least(top, F.lit(89.9)))), _pole=top >= 89.9)
     df = df.withColumn("row", F.explode(F.sequence(grid.row(F.greatest(F.col("_s") - reach, F.lit(-90.0))), grid.row(F.least(F.col("_n") + reach, F.lit(90.0))))))
+    if cells is not None:
+        df = df.join(F.broadcast(cells.select("row").distinct()), "row", "left_semi")
     df = once(df, _k=grid.columns(F.col("row")))
     place = lambda lng: F.floor((lng + 180.0) / 360.0 * F.col("_k")).cast("int")
     first, last = place(F.col("_w") - F.col("_wide")), place(F.col("_e") + F.col("_wide"))
     every = F.col("_pole") | (last - first + 1 >= F.col("_k"))
     df = df.select("*", F.explode(F.when(every, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.sequence(first, last))).alias("_c"))
-    return df.withColumn("col", F.pmod("_c", "_k")).drop("_s", "_n", "_w", "_e", "_wide", "_pole", "_k", "_c")
+    df = df.withColumn("col", F.pmod("_c", "_k")).drop("_s", "_n", "_w", "_e", "_wide", "_pole", "_k", "_c")
+    return df if cells is None else df.join(F.broadcast(cells.select("row", "col").distinct()), ["row", "col"], "left_semi")
 
 
 def _fine(df: DataFrame, grid: Grid) -> DataFrame:
