@@ -56,16 +56,71 @@ def colour(areas: DataFrame) -> DataFrame:
 
 
 def snap_edges(areas: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
-    """``(id, polygons)``: each corner of the shells of ``areas`` moved to where the nearest of ``paths`` within ``threshold`` metres is; an area that would lose its shape keeps it."""
-    from terrane.operators.graph import connect_nearest
-
-    v = areas.select("id", "polygons", F.posexplode(F.col("polygons")[0][0]).alias("i", "at"))
-    keyed = v.select(F.concat_ws("#", F.col("id").cast("string"), "i").alias("id"), F.col("id").alias("area"), "i", "at")
-    moved = connect_nearest(keyed.select("id", "at"), paths, threshold).select("id", F.col("at").alias("to"))
-    ring = keyed.join(moved, "id", "left").groupBy("area").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("to", "at").alias("p")))).alias("r"))
-    ring = ring.select(F.col("area").alias("id"), F.transform("r", lambda x: x["p"]).alias("ring"))
-    valid = F.size(F.array_distinct("ring")) > 2
-    return areas.select("id", "polygons").join(ring, "id").select("id", F.when(valid, F.array(F.array("ring"))).otherwise(F.col("polygons")).alias("polygons"))
+    """``(id, polygons)``: each edge of all loops of ``areas`` moved onto the one of ``paths`` that is nearest to its farther end, if that is nearer than ``threshold`` metres; a loop that would lose its shape keeps it.
+
+    Edges of 0.1 metres or less go. Where two that follow each other no longer
+    meet, both ends are corners, and between them the place where the edges,
+    longer by the threshold at both ends, cross.
+    """
+    from terrane.operators.graph import near_paths
+
+    loops = areas.select("id", F.posexplode("polygons").alias("p", "loops")).select("id", "p", F.posexplode("loops").alias("l", "loop"))
+    shut = (F.size("loop") > 1) & (F.get("loop", F.lit(0)) == F.get("loop", F.size("loop") - 1))
+    loops = cut(loops.withColumn("loop", F.when(shut, F.slice("loop", F.lit(1), F.greatest(F.size("loop") - 1, F.lit(0)))).otherwise(F.col("loop"))))
+    corners = loops.select(F.struct("id", "p", "l").alias("of"), F.size("loop").alias("n"), F.posexplode("loop").alias("i", "at"))
+    near = near_paths(corners.select(F.struct("of", "i").alias("id"), "at"), paths, threshold).where(F.col("metres") < threshold)
+    near = cut(near.select("id.of", "id.i", "path", "at", "metres").join(corners.select("of", "i", "n"), ["of", "i"]))
+    ends = near.select("of", F.pmod(F.col("i") - 1, F.col("n")).alias("i"), "path", F.col("at").alias("b"), F.col("metres").alias("_m"))
+    moved = near.select("of", "i", "path", F.col("at").alias("a"), "metres").join(ends, ["of", "i", "path"])
+    moved = moved.groupBy("of", "i").agg(F.min(F.struct(F.greatest("metres", "_m").alias("m"), "path", "a", "b")).alias("e"))
+    moved = moved.groupBy("of").agg(F.collect_list(F.struct("i", "e.a", "e.b")).alias("edges"))
+    ring = loops.withColumn("of", F.struct("id", "p", "l")).join(moved, "of", "left")
+    none = F.array().cast(moved.schema["edges"].dataType)
+    ring = ring.select("id", "p", "l", _snapped(threshold)(F.col("loop"), F.coalesce("edges", none)).alias("loop"))
+    one = ring.groupBy("id", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "loop"))), lambda x: x["loop"]).alias("loops"))
+    whole = one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "loops"))), lambda x: x["loops"]).alias("_snapped"))
+    return areas.select("id", "polygons").join(whole, "id", "left").select("id", F.coalesce("_snapped", "polygons").alias("polygons"))
+
+
+#: Fixed value: metres up to which ends of edges are one corner.
+SAME = 0.1
+
+
+def _beyond(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
+    """The place at the angle ``x`` before ``a``, seen from ``b``."""
+    t = S.normal(b - np.dot(a, b) * a)
+    return S.normal(math.cos(x) * a - math.sin(x) * t)
+
+
+def _snapped(threshold: float):
+    x, same = threshold / S.R, SAME / S.R
+
+    def run(loop, edges):
+        at = {e["i"]: (e["a"], e["b"]) for e in edges}
+        if not at:
+            return list(loop)
+        n = len(loop)
+        both = [at.get(i, (loop[i], loop[(i + 1) % n])) for i in range(n)]
+        v = [(geo._path([a])[0], geo._path([b])[0], a, b) for a, b in both]
+        v = [e for e in v if S.angle(e[0], e[1]) > same]
+        out = []
+        for (a, b, p, q), (c, d, _, _) in zip(v, v[1:] + v[:1]):
+            out.append(p)
+            if S.angle(b, c) > same:
+                out.append(q)
+                e, f, g, h = _beyond(a, b, x), _beyond(b, a, x), _beyond(c, d, x), _beyond(d, c, x)
+                m, k = np.cross(e, f), np.cross(g, h)
+                sides = np.sign([m @ g, m @ h, k @ e, k @ f])
+                if sides[0] * sides[1] < 0 and sides[2] * sides[3] < 0 and sides[0] != sides[2]:
+                    place = S.normal(np.cross(m, k))
+                    place = place if place @ (e + f) > 0 else -place
+                    if S.angle(place, b) > same and S.angle(place, c) > same:
+                        out.append(geo._one(place))
+        pairs = [(p["lat"], p["lng"]) for p in out]
+        valid = len(set(pairs)) > 2 and all(p != q for p, q in zip(pairs, pairs[1:] + pairs[:1]))
+        return out if valid else list(loop)
+
+    return geo._pandas(geo.PATH)(run)
 
 
 def _view(center: tuple[float, float], radius: float, loops: list[list[tuple[float, float]]], rays: int = 128) -> list[tuple[float, float]]:

@@ -172,7 +172,7 @@ def convex_hull(s, d):
 def snap_area_edges(s, d):
     paths = D.streets(s, d).select(F.concat_ws("/", "ns", F.col("value").cast("string")).alias("path"), "points")
     snapped = A.snap_edges(_nations(s, d).select(F.col("value").alias("id"), "polygons"), paths.where(F.size("points") > 1), 100.0)
-    return snapped.select("id", F.size(F.col("polygons")[0][0]).alias("corners"))
+    return snapped.select("id", F.size(F.flatten(F.flatten("polygons"))).alias("corners"))
 
 
 @q()
